@@ -12,13 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelake.functions.text import (
-    decode_entities,
-    let,
-    resolve_url,
-    text_content,
-    visible_text,
-)
+from pagelake.functions.text import VISIBLE, apply_all, decode_entities, let, resolve_url, visible_text
 
 
 def has_class(name: str) -> str:
@@ -80,32 +74,49 @@ def all_matches(html: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
 
 
-def first_text(html: Column, *patterns: str) -> Column:
-    """Visible text of the first match of the first pattern that matches at all."""
-    return F.coalesce(*[visible_text(first_match(html, p)) for p in patterns])
+def first_of(html: Column, *patterns: str) -> Column:
+    """Raw first match of the first pattern that matches at all."""
+    return F.coalesce(*[first_match(html, p) for p in patterns])
 
 
-def nth_text(html: Column, pattern: str, n: int) -> Column:
-    """Visible text of the n-th match (from 0), null if there are fewer."""
-    raw = first_match(html, pattern) if n == 0 else F.get(all_matches(html, pattern), n)
-    return visible_text(raw)
+def nth_of(html: Column, pattern: str, n: int) -> Column:
+    """Raw n-th match (from 0), null if there are fewer."""
+    return first_match(html, pattern) if n == 0 else F.get(all_matches(html, pattern), n)
 
 
-def first_text_within(html: Column, outer: str, inner: str) -> Column:
-    """Visible text of the first ``inner`` match that lies within an ``outer`` match."""
+def first_within(html: Column, outer: str, inner: str) -> Column:
+    """Raw first ``inner`` match that lies within an ``outer`` match."""
     found = F.filter(
         F.transform(all_matches(html, outer), lambda part: first_match(part, inner)),
         lambda part: part.isNotNull(),
     )
-    return visible_text(F.get(found, 0))
+    return F.get(found, 0)
+
+
+def first_text(html: Column, *patterns: str) -> Column:
+    """Visible text of the first match of the first pattern that matches at all."""
+    return visible_text(first_of(html, *patterns))
+
+
+def nth_text(html: Column, pattern: str, n: int) -> Column:
+    """Visible text of the n-th match (from 0), null if there are fewer."""
+    return visible_text(nth_of(html, pattern, n))
+
+
+def visible_texts(*raw: Column) -> Column:
+    """Visible texts of several raw matches as an array, with one rule for all."""
+    return apply_all(F.array(*raw), VISIBLE)
+
+
+def link(raw: Column, page_url: Column | None = None) -> Column:
+    """A raw attribute value, decoded; with ``page_url`` as an absolute link."""
+    value = decode_entities(raw)
+    return value if page_url is None else resolve_url(value, page_url)
 
 
 def first_attr(html: Column, pattern: str, page_url: Column | None = None) -> Column:
     """First attribute value, decoded; with ``page_url`` as an absolute link."""
-    value = let(first_match(html, pattern), decode_entities)
-    if page_url is None:
-        return value
-    return let(value, lambda v: resolve_url(v, page_url))
+    return link(first_match(html, pattern), page_url)
 
 
 def link_by_text(html: Column, text: str, fallback: str, page_url: Column) -> Column:
@@ -114,18 +125,14 @@ def link_by_text(html: Column, text: str, fallback: str, page_url: Column) -> Co
     ``fallback`` is used only if there is no such link; an empty target is missing
     and does not reach the fallback.
     """
-    anchor = (
-        rf"(?s)(<(?i:a)(?=\s)[^>]*>)(?:\s*<(?!/?[aA][\s>])[^>]*>)*+[^<]*{re.escape(text)}"
-    )
-    href = attribute("a", "href")
-    opened = first_match(html, anchor)
+    anchor = rf"(?s)(<(?i:a)(?=\s)[^>]*>)(?:\s*<(?!/?[aA][\s>])[^>]*>)*+[^<]*{re.escape(text)}"
 
-    def present(value: Column) -> Column:
-        return let(value, lambda v: F.when(v != "", v))
+    def target(opened: Column) -> Column:
+        named = first_match(opened, attribute("a", "href"))
+        return F.when(opened.isNotNull(), named).otherwise(first_match(html, fallback))
 
-    return F.when(opened.isNotNull(), present(first_attr(opened, href, page_url))).otherwise(
-        present(first_attr(html, fallback, page_url))
-    )
+    found = let(first_match(html, anchor), target)
+    return let(link(found, page_url), lambda url: F.when(url != "", url))
 
 
 def section_after(html: Column, heading: str) -> Column:
@@ -155,25 +162,3 @@ def split_cards(
             lambda found: F.when(F.size(found) > 0, found).otherwise(all_matches(html, fallback)),
         )
     return parts
-
-
-__all__ = [
-    "all_matches",
-    "any_of",
-    "attr_contains",
-    "attr_equals",
-    "attr_starts",
-    "attribute",
-    "element",
-    "first_attr",
-    "first_match",
-    "first_text",
-    "first_text_within",
-    "has_class",
-    "link_by_text",
-    "nth_text",
-    "opening",
-    "section_after",
-    "split_cards",
-    "text_content",
-]

@@ -1,7 +1,7 @@
 """Text expressions: trimming, markup removal, entity decoding, link resolution.
 
-Every function maps columns to columns with built-in Spark SQL functions, so no
-row ever leaves the JVM.
+Each rule is one Spark SQL lambda over built-in functions, applied to a column by
+:func:`apply`. No row leaves the JVM.
 """
 
 from __future__ import annotations
@@ -15,25 +15,151 @@ from pyspark.sql import functions as F
 # Every character that counts as white space for trimming.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
-# Named character references of HTML 4, the common ones first because a literal
-# map is searched from the front.
-_COMMON = ("amp", "lt", "gt", "quot", "nbsp", "middot")
-ENTITIES = {
-    **{n: chr(name2codepoint[n]) for n in _COMMON},
-    "apos": "'",
-    **{n: chr(c) for n, c in sorted(name2codepoint.items())},
-}
+# Named character references of HTML 4.
+ENTITIES = {n: chr(c) for n, c in sorted(name2codepoint.items())} | {"apos": "'"}
 
-NO_BREAK_SPACE = chr(0xA0)
+# References that are common enough for a plain replacement (fixed values).
+_COMMON = {"lt": "<", "gt": ">", "quot": '"', "nbsp": chr(0xA0), "middot": "·", "#39": "'"}
 
-_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-_INVISIBLE = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
-_SPACES = r"[ \t\r\n\f]+"
+_REFERENCE = "#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*"
+_INVISIBLE = r"(?is)<(?:!--.*?-->|(script|style)\b.*?</\1\s*>)"
+_SPACES = r"[ \t\r\n\f]{2,}|[\t\r\n\f]"
 _BREAKS = (
     r"(?i)<(?:br|/?(?:address|article|div|dd|dl|dt|footer|h[1-6]|header|li|nav|ol|p|section"
     r"|table|tr|ul))(?:[\s/][^>]*)?>"
 )
+_COMMENTS = r"(?s)<!--.*?-->"
 _TAGS = r"</?[a-zA-Z][^>]*>"
+_ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+_ORIGIN = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)"
+_FOLDER = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/]+(?:/.*(?=/))?)"
+_DOTTED = r"^[^?#]*/\.\.?(?:[/?#]|$)"
+
+
+def _lit(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _replaced(x: str, *steps: tuple[str, str]) -> str:
+    for pattern, new in steps:
+        x = f"regexp_replace({x}, {_lit(pattern)}, {_lit(new)})"
+    return x
+
+
+def _bind(var: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``var`` standing for ``value``, computed once."""
+    return f"get(transform(array({value}), {var} -> {body}), 0)"
+
+
+def _stripped(x: str) -> str:
+    return f"trim(BOTH {_lit(WHITESPACE)} FROM {x})"
+
+
+def _char(code: str) -> str:
+    valid = f"{code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111"
+    return (
+        f"CASE WHEN {valid} THEN decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32') "
+        f"ELSE {_lit(chr(0xFFFD))} END"
+    )
+
+
+def _decoded(s: str) -> str:
+    # The table is one text literal that Spark folds into a map; neither names nor
+    # values hold blanks or line breaks.
+    table = "\n".join(f"{name} {char}" for name, char in ENTITIES.items())
+    number = (
+        "CAST(CASE WHEN r RLIKE '^#[xX]' THEN conv(substr(r, 3), 16, 10) "
+        "ELSE substr(r, 2) END AS BIGINT)"
+    )
+    value = (
+        f"CASE WHEN startswith(r, '#') THEN {_bind('n', number, _char('n'))} "
+        f"ELSE try_element_at(str_to_map({_lit(table)}, {_lit(chr(10))}, ' '), r) END"
+    )
+    piece = _bind(
+        "r",
+        f"regexp_extract(p, {_lit(f'^({_REFERENCE});')}, 1)",
+        f"coalesce(CASE WHEN r <> '' THEN concat({value}, substr(p, length(r) + 2)) END, "
+        "concat('&', p))",
+    )
+    general = _bind(
+        "ps",
+        f"split({s}, '&')",
+        f"concat(ps[0], array_join(transform(slice(ps, 2, size(ps)), p -> {piece}), ''))",
+    )
+    common = s
+    for name, char in _COMMON.items():
+        common = f"replace({common}, {_lit(f'&{name};')}, {_lit(char)})"
+    other = _lit(f"&(?!amp;)(?:{_REFERENCE});")
+    quick = _bind(
+        "q", common, f"CASE WHEN q RLIKE {other} THEN {general} ELSE replace(q, '&amp;', '&') END"
+    )
+    return f"CASE WHEN contains({s}, '&') THEN {quick} ELSE {s} END"
+
+
+def _content(f: str) -> str:
+    bare = f"CASE WHEN contains({f}, '<') THEN {_replaced(f, (_COMMENTS, ''), (_TAGS, ''))} ELSE {f} END"
+    return _stripped(_bind("s", bare, _decoded("s")))
+
+
+def _visible(f: str) -> str:
+    markup = _replaced(
+        f,
+        (_INVISIBLE, ""),
+        (_SPACES, " "),
+        (_BREAKS, "\n"),
+        (_TAGS, ""),
+        (r" *\n[ \n]*", "\n"),
+        (" {2,}", " "),
+    )
+    bare = f"CASE WHEN contains({f}, '<') THEN {markup} ELSE {_replaced(f, (_SPACES, ' '))} END"
+    decoded = _bind("s", bare, _decoded("s"))
+    return _stripped(f"replace({decoded}, {_lit(chr(0xA0))}, ' ')")
+
+
+def _without_dots(path: str) -> str:
+    kept = (
+        f"aggregate(split({path}, '/'), CAST(array() AS ARRAY<STRING>), (acc, s) -> "
+        "CASE WHEN s = '.' THEN acc WHEN s = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 1)) "
+        "ELSE concat(acc, array(s)) END)"
+    )
+    tail = f"CASE WHEN {path} RLIKE {_lit(r'/\.\.?$')} THEN '/' ELSE '' END"
+    return f"concat(array_join({kept}, '/'), {tail})"
+
+
+def _resolved(href: str, page_url: str) -> str:
+    site = f"regexp_extract({page_url}, {_lit(_ORIGIN)}, 1)"
+    page = f"regexp_extract({page_url}, '^([^?#]*)', 1)"
+    folder = f"regexp_extract({page}, {_lit(_FOLDER)}, 1)"
+    path = (
+        f"CASE WHEN startswith({href}, '/') THEN {href} "
+        f"ELSE concat(substr({folder}, length({site}) + 1), '/', {href}) END"
+    )
+    plain = "regexp_extract(p, '^([^?#]*)', 1)"
+    tidy = _bind(
+        "p",
+        path,
+        f"CASE WHEN p RLIKE {_lit(_DOTTED)} THEN "
+        f"{_bind('d', plain, 'concat(' + _without_dots('d') + ', substr(p, length(d) + 1))')} "
+        "ELSE p END",
+    )
+    return (
+        f"CASE WHEN {href} = '' OR {href} RLIKE {_lit(_ABSOLUTE)} THEN {href} "
+        f"WHEN startswith({href}, '//') THEN concat(split_part({page_url}, '/', 1), {href}) "
+        f"WHEN startswith({href}, '#') THEN concat(split_part({page_url}, '#', 1), {href}) "
+        f"WHEN startswith({href}, '?') THEN concat({page}, {href}) "
+        f"WHEN {href} IS NOT NULL THEN concat({site}, {tidy}) END"
+    )
+
+
+def apply(col: Column, rule: str) -> Column:
+    """A SQL lambda applied to one column, which is computed once."""
+    return F.get(F.call_function("transform", F.array(col), F.expr(rule)), 0)
+
+
+def apply_all(cols: Column, rule: str) -> Column:
+    """A SQL lambda applied to every element of an array column."""
+    return F.call_function("transform", cols, F.expr(rule))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,58 +171,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
 
 
+DECODED = f"f -> {_decoded('f')}"
+CONTENT = f"f -> {_content('f')}"
+VISIBLE = f"f -> {_visible('f')}"
+RESOLVED = f"l -> {_resolved('l.href', 'l.page')}"
+
+
 def strip(col: Column) -> Column:
     """Remove white space, Unicode kinds included, from both ends."""
     return F.trim(col, F.lit(WHITESPACE))
 
 
-def _char(code: Column) -> Column:
-    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    utf32 = F.unhex(F.lpad(F.hex(code), 8, "0"))
-    return F.when(valid, F.decode(utf32, "UTF-32")).otherwise(F.lit("�"))
-
-
-def decode_entities(col: Column, entities: dict[str, str] | None = None) -> Column:
+def decode_entities(col: Column) -> Column:
     """Decode named and numeric character references; unknown names stay as they are."""
-    # One text literal that Spark folds into a map; names and values hold no blanks
-    # or line breaks.
-    pairs = "\n".join(f"{n} {c}" for n, c in (entities or ENTITIES).items())
-    table = F.str_to_map(F.lit(pairs), F.lit("\n"), F.lit(" "))
-
-    def value(ref: Column) -> Column:
-        digits = F.substring(ref, 2, 8)
-        number = (
-            F.when(F.lower(digits).startswith("x"), F.conv(F.substring(ref, 3, 8), 16, 10))
-            .otherwise(digits)
-            .cast("bigint")
-        )
-        return F.when(ref.startswith("#"), let(number, _char)).otherwise(
-            F.try_element_at(table, ref)
-        )
-
-    def piece(p: Column) -> Column:
-        return let(
-            F.regexp_extract(p, _REFERENCE, 1),
-            lambda ref: F.coalesce(
-                F.when(ref != "", F.concat(value(ref), F.substr(p, F.length(ref) + 2))),
-                F.concat(F.lit("&"), p),
-            ),
-        )
-
-    decoded = let(
-        F.split(col, "&"),
-        lambda parts: F.concat(
-            F.get(parts, 0),
-            F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""),
-        ),
-    )
-    return F.when(F.contains(col, F.lit("&")), decoded).otherwise(col)
+    return apply(col, DECODED)
 
 
 def text_content(fragment: Column) -> Column:
     """Text of a fragment with inner white space kept: tags out, entities decoded, trimmed."""
-    bare = F.regexp_replace(F.regexp_replace(fragment, r"(?s)<!--.*?-->", ""), _TAGS, "")
-    return strip(let(bare, decode_entities))
+    return apply(fragment, CONTENT)
 
 
 def visible_text(fragment: Column) -> Column:
@@ -106,57 +199,14 @@ def visible_text(fragment: Column) -> Column:
     and block boundaries become a line break, no-break spaces become plain ones, and
     the ends are trimmed.
     """
-    text = F.regexp_replace(fragment, _INVISIBLE, "")
-    text = F.regexp_replace(text, _SPACES, " ")
-    text = F.regexp_replace(text, _BREAKS, "\n")
-    text = F.regexp_replace(text, _TAGS, "")
-    text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
-    text = F.regexp_replace(text, " {2,}", " ")
-    return strip(F.translate(let(text, decode_entities), NO_BREAK_SPACE, " "))
+    return apply(fragment, VISIBLE)
 
 
 def origin(url: Column) -> Column:
     """``scheme://host`` of an absolute URL."""
-    return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)", 1)
-
-
-def _without_dots(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` segments of an absolute path."""
-    last = F.element_at(F.split(path, "/"), -1)
-    kept = F.aggregate(
-        F.split(path, "/"),
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1))))
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    tail = F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
-    return F.concat(F.array_join(kept, "/"), tail)
+    return F.regexp_extract(url, _ORIGIN, 1)
 
 
 def resolve_url(href: Column, page_url: Column) -> Column:
     """Absolute form of a link found on a page; an empty link stays empty."""
-    site = origin(page_url)
-    page = F.regexp_extract(page_url, r"^([^?#]*)", 1)
-    folder = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/]+(?:/.*(?=/))?)", 1)
-    path = F.when(href.startswith("/"), href).otherwise(
-        F.concat(F.substr(folder, F.length(site) + 1), F.lit("/"), href)
-    )
-
-    def tidy(p: Column) -> Column:
-        plain = F.regexp_extract(p, r"^([^?#]*)", 1)
-        rest = F.substr(p, F.length(plain) + 1)
-        return F.when(
-            p.rlike(r"^[^?#]*/\.\.?(?:[/?#]|$)"), F.concat(_without_dots(plain), rest)
-        ).otherwise(p)
-
-    return (
-        F.when((href == "") | href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-        .when(
-            href.startswith("//"),
-            F.concat(F.regexp_extract(site, r"^([^/]+)", 1), href),
-        )
-        .when(href.startswith("#"), F.concat(F.regexp_extract(page_url, r"^([^#]*)", 1), href))
-        .when(href.startswith("?"), F.concat(page, href))
-        .when(href.isNotNull(), F.concat(site, let(path, tidy)))
-    )
+    return apply(F.struct(href.alias("href"), page_url.alias("page")), RESOLVED)

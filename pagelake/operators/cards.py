@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions import html as h
 from pagelake.functions.nested import map_last_wins
-from pagelake.functions.text import let, text_content, visible_text
+from pagelake.functions.text import CONTENT, VISIBLE, apply_all, let
 from pagelake.functions.values import MISSING, award_flags, distinction, split_pair
 from pagelake.plans.rules import CardRules, DetailRules
 
@@ -35,39 +35,38 @@ def explode_cards(
 
 def card_record(frag: Column, page_url: Column, rules: CardRules) -> Column:
     """The seven fields of one card as a struct."""
-    text = visible_text if rules.rendered else text_content
-    name = let(text(h.first_match(frag, rules.name)), lambda n: F.when(n != MISSING, n))
-    link = h.first_attr(frag, rules.link, page_url)
+    raw = let(
+        h.all_matches(frag, rules.score),
+        lambda found: F.array(h.first_match(frag, rules.name), F.get(found, 0), F.get(found, 1)),
+    )
+    texts = apply_all(raw, VISIBLE if rules.rendered else CONTENT)
     block = frag if rules.award_block is None else h.first_match(frag, rules.award_block)
-    srcs = F.coalesce(
-        h.all_matches(block, rules.award_src), F.array().cast("array<string>")
+    srcs = F.coalesce(h.all_matches(block, rules.award_src), F.array().cast("array<string>"))
+    parts = F.struct(
+        texts.alias("texts"),
+        let(
+            srcs,
+            lambda found: F.struct(*(c.alias(n) for c, n in zip(
+                award_flags(found, rules.star, rules.bib), ("stars", "bib")
+            ))),
+        ).alias("award"),
     )
-    scores = F.transform(F.slice(h.all_matches(frag, rules.score), 1, 2), text)
-
-    def awards(found: Column) -> Column:
-        stars, bib = award_flags(found, rules.star, rules.bib)
-        return F.struct(
-            stars.alias("stars"), distinction(stars, bib, rules.label_mode).alias("distinction")
-        )
 
-    def places(found: Column) -> Column:
-        price, cuisine = split_pair(F.get(found, 1), PRICE_SEPARATOR, "left", trim=True)
+    def record(part: Column) -> Column:
+        name, location, second = (F.get(part["texts"], n) for n in range(3))
+        stars, bib = part["award"]["stars"], part["award"]["bib"]
+        price, cuisine = split_pair(second, PRICE_SEPARATOR, "left", trim=True)
         return F.struct(
-            F.get(found, 0).alias("location"), price.alias("price"), cuisine.alias("cuisine")
+            F.when(name != MISSING, name).alias("name"),
+            h.first_attr(frag, rules.link, page_url).alias("url"),
+            stars.alias("stars"),
+            distinction(stars, bib, rules.label_mode).alias("distinction"),
+            location.alias("location"),
+            price.alias("price"),
+            cuisine.alias("cuisine"),
         )
 
-    return let(
-        F.struct(let(srcs, awards).alias("a"), let(scores, places).alias("p")),
-        lambda part: F.struct(
-            name.alias("name"),
-            link.alias("url"),
-            part["a"]["stars"].alias("stars"),
-            part["a"]["distinction"].alias("distinction"),
-            part["p"]["location"].alias("location"),
-            part["p"]["price"].alias("price"),
-            part["p"]["cuisine"].alias("cuisine"),
-        ),
-    )
+    return let(parts, record)
 
 
 def listing_cards(pages: DataFrame, rules: CardRules, outer: bool = False) -> DataFrame:
@@ -131,81 +130,89 @@ def day_map(html: Column, card: str, day: str, hours: str, end: str | None = Non
     last value. Null if no day is left.
     """
 
-    def entry(frag: Column) -> Column:
-        texts = F.transform(h.all_matches(frag, hours), visible_text)
-        value = let(
-            texts,
-            lambda ts: F.when(
-                F.size(ts) > 0,
-                let(
-                    F.array_join(F.filter(ts, lambda t: t != ""), ", "),
-                    lambda joined: F.when(joined == "", F.lit("closed")).otherwise(joined),
-                ),
-            ),
-        )
-        return F.struct(h.first_text(frag, day).alias("k"), value.alias("v"))
+    def raw(frag: Column) -> Column:
+        title = F.array(h.first_match(frag, day))
+        return apply_all(F.concat(title, h.all_matches(frag, hours)), VISIBLE)
+
+    def entry(texts: Column) -> Column:
+        shown = F.filter(F.slice(texts, 2, F.size(texts)), lambda t: t != "")
+        value = F.when(F.size(shown) > 0, F.array_join(shown, ", ")).otherwise(F.lit("closed"))
+        return F.struct(F.get(texts, 0).alias("k"), value.alias("v"))
 
-    entries = F.filter(
-        F.transform(h.split_cards(html, card, end=end), entry),
-        lambda e: (e["k"] != "") & e["v"].isNotNull(),
+    texts = F.filter(
+        F.transform(h.split_cards(html, card, end=end), raw),
+        lambda t: (F.size(t) > 1) & (F.get(t, 0) != ""),
     )
-    return map_last_wins(entries)
+    return map_last_wins(F.transform(texts, entry))
 
 
-def _info_texts(html: Column, rules: DetailRules) -> Column:
-    """(first, second) text of the info blocks, each from the first block that has it."""
+def _info_blocks(html: Column, rules: DetailRules) -> Column:
+    """Raw (first, second) text of the info blocks, each from the first block that has it."""
 
     def child(block: Column, n: int) -> Column:
         part = F.get(h.all_matches(block, rules.block_child), n)
         return let(part, lambda p: F.when(p.rlike(rules.block_text), p))
 
     def first_of(blocks: Column, n: int) -> Column:
-        found = F.filter(
-            F.transform(blocks, lambda b: child(b, n)), lambda part: part.isNotNull()
-        )
-        return visible_text(F.get(found, 0))
+        found = F.filter(F.transform(blocks, lambda b: child(b, n)), lambda part: part.isNotNull())
+        return F.get(found, 0)
 
-    def texts(section: Column) -> Column:
-        # The block's own tag is taken off so that only its children are matched.
+    def both(section: Column) -> Column:
+        # What precedes the first block is cut off; a block's own tag is gone, so only
+        # its children are matched.
         return let(
             F.slice(F.split(section, rules.block), 2, F.length(section) + 1),
-            lambda blocks: F.struct(
-                first_of(blocks, 0).alias("first"), first_of(blocks, 1).alias("second")
-            ),
+            lambda blocks: F.array(first_of(blocks, 0), first_of(blocks, 1)),
         )
 
-    return let(h.section_after(html, rules.info), texts)
+    return let(h.section_after(html, rules.info), both)
 
 
 def extract_details(pages: DataFrame, rules: DetailRules, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per detail page: ``url`` and the eight extracted fields."""
+    """One row per detail page: ``url`` and the eight extracted fields.
+
+    Whether a fallback applies is decided on the raw matches, then one rule turns
+    them all into text.
+    """
     html, url = F.col("html"), F.col("url")
-    price_range, cuisine_type = split_pair(
-        F.col("_info")["second"], DETAIL_SEPARATOR, missing="right"
+    texts = let(
+        _info_blocks(html, rules),
+        lambda info: h.visible_texts(
+            F.coalesce(F.get(info, 0), h.first_within(html, rules.heading_item, rules.map_link)),
+            F.coalesce(
+                h.first_match(html, rules.phone),
+                h.first_within(html, rules.heading_item, rules.phone_link),
+            ),
+            h.first_of(html, rules.description, rules.old_description),
+            F.get(info, 1),
+        ),
     )
+    address, phone, description, second = (F.get("_texts", n) for n in range(4))
+    price_range, cuisine_type = split_pair(second, DETAIL_SEPARATOR, missing="right")
     return (
         pages.filter(html.isNotNull())
-        .withColumn("_info", _info_texts(html, rules))
         .select(
             *keep,
             url,
-            F.coalesce(
-                F.col("_info")["first"],
-                h.first_text_within(html, rules.heading_item, rules.map_link),
-            ).alias("address"),
-            F.coalesce(
-                h.first_text(html, rules.phone),
-                h.first_text_within(html, rules.heading_item, rules.phone_link),
-            ).alias("phone"),
-            h.first_text(html, rules.description, rules.old_description).alias("description"),
+            texts.alias("_texts"),
             day_map(html, rules.hours_card, rules.day, rules.hours, rules.hours_end).alias(
                 "opening_hours"
             ),
+            h.link_by_text(html, rules.website_text, rules.website_link, url).alias("website"),
+            nearby_array(html, url, rules.nearby_heading, rules.nearby, rules.nearby_limit).alias(
+                "nearby_restaurants"
+            ),
+        )
+        .select(
+            *keep,
+            "url",
+            address.alias("address"),
+            phone.alias("phone"),
+            description.alias("description"),
+            "opening_hours",
             price_range.alias("price_range"),
             cuisine_type.alias("cuisine_type"),
-            h.link_by_text(html, rules.website_text, rules.website_link, url).alias("website"),
-            nearby_array(
-                html, url, rules.nearby_heading, rules.nearby, rules.nearby_limit
-            ).alias("nearby_restaurants"),
+            "website",
+            "nearby_restaurants",
         )
     )
