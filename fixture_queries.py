@@ -28,6 +28,7 @@ from pagelake.operators.cards import (
 from pagelake.operators.entries import last_wins_map
 from pagelake.operators.relational import (
     append_new,
+    cap_pages,
     enrich,
     first_wins,
     slice_rows,
@@ -126,8 +127,9 @@ def _nav_first(spark: SparkSession, sf: str) -> DataFrame:
     return first_wins(require(_nav(spark, sf)), ["name"], ["page_id", "pos"])
 
 
-def _hosts(spark: SparkSession, sf: str) -> DataFrame:
-    hosts = _pages(spark, sf).select("page_id", _host(F.col("url")).alias("name"))
+def _hosts(spark: SparkSession, sf: str, max_pages: int | None = None) -> DataFrame:
+    pages = cap_pages(_pages(spark, sf), max_pages, "page_id", first_page=0)
+    hosts = pages.select("page_id", _host(F.col("url")).alias("name"))
     return first_wins(hosts, ["name"], ["page_id"])
 
 
@@ -398,7 +400,7 @@ def stop_at_gap(spark, sf):
 
 
 def stop_at_gap_capped(spark, sf):
-    return stop_at_first_gap(_hosts(spark, sf), "page_id", max_pages=5, first_page=0)
+    return stop_at_first_gap(_hosts(spark, sf, 5), "page_id", max_pages=5, first_page=0)
 
 
 def _links(spark, sf):

@@ -125,7 +125,7 @@ def link_by_text(html: Column, text: str, fallback: str, page_url: Column) -> Co
     ``fallback`` is used only if there is no such link; an empty target is missing
     and does not reach the fallback.
     """
-    anchor = rf"(?s)(<(?i:a)(?=\s)[^>]*>)(?:\s*<(?!/?[aA][\s>])[^>]*>)*+[^<]*{re.escape(text)}"
+    anchor = rf"(?s)(<(?i:a)(?=[\s>])[^>]*>)(?:\s*<(?!/?[aA][\s>])[^>]*>)*+[^<]*{re.escape(text)}"
 
     def target(opened: Column) -> Column:
         named = first_match(opened, attribute("a", "href"))
@@ -145,17 +145,22 @@ def split_cards(
 ) -> Column:
     """Cut a page into the fragments that start with ``marker``.
 
-    ``fallback`` is an element pattern used only if the marker never occurs. A
-    fragment runs to the next marker, the last one up to ``end`` if that is given.
+    The marker is a pattern that starts with a literal ``<``. ``fallback`` is an
+    element pattern used only if the marker never occurs. A fragment runs to the
+    next marker, the last one up to ``end`` if that is given.
     """
-
-    def starts(part: Column, i: Column) -> Column:
-        return (i > 0) | part.rlike(f"^(?:{marker})")
-
-    # The text before the first marker is no card, but a page may open with one.
-    parts = F.filter(F.split(html, f"(?={marker})"), starts)
-    if end is not None:
-        parts = F.transform(parts, lambda part: F.get(F.split(part, end, 2), 0))
+    if not marker.startswith("<"):
+        raise ValueError(f"a marker starts with <: {marker}")
+    # Splitting at the "<" itself lets the search skip all other characters. What
+    # precedes the first marker is no card.
+    parts = F.split(html, f"<(?={marker[1:]})")
+    parts = F.slice(parts, 2, F.size(parts))
+
+    def whole(part: Column) -> Column:
+        cut = part if end is None else F.get(F.split(part, end, 2), 0)
+        return F.concat(F.lit("<"), cut)
+
+    parts = F.transform(parts, whole)
     if fallback is not None:
         parts = let(
             parts,

@@ -53,6 +53,19 @@ def append_new(
     return first_wins(batch, keys, order).join(collected, list(keys), "left_anti")
 
 
+def cap_pages(
+    df: DataFrame, max_pages: int | None = 20, page_col: str = "page_no", first_page: int = 1
+) -> DataFrame:
+    """Pages ``first_page`` and following, at most ``max_pages``.
+
+    Apply it to the pages themselves: there the filter reaches the scan.
+    """
+    capped = df.filter(F.col(page_col) >= first_page)
+    if max_pages is None:
+        return capped
+    return capped.filter(F.col(page_col) <= first_page + max_pages - 1)
+
+
 def first_gap(df: DataFrame, page_col: str = "page_no", first_page: int = 1) -> DataFrame:
     """One row, ``stop``: the first page from ``first_page`` on without a row in ``df``.
 
@@ -94,9 +107,7 @@ def stop_at_first_gap(
     ``df`` holds new rows only (see :func:`first_wins`). It is read twice, for the
     stop and for the result, so hand in a stored table if it is costly to compute.
     """
-    capped = df.filter(F.col(page_col) >= first_page)
-    if max_pages is not None:
-        capped = capped.filter(F.col(page_col) <= first_page + max_pages - 1)
+    capped = cap_pages(df, max_pages, page_col, first_page)
     return capped.filter(F.col(page_col) < first_gap(capped, page_col, first_page).scalar())
 
 

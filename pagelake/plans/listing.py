@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from pagelake.operators.cards import listing_cards, require
-from pagelake.operators.relational import first_wins, stop_at_first_gap
+from pagelake.operators.relational import cap_pages, first_wins, stop_at_first_gap
 from pagelake.plans.rules import LISTING_CARDS, CardRules
 from pagelake.schemas import ORDER
 from pagelake.session import stage
@@ -27,9 +27,6 @@ def build_listing(
     the deduplicated cards, a small fraction of them, are stored and read twice, for
     the stop and for the result.
     """
-    last = None if max_pages is None else first_page + max_pages - 1
-    wanted = pages.filter(pages.page_no >= first_page)
-    if last is not None:
-        wanted = wanted.filter(pages.page_no <= last)
+    wanted = cap_pages(pages, max_pages, "page_no", first_page)
     new = stage(first_wins(require(listing_cards(wanted, rules)), keys, ORDER), "listing")
     return stop_at_first_gap(new, "page_no", max_pages, first_page)
