@@ -50,7 +50,8 @@ def append_new(
     the keys, so no key is hot in the join.
     """
     collected = existing.select(*keys).distinct()
-    return first_wins(batch, keys, order).join(collected, list(keys), "left_anti")
+    fresh = first_wins(batch, keys, order).join(collected, list(keys), "left_anti")
+    return fresh.select(*batch.columns)
 
 
 def cap_pages(
@@ -70,9 +71,9 @@ def first_gap(df: DataFrame, page_col: str = "page_no", first_page: int = 1) ->
     """One row, ``stop``: the first page from ``first_page`` on without a row in ``df``.
 
     Every page present rules itself out and proposes its successor; the smallest
-    proposal left is the gap. One aggregation over the pages that occur.
+    proposal left is the gap. One aggregation over the pages that occur, combined
+    before the shuffle.
     """
-    spark = df.sparkSession
     page = F.col(page_col).cast("bigint")
     marks = F.inline(
         F.array(
@@ -80,19 +81,18 @@ def first_gap(df: DataFrame, page_col: str = "page_no", first_page: int = 1) ->
             F.struct((page + 1).alias("page"), F.lit(0).alias("present")),
         )
     )
-    seed = spark.range(1).select(
-        F.lit(first_page).cast("bigint").alias("page"), F.lit(0).alias("present")
-    )
-    return (
+    per_page = (
         df.filter(F.col(page_col) >= first_page)
-        .select(page_col)
-        .distinct()
         .select(marks)
-        .unionByName(seed)
         .groupBy("page")
         .agg(F.max("present").alias("present"))
-        .filter(F.col("present") == 0)
-        .agg(F.min("page").alias("stop"))
+    )
+    ends = per_page.agg(
+        F.min(F.when(F.col("present") == 0, F.col("page"))).alias("gap"),
+        F.bool_or((F.col("page") == first_page) & (F.col("present") == 1)).alias("begun"),
+    )
+    return ends.select(
+        F.when(F.col("begun"), F.col("gap")).otherwise(F.lit(first_page).cast("bigint")).alias("stop")
     )
 
 
