@@ -71,19 +71,19 @@ NAV_NEARBY = replace(NAV_CARDS, label_mode="stars_first", rendered=False)
 
 PARAGRAPH_CARD = "<p>"
 PARAGRAPH_DAY = r"(?s)^<p>(?:<b>)?\s*([A-Za-z])"
-PARAGRAPH_HOURS = r"(?s)^<p>(?:<b>)?(.*?)(?:</p>|<br>|$)"
+PARAGRAPH_HOURS = "^<p>(?:<b>)?(" + h.up_to("(?:</p>|<br>)") + ")"
 
 PAGE_DETAILS = DetailRules(
     info="<body>",
     block="<article>",
     block_child=r"(?s)(<h1>.*?)</h1>",
-    block_text="^<h1>",
+    block_text="<h1>",
     heading_item=r"(?s)<nav>(.*?)</nav>",
     map_link=NAV_NAME,
-    phone=r"(?s)<a href=\"/to\">(.*?)</a>",
-    phone_link=r"(?s)<a href=\"/th[^\"]*\">(.*?)</a>",
-    description=r"(?s)<div class=\"note\">(.*?)</div>",
-    old_description=r"(?s)<div class=\"ad\">(.*?)</div>",
+    phone=h.element("a", h.attr_equals("href", "/to")),
+    phone_link=h.element("a", h.attr_starts("href", "/th")),
+    description=h.element("div", h.has_class("note")),
+    old_description=h.element("div", h.has_class("ad")),
     hours_card=PARAGRAPH_CARD,
     hours_end="</article>|<footer>",
     day=PARAGRAPH_DAY,

@@ -1,13 +1,17 @@
 """Extraction rules over raw HTML.
 
 A rule is a regular expression whose group 1 is the wanted part. The helpers
-below build such patterns from tag names and attribute conditions; the
-extractors turn a pattern into one column expression.
+below build rules from tag names and attribute conditions; the extractors turn a
+rule into one column expression. A rule may also carry marks, plain texts one of
+which every match contains: a page without any of them is not searched further,
+and looking for a plain text is far cheaper than running an expression.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,76 +19,136 @@ from pyspark.sql import functions as F
 from pagelake.functions.text import VISIBLE, apply_all, decode_entities, let, resolve_url, visible_text
 
 
-def has_class(name: str) -> str:
-    """Condition: the class list holds exactly this name."""
-    return rf'\sclass\s*=\s*["\'](?:[^"\'>]*\s)?{re.escape(name)}(?=[\s"\'])'
+class Rule(NamedTuple):
+    """A pattern and its marks; a plain string is a rule without marks."""
 
+    pattern: str
+    marks: tuple[str, ...] = ()
 
-def attr_contains(attr: str, value: str) -> str:
-    """Condition: the attribute contains this text."""
-    return rf'\s{attr}\s*=\s*["\'][^"\'>]*{re.escape(value)}'
 
+class Condition(NamedTuple):
+    """A pattern for part of an opening tag and the marks it implies."""
 
-def attr_starts(attr: str, value: str) -> str:
-    """Condition: the attribute starts with this text."""
-    return rf'\s{attr}\s*=\s*["\']{re.escape(value)}'
+    pattern: str
+    marks: tuple[str, ...]
 
 
-def attr_equals(attr: str, value: str) -> str:
-    """Condition: the attribute equals this text."""
-    return rf'\s{attr}\s*=\s*["\']{re.escape(value)}["\']'
+def _rule(rule: str | Rule) -> Rule:
+    return Rule(rule) if isinstance(rule, str) else rule
 
 
-def any_of(*conditions: str) -> str:
-    """Condition: at least one of the conditions holds."""
-    return "(?:" + "|".join(conditions) + ")"
+def _quoted(attr: str, before: str, value: str, after: str) -> Condition:
+    return Condition(
+        rf"\s{attr}\s*=\s*[\"']{before}{re.escape(value)}{after}", (value,)
+    )
+
+
+def has_class(name: str) -> Condition:
+    """The class list holds exactly this name."""
+    return _quoted("class", r"(?:[^\"'>]*\s)?", name, r"(?=[\s\"'])")
+
 
+def attr_contains(attr: str, value: str) -> Condition:
+    """The attribute contains this text."""
+    return _quoted(attr, r"[^\"'>]*", value, "")
 
-def opening(tag: str, *conditions: str) -> str:
-    """Pattern of an opening tag that meets all conditions (no group)."""
-    checks = "".join(f"(?=[^>]*?{c})" for c in conditions)
-    return rf"<(?i:{tag})(?=[\s/>]){checks}[^>]*>"
 
+def attr_starts(attr: str, value: str) -> Condition:
+    """The attribute starts with this text."""
+    return _quoted(attr, "", value, "")
 
-def element(tag: str, *conditions: str) -> str:
-    """Pattern of an element; group 1 is its content up to the first closing tag."""
-    return rf"(?s){opening(tag, *conditions)}(.*?)</(?i:{tag})\s*>"
+
+def attr_equals(attr: str, value: str) -> Condition:
+    """The attribute equals this text."""
+    return _quoted(attr, "", value, r"[\"']")
+
+
+def any_of(*conditions: Condition) -> Condition:
+    """At least one of the conditions holds."""
+    return Condition(
+        "(?:" + "|".join(c.pattern for c in conditions) + ")",
+        tuple(mark for c in conditions for mark in c.marks),
+    )
 
 
-def attribute(tag: str, name: str, *conditions: str) -> str:
-    """Pattern of an opening tag; group 1 is the value of one attribute."""
-    checks = "".join(f"(?=[^>]*?{c})" for c in conditions)
-    return rf'(?s)<(?i:{tag})(?=\s){checks}[^>]*?\s{name}\s*=\s*["\']([^"\']*)["\']'
+def _marks(conditions: tuple[Condition, ...]) -> tuple[str, ...]:
+    return conditions[0].marks if conditions else ()
 
 
-def first_match(html: Column, pattern: str, group: int = 1) -> Column:
+def _checks(conditions: tuple[Condition, ...]) -> str:
+    return "".join(f"(?=[^>]*?{c.pattern})" for c in conditions)
+
+
+def opening(tag: str, *conditions: Condition) -> Rule:
+    """An opening tag that meets all conditions (no group)."""
+    return Rule(rf"<(?i:{tag})(?=[\s/>]){_checks(conditions)}[^>]*>", _marks(conditions))
+
+
+def up_to(stop: str) -> str:
+    """Pattern of text up to the next match of ``stop``, which starts with ``<``.
+
+    Only ``<`` characters are tested against ``stop``, and the loop is possessive:
+    it neither backtracks nor recurses, however long the text is.
+    """
+    return f"[^<]*+(?:(?!{stop})<[^<]*+)*+"
+
+
+def element(tag: str, *conditions: Condition) -> Rule:
+    """An element; group 1 is its content up to the first closing tag."""
+    start, close = opening(tag, *conditions), rf"</(?i:{tag})\s*>"
+    return Rule(f"{start.pattern}({up_to(close)}){close}", start.marks)
+
+
+def attribute(tag: str, name: str, *conditions: Condition) -> Rule:
+    """An opening tag; group 1 is the value of one attribute."""
+    value = rf"[^>]*?\s{name}\s*=\s*[\"']([^\"']*)[\"']"
+    return Rule(rf"<(?i:{tag})(?=\s){_checks(conditions)}{value}", _marks(conditions))
+
+
+def after(first: Rule, gap: str, second: Rule) -> Rule:
+    """``second`` right behind ``first`` and a gap; the groups are those of ``second``."""
+    return Rule(first.pattern + gap + second.pattern, first.marks or second.marks)
+
+
+def _marked(html: Column, marks: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(html, F.lit(m)) for m in marks))
+
+
+def first_match(html: Column, rule: str | Rule, group: int = 1) -> Column:
     """Group of the first match: null if nothing matches, '' if the group is empty.
 
     The scan ends at the first match. The pattern must consume text and must not
     look beyond its own match.
     """
-    return let(
+    pattern, marks = _rule(rule)
+    found = let(
         F.regexp_extract(html, pattern, 0),
         lambda found: F.when(found != "", F.regexp_extract(found, pattern, group)),
     )
+    return F.when(_marked(html, marks), found) if marks else found
 
 
-def all_matches(html: Column, pattern: str, group: int = 1) -> Column:
+def all_matches(html: Column, rule: str | Rule, group: int = 1) -> Column:
     """Group of every match, in order."""
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
+    pattern, marks = _rule(rule)
+    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
+    if not marks:
+        return found
+    none = F.when(html.isNotNull(), F.array().cast("array<string>"))
+    return F.when(_marked(html, marks), found).otherwise(none)
 
 
-def first_of(html: Column, *patterns: str) -> Column:
-    """Raw first match of the first pattern that matches at all."""
-    return F.coalesce(*[first_match(html, p) for p in patterns])
+def first_of(html: Column, *rules: str | Rule) -> Column:
+    """Raw first match of the first rule that matches at all."""
+    return F.coalesce(*[first_match(html, rule) for rule in rules])
 
 
-def nth_of(html: Column, pattern: str, n: int) -> Column:
+def nth_of(html: Column, rule: str | Rule, n: int) -> Column:
     """Raw n-th match (from 0), null if there are fewer."""
-    return first_match(html, pattern) if n == 0 else F.get(all_matches(html, pattern), n)
+    return first_match(html, rule) if n == 0 else F.get(all_matches(html, rule), n)
 
 
-def first_within(html: Column, outer: str, inner: str) -> Column:
+def first_within(html: Column, outer: str | Rule, inner: str | Rule) -> Column:
     """Raw first ``inner`` match that lies within an ``outer`` match."""
     found = F.filter(
         F.transform(all_matches(html, outer), lambda part: first_match(part, inner)),
@@ -93,14 +157,14 @@ def first_within(html: Column, outer: str, inner: str) -> Column:
     return F.get(found, 0)
 
 
-def first_text(html: Column, *patterns: str) -> Column:
-    """Visible text of the first match of the first pattern that matches at all."""
-    return visible_text(first_of(html, *patterns))
+def first_text(html: Column, *rules: str | Rule) -> Column:
+    """Visible text of the first match of the first rule that matches at all."""
+    return visible_text(first_of(html, *rules))
 
 
-def nth_text(html: Column, pattern: str, n: int) -> Column:
+def nth_text(html: Column, rule: str | Rule, n: int) -> Column:
     """Visible text of the n-th match (from 0), null if there are fewer."""
-    return visible_text(nth_of(html, pattern, n))
+    return visible_text(nth_of(html, rule, n))
 
 
 def visible_texts(*raw: Column) -> Column:
@@ -114,18 +178,20 @@ def link(raw: Column, page_url: Column | None = None) -> Column:
     return value if page_url is None else resolve_url(value, page_url)
 
 
-def first_attr(html: Column, pattern: str, page_url: Column | None = None) -> Column:
+def first_attr(html: Column, rule: str | Rule, page_url: Column | None = None) -> Column:
     """First attribute value, decoded; with ``page_url`` as an absolute link."""
-    return link(first_match(html, pattern), page_url)
+    return link(first_match(html, rule), page_url)
 
 
-def link_by_text(html: Column, text: str, fallback: str, page_url: Column) -> Column:
+def link_by_text(html: Column, text: str, fallback: str | Rule, page_url: Column) -> Column:
     """Target of the first link whose text contains ``text``.
 
     ``fallback`` is used only if there is no such link; an empty target is missing
     and does not reach the fallback.
     """
-    anchor = rf"(?s)(<(?i:a)(?=[\s>])[^>]*>)(?:\s*<(?!/?[aA][\s>])[^>]*>)*+[^<]*{re.escape(text)}"
+    anchor = Rule(
+        rf"(<(?i:a)(?=[\s>])[^>]*>)(?:\s*<(?!/?[aA][\s>])[^>]*>)*+[^<]*{re.escape(text)}", (text,)
+    )
 
     def target(opened: Column) -> Column:
         named = first_match(opened, attribute("a", "href"))
@@ -135,32 +201,41 @@ def link_by_text(html: Column, text: str, fallback: str, page_url: Column) -> Co
     return let(link(found, page_url), lambda url: F.when(url != "", url))
 
 
-def section_after(html: Column, heading: str) -> Column:
+def starts_with(html: Column, rule: str | Rule) -> Column:
+    """Whether a fragment starts with a match."""
+    return html.rlike(f"^(?:{_rule(rule).pattern})")
+
+
+def split_after(html: Column, rule: str | Rule) -> Column:
+    """What follows each match, up to the next one."""
+    parts = F.split(html, _rule(rule).pattern)
+    return F.slice(parts, 2, F.octet_length(html) + 1)
+
+
+def section_after(html: Column, heading: str | Rule) -> Column:
     """What follows the first heading that matches, null without one."""
-    return F.get(F.split(html, heading, 2), 1)
+    pattern, marks = _rule(heading)
+    rest = F.get(F.split(html, pattern, 2), 1)
+    return F.when(_marked(html, marks), rest) if marks else rest
 
 
 def split_cards(
-    html: Column, marker: str, fallback: str | None = None, end: str | None = None
+    html: Column,
+    marker: str | Rule,
+    fallback: str | Rule | None = None,
+    end: str | None = None,
 ) -> Column:
-    """Cut a page into the fragments that start with ``marker``.
+    """Cut a page into the fragments that start with ``marker``, in one pass.
 
-    The marker is a pattern that starts with a literal ``<``. ``fallback`` is an
-    element pattern used only if the marker never occurs. A fragment runs to the
-    next marker, the last one up to ``end`` if that is given.
+    A fragment runs to the next marker or ``end``, or to the end of the page. Both
+    are patterns that start with a literal ``<``. ``fallback`` is an element rule
+    used only if the marker never occurs.
     """
-    if not marker.startswith("<"):
-        raise ValueError(f"a marker starts with <: {marker}")
-    # Splitting at the "<" itself lets the search skip all other characters. What
-    # precedes the first marker is no card.
-    parts = F.split(html, f"<(?={marker[1:]})")
-    parts = F.slice(parts, 2, F.size(parts))
-
-    def whole(part: Column) -> Column:
-        cut = part if end is None else F.get(F.split(part, end, 2), 0)
-        return F.concat(F.lit("<"), cut)
-
-    parts = F.transform(parts, whole)
+    pattern, marks = _rule(marker)
+    if not pattern.startswith("<"):
+        raise ValueError(f"a marker starts with <: {pattern}")
+    stop = f"(?:{pattern})" if end is None else f"(?:{pattern}|{end})"
+    parts = all_matches(html, Rule(f"(?:{pattern}){up_to(stop)}", marks), 0)
     if fallback is not None:
         parts = let(
             parts,

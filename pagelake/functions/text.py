@@ -23,7 +23,7 @@ _COMMON = {"lt": "<", "gt": ">", "quot": '"', "nbsp": chr(0xA0), "middot": "·",
 
 _REFERENCE = "#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*"
 _INVISIBLE = r"(?is)<(?:!--.*?-->|(script|style)\b.*?</\1\s*>)"
-_SPACES = r"[ \t\r\n\f]{2,}|[\t\r\n\f]"
+_SPACES = "\t\r\n\f"
 _BREAKS = (
     r"(?i)<(?:br|/?(?:address|article|div|dd|dl|dt|footer|h[1-6]|header|li|nav|ol|p|section"
     r"|table|tr|ul))(?:[\s/][^>]*)?>"
@@ -97,22 +97,30 @@ def _decoded(s: str) -> str:
     return f"CASE WHEN contains({s}, '&') THEN {quick} ELSE {s} END"
 
 
+def _collapsed(x: str) -> str:
+    """Runs of white space as one space; text without any is only looked through."""
+    for char in _SPACES:
+        x = f"replace({x}, {_lit(char)}, ' ')"
+    return _bind(
+        "w",
+        x,
+        f"CASE WHEN contains(w, '  ') THEN {_replaced('w', (' {2,}', ' '))} ELSE w END",
+    )
+
+
 def _content(f: str) -> str:
-    bare = f"CASE WHEN contains({f}, '<') THEN {_replaced(f, (_COMMENTS, ''), (_TAGS, ''))} ELSE {f} END"
+    bare = (
+        f"CASE WHEN contains({f}, '<') THEN {_replaced(f, (_COMMENTS, ''), (_TAGS, ''))} "
+        f"ELSE {f} END"
+    )
     return _stripped(_bind("s", bare, _decoded("s")))
 
 
 def _visible(f: str) -> str:
-    markup = _replaced(
-        f,
-        (_INVISIBLE, ""),
-        (_SPACES, " "),
-        (_BREAKS, "\n"),
-        (_TAGS, ""),
-        (r" *\n[ \n]*", "\n"),
-        (" {2,}", " "),
-    )
-    bare = f"CASE WHEN contains({f}, '<') THEN {markup} ELSE {_replaced(f, (_SPACES, ' '))} END"
+    source = _collapsed(_replaced(f, (_INVISIBLE, "")))
+    lines = _replaced(source, (_BREAKS, "\n"), (_TAGS, ""))
+    markup = _replaced(lines, (r" *\n[ \n]*", "\n"), (" {2,}", " "))
+    bare = f"CASE WHEN contains({f}, '<') THEN {markup} ELSE {_collapsed(f)} END"
     decoded = _bind("s", bare, _decoded("s"))
     return _stripped(f"replace({decoded}, {_lit(chr(0xA0))}, ' ')")
 

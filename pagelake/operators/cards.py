@@ -17,8 +17,8 @@ DETAIL_SEPARATOR = " · "
 
 def explode_cards(
     pages: DataFrame,
-    marker: str,
-    fallback: str | None = None,
+    marker: str | h.Rule,
+    fallback: str | h.Rule | None = None,
     end: str | None = None,
     keep: tuple[str, ...] = ("page_no", "url"),
     html: str = "html",
@@ -89,7 +89,7 @@ def require(df: DataFrame, column: str = "name") -> DataFrame:
 
 
 def nearby_array(
-    html: Column, page_url: Column, heading: str, rules: CardRules, limit: int = 9
+    html: Column, page_url: Column, heading: str | h.Rule, rules: CardRules, limit: int = 9
 ) -> Column:
     """The first ``limit`` cards after the heading as an array of records.
 
@@ -123,7 +123,7 @@ def nearby_array(
     return let(found, lambda cards: F.when(F.size(cards) > 0, cards))
 
 
-def day_map(html: Column, card: str, day: str, hours: str, end: str | None = None) -> Column:
+def day_map(html: Column, card: str | h.Rule, day: str | h.Rule, hours: str | h.Rule, end: str | None = None) -> Column:
     """Opening hours: day to hours joined by ``, ``; ``closed`` if all are blank.
 
     Cards without a title or without hours are skipped, a repeated day keeps its
@@ -151,7 +151,7 @@ def _info_blocks(html: Column, rules: DetailRules) -> Column:
 
     def child(block: Column, n: int) -> Column:
         part = F.get(h.all_matches(block, rules.block_child), n)
-        return let(part, lambda p: F.when(p.rlike(rules.block_text), p))
+        return let(part, lambda p: F.when(h.starts_with(p, rules.block_text), p))
 
     def first_of(blocks: Column, n: int) -> Column:
         found = F.filter(F.transform(blocks, lambda b: child(b, n)), lambda part: part.isNotNull())
@@ -161,7 +161,7 @@ def _info_blocks(html: Column, rules: DetailRules) -> Column:
         # What precedes the first block is cut off; a block's own tag is gone, so only
         # its children are matched.
         return let(
-            F.slice(F.split(section, rules.block), 2, F.length(section) + 1),
+            h.split_after(section, rules.block),
             lambda blocks: F.array(first_of(blocks, 0), first_of(blocks, 1)),
         )
 

@@ -6,7 +6,7 @@ another markup is another instance, not other code.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pagelake.functions import html as h
 
@@ -34,35 +34,38 @@ PHONE_EVENT = "CTA_tel"
 WEBSITE_EVENT = "CTA_website"
 
 # An award image has a class name that ends in "-award".
-AWARD_IMAGE = r'\sclass\s*=\s*["\'](?:[^"\'>]*\s)?[\w-]+-award(?=[\s"\'])'
+AWARD_IMAGE = h.Condition(
+    r"\sclass\s*=\s*[\"'](?:[^\"'>]*\s)?[\w-]+-award(?=[\s\"'])", ("-award",)
+)
+
+Pattern = str | h.Rule
 
 
 @dataclass(frozen=True)
 class CardRules:
     """How to read the seven fields of a card."""
 
-    marker: str = h.opening("div", h.has_class(CARD_CLASS))
-    fallback: str | None = h.element("a", h.attr_contains("data-track", CARD_LINK_TRACK))
+    marker: Pattern = h.opening("div", h.has_class(CARD_CLASS))
+    fallback: Pattern | None = h.element("a", h.attr_contains("data-track", CARD_LINK_TRACK))
     end: str | None = None
-    name: str = h.element("h3", h.attr_contains("class", TITLE_PART))
-    link: str = h.attribute("a", "href", h.attr_contains("href", VENUE_PATH))
-    award_block: str | None = h.element("div", h.has_class(AWARD_BLOCK_CLASS))
-    award_src: str = h.attribute("img", "src", AWARD_IMAGE)
-    score: str = h.element("div", h.has_class(SCORE_CLASS))
+    name: Pattern = h.element("h3", h.attr_contains("class", TITLE_PART))
+    link: Pattern = h.attribute("a", "href", h.attr_contains("href", VENUE_PATH))
+    award_block: Pattern | None = h.element("div", h.has_class(AWARD_BLOCK_CLASS))
+    award_src: Pattern = h.attribute("img", "src", AWARD_IMAGE)
+    score: Pattern = h.element("div", h.has_class(SCORE_CLASS))
     star: str = "1star.svg"
     bib: str = "bib-gourmand.svg"
     label_mode: str = "bib_first"
     rendered: bool = True  # visible text; False keeps inner white space
 
 
-_NEARBY_TITLE = h.element("h3", h.has_class(NEARBY_TITLE_CLASS))
+_TITLE = h.opening("h3", h.has_class(NEARBY_TITLE_CLASS))
 
 NEARBY_CARDS = CardRules(
     marker=h.opening("div", h.has_class(CARD_CLASS), h.has_class(NEARBY_CARD_CLASS)),
     fallback=None,
-    name=_NEARBY_TITLE.replace("(.*?)", r"[^<]*<(?i:a)(?=[\s>])[^>]*>(.*?)</(?i:a)\s*>.*?"),
-    link=h.opening("h3", h.has_class(NEARBY_TITLE_CLASS))
-    + r'[^<]*<(?i:a)(?=\s)[^>]*?\shref\s*=\s*["\']([^"\']*)["\']',
+    name=h.after(_TITLE, "[^<]*", h.element("a")),
+    link=h.after(_TITLE, "[^<]*", h.attribute("a", "href")),
     star="1star",
     bib="bib-gourmand",
     label_mode="stars_first",
@@ -74,26 +77,28 @@ NEARBY_CARDS = CardRules(
 class DetailRules:
     """How to read a detail page."""
 
-    info: str = h.opening("div", h.has_class(DETAIL_INFO_CLASS))
-    block: str = h.opening("div", h.has_class(DETAIL_BLOCK_CLASS))
-    block_child: str = r"(?s)(<(?i:div)(?=[\s>])[^>]*>.*?)</(?i:div)\s*>"
-    block_text: str = "^" + h.opening("div", h.has_class(DETAIL_TEXT_CLASS))
-    heading_item: str = h.element("li", h.has_class(HEADING_ITEM_CLASS))
-    map_link: str = h.element("a", h.attr_contains("href", "maps"))
-    phone: str = h.element(
+    info: Pattern = h.opening("div", h.has_class(DETAIL_INFO_CLASS))
+    block: Pattern = h.opening("div", h.has_class(DETAIL_BLOCK_CLASS))
+    block_child: Pattern = r"(<(?i:div)(?=[\s>])[^>]*>" + h.up_to("</(?i:div)") + r")</(?i:div)\s*>"
+    block_text: Pattern = h.opening("div", h.has_class(DETAIL_TEXT_CLASS))
+    heading_item: Pattern = h.element("li", h.has_class(HEADING_ITEM_CLASS))
+    map_link: Pattern = h.element("a", h.attr_contains("href", "maps"))
+    phone: Pattern = h.element(
         "a", h.any_of(h.attr_starts("href", "tel:"), h.attr_equals("data-event", PHONE_EVENT))
     )
-    phone_link: str = h.element("a", h.attr_contains("href", "tel:"))
-    description: str = h.element("div", h.any_of(*map(h.has_class, DESCRIPTION_CLASSES)))
-    old_description: str = h.element("div", h.has_class(OLD_DESCRIPTION_CLASS))
-    hours_card: str = h.opening("div", h.any_of(*map(h.has_class, HOURS_CLASSES)))
+    phone_link: Pattern = h.element("a", h.attr_contains("href", "tel:"))
+    description: Pattern = h.element("div", h.any_of(*map(h.has_class, DESCRIPTION_CLASSES)))
+    old_description: Pattern = h.element("div", h.has_class(OLD_DESCRIPTION_CLASS))
+    hours_card: Pattern = h.opening("div", h.any_of(*map(h.has_class, HOURS_CLASSES)))
     hours_end: str = r"<(?i:h2|footer|/section|/main)(?=[\s>])"
-    day: str = h.element("div", h.has_class(DAY_CLASS))
-    hours: str = h.element("div", h.has_class(HOURS_CLASS))
+    day: Pattern = h.element("div", h.has_class(DAY_CLASS))
+    hours: Pattern = h.element("div", h.has_class(HOURS_CLASS))
     website_text: str = WEBSITE_TEXT
-    website_link: str = h.attribute("a", "href", h.attr_equals("data-event", WEBSITE_EVENT))
-    nearby_heading: str = rf"<(?i:h2)(?=[\s>])[^>]*>[^<]*{NEARBY_HEADING}"
-    nearby: CardRules = field(default_factory=lambda: NEARBY_CARDS)
+    website_link: Pattern = h.attribute("a", "href", h.attr_equals("data-event", WEBSITE_EVENT))
+    nearby_heading: Pattern = h.Rule(
+        rf"<(?i:h2)(?=[\s>])[^>]*>[^<]*{NEARBY_HEADING}", (NEARBY_HEADING,)
+    )
+    nearby: CardRules = NEARBY_CARDS
     nearby_limit: int = 9
 
 
