@@ -21,7 +21,7 @@ ENTITIES = {n: chr(c) for n, c in sorted(name2codepoint.items())} | {"apos": "'"
 # References that are common enough for a plain replacement (fixed values).
 _COMMON = {"lt": "<", "gt": ">", "quot": '"', "nbsp": chr(0xA0), "middot": "·", "#39": "'"}
 
-_REFERENCE = "#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*"
+_REFERENCE = "#[0-9]{1,18}|#[xX][0-9a-fA-F]{1,15}|[A-Za-z][A-Za-z0-9]*"
 _INVISIBLE = r"(?is)<(?:!--.*?-->|(script|style)\b.*?</\1\s*>)"
 _SPACES = "\t\r\n\f"
 _BREAKS = (

@@ -177,13 +177,16 @@ def _slice_by_ranges(
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = 100_000) -> DataFrame:
-    """Keys that hold more than 1/HOT_SHARE of the rows: fewer than HOT_SHARE rows."""
-    total = df.agg(F.count("*").alias("n"))
+    """Hashes (``_hash``) of the keys that hold more than 1/HOT_SHARE of the rows.
+
+    Fewer than HOT_SHARE rows of eight bytes, whatever the data and the key.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n"))
     return (
-        df.groupBy(key)
-        .agg(F.count("*").alias("_n"))
-        .filter((F.col("_n") >= min_rows) & (F.col("_n") * HOT_SHARE > total.scalar()))
-        .select(key)
+        counts.filter((F.col("_n") >= min_rows) & (F.col("_n") * HOT_SHARE > total.scalar()))
+        .select(F.xxhash64(key).alias("_hash"), F.lit(True).alias("_hot"))
+        .distinct()
     )
 
 
@@ -193,21 +196,27 @@ def left_join_salted(
     """Left equi-join against a side that is unique by ``key``; hot keys are split.
 
     Rows with a hot key spread over ``SALTS`` tasks and only the matching rows on the
-    right are copied to them. The salt is a hash of the row, so a task that runs
-    again sends every row to the same place.
+    right are copied to them; rows without a key spread as well. Both sides tell hot
+    keys by the same hash, so two keys with one hash are merely split alike. The salt
+    is a hash of the row: a task that runs again sends every row to the same place.
     """
-    hot = F.broadcast(hot_keys(left, key, min_rows).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(left, key, min_rows))
+    hashed = F.xxhash64(key)
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
-    salted_left = (
-        left.join(hot, key, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0))
-        .drop("_hot")
-    )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
         F.array(F.lit(0))
     )
+    salted_left = (
+        left.withColumn("_hash", hashed)
+        .join(hot, "_hash", "left")
+        .withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), spread).otherwise(0))
+        .drop("_hash", "_hot")
+    )
     salted_right = (
-        right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+        right.withColumn("_hash", hashed)
+        .join(hot, "_hash", "left")
+        .withColumn("_salt", F.explode(copies))
+        .drop("_hash", "_hot")
     )
     return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt")
 

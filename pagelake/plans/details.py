@@ -34,8 +34,9 @@ def build_details(
     gives no rows. If a URL was captured more than once, the first capture by
     ``capture_order`` counts; without it URLs must be unique.
 
-    A short slice has a bounded number of links, which are broadcast so that only
-    their pages are parsed. Otherwise every page is parsed where it is read and only
+    A short slice has a bounded number of links. Their hashes, eight bytes each, are
+    broadcast so that only their pages (and the rare page with an equal hash, which the
+    join drops) are parsed. Otherwise every page is parsed where it is read and only
     the records, not the pages, are shuffled to the listing.
     """
     spark = pages.sparkSession
@@ -44,8 +45,9 @@ def build_details(
     wanted = slice_rows(valid_url(listing), order, start, max_rows)
     bounded = is_bounded_slice(start, max_rows)
     if bounded:
-        links = wanted.select("url").distinct()
-        pages = pages.join(F.broadcast(links), "url", "left_semi")
+        hashed = F.xxhash64("url").alias("_hash")
+        links = F.broadcast(wanted.select(hashed).distinct())
+        pages = pages.select("*", hashed).join(links, "_hash", "left_semi").drop("_hash")
     details = extract_details(pages, rules, keep=tuple(capture_order))
     if capture_order:
         details = first_wins(details, ["url"], capture_order).drop(*capture_order)

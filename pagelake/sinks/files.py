@@ -36,7 +36,8 @@ def write_json(
     ``lines`` writes one object per line. ``array`` needs ``order`` (a total order,
     not written) and writes part files that, read one after the other in name order,
     are one JSON array: the first record opens it, the last one closes it, and no
-    task holds more than its own part.
+    task holds more than its own part. It reads ``df`` more than once, so hand in a
+    stored table.
     """
     if mode == "lines":
         df.write.mode("overwrite").option("ignoreNullFields", ignore_nulls).json(path)

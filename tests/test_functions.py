@@ -28,6 +28,7 @@ def one(spark, value, expr, kind="string"):
         ("&nope; &amp; &", "&nope; & &"),
         ("&#xD800;|&#0;", "�|�"),
         ("&#39;&apos;&quot;", "''\""),
+        ("&#0000000038;&#x00000026;&#99999999;", "&&�"),
     ],
 )
 def test_decode_entities(spark, raw, want):

@@ -58,7 +58,7 @@ def test_pushdown(spark, sf):
 def test_short_slice_parses_only_its_pages(spark, sf):
     """The links of a short slice are broadcast ahead of the extraction."""
     plan = plan_of(QUERIES["build_details_slice"](spark, sf))
-    assert re.search(r"BroadcastHashJoin \[url#\d+\], \[url#\d+\], LeftSemi", plan)
+    assert re.search(r"BroadcastHashJoin \[_hash#\d+L\], \[_hash#\d+L\], LeftSemi", plan)
 
 
 def test_stream_goes_on_where_it_stopped(spark, sf):
