@@ -104,8 +104,12 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return read_pages(spark, f"{sf}/pages.parquet")
 
 
+def _spread(spark: SparkSession, sf: str) -> DataFrame:
+    return read_pages(spark, f"{sf}/pages.parquet", spread=True)
+
+
 def _numbered(spark: SparkSession, sf: str) -> DataFrame:
-    return _pages(spark, sf).withColumn("page_no", F.col("page_id").cast("int"))
+    return _spread(spark, sf).withColumn("page_no", F.col("page_id").cast("int"))
 
 
 def _host(url: Column) -> Column:
@@ -114,7 +118,7 @@ def _host(url: Column) -> Column:
 
 def _nav(spark: SparkSession, sf: str) -> DataFrame:
     """All nav cards: page_id, pos, name and link, as on the page."""
-    cards = explode_cards(_pages(spark, sf), NAV_MARKER, end=NAV_END, keep=("page_id",))
+    cards = explode_cards(_spread(spark, sf), NAV_MARKER, end=NAV_END, keep=("page_id",))
     return cards.select(
         "page_id",
         F.col("pos").cast("bigint").alias("pos"),
@@ -335,7 +339,7 @@ def day_map_query(spark, sf):
     days = day_map(
         F.col("html"), PARAGRAPH_CARD, PARAGRAPH_DAY, PARAGRAPH_HOURS, "</article>|<footer>"
     )
-    rows = _pages(spark, sf).select(
+    rows = _spread(spark, sf).select(
         "page_id", F.posexplode(days).alias("place", "day", "hours")
     )
     return rows.withColumn("place", F.col("place").cast("bigint"))
@@ -349,11 +353,11 @@ def section_after(spark, sf):
 
 def nearby_first_n(spark, sf):
     near = nearby_array(F.col("html"), F.col("url"), "<nav>", NAV_NEARBY, 3)
-    return _pages(spark, sf).select("page_id", F.inline(near))
+    return _spread(spark, sf).select("page_id", F.inline(near))
 
 
 def detail_record(spark, sf):
-    return extract_details(_pages(spark, sf), PAGE_DETAILS, keep=("page_id",)).select(
+    return extract_details(_spread(spark, sf), PAGE_DETAILS, keep=("page_id",)).select(
         "page_id",
         "address",
         "phone",
@@ -516,7 +520,7 @@ def build_listing_query(spark, sf):
 def _detail_pages(spark, sf):
     """Pages known by the link of their first nav entry, so that some cards hit them."""
     link = h.first_attr(F.col("html"), NAV_LINK, F.col("url"))
-    return _pages(spark, sf).withColumn("url", link)
+    return _spread(spark, sf).withColumn("url", link)
 
 
 def _detail_columns(details):

@@ -16,7 +16,17 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelake.functions.text import VISIBLE, apply_all, decode_entities, let, resolve_url, visible_text
+from pagelake.functions.text import (
+    VISIBLE,
+    apply,
+    apply_all,
+    decode_entities,
+    let,
+    resolve_url,
+    sql_let,
+    sql_text,
+    visible_text,
+)
 
 
 class Rule(NamedTuple):
@@ -121,11 +131,14 @@ def first_match(html: Column, rule: str | Rule, group: int = 1) -> Column:
     look beyond its own match.
     """
     pattern, marks = _rule(rule)
-    found = let(
-        F.regexp_extract(html, pattern, 0),
-        lambda found: F.when(found != "", F.regexp_extract(found, pattern, group)),
+    text = sql_text(pattern)
+    found = sql_let(
+        "m", f"regexp_extract(h, {text}, 0)", f"IF(m <> '', regexp_extract(m, {text}, {group}), NULL)"
     )
-    return F.when(_marked(html, marks), found) if marks else found
+    if marks:
+        present = " OR ".join(f"contains(h, {sql_text(mark)})" for mark in marks)
+        found = f"CASE WHEN {present} THEN {found} END"
+    return apply(html, f"h -> {found}")
 
 
 def all_matches(html: Column, rule: str | Rule, group: int = 1) -> Column:

@@ -36,31 +36,31 @@ _FOLDER = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/]+(?:/.*(?=/))?)"
 _DOTTED = r"^[^?#]*/\.\.?(?:[/?#]|$)"
 
 
-def _lit(text: str) -> str:
+def sql_text(text: str) -> str:
     """A SQL string literal."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _replaced(x: str, *steps: tuple[str, str]) -> str:
     for pattern, new in steps:
-        x = f"regexp_replace({x}, {_lit(pattern)}, {_lit(new)})"
+        x = f"regexp_replace({x}, {sql_text(pattern)}, {sql_text(new)})"
     return x
 
 
-def _bind(var: str, value: str, body: str) -> str:
+def sql_let(var: str, value: str, body: str) -> str:
     """SQL for ``body`` with ``var`` standing for ``value``, computed once."""
     return f"get(transform(array({value}), {var} -> {body}), 0)"
 
 
 def _stripped(x: str) -> str:
-    return f"trim(BOTH {_lit(WHITESPACE)} FROM {x})"
+    return f"trim(BOTH {sql_text(WHITESPACE)} FROM {x})"
 
 
 def _char(code: str) -> str:
     valid = f"{code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111"
     return (
         f"CASE WHEN {valid} THEN decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32') "
-        f"ELSE {_lit(chr(0xFFFD))} END"
+        f"ELSE {sql_text(chr(0xFFFD))} END"
     )
 
 
@@ -73,25 +73,25 @@ def _decoded(s: str) -> str:
         "ELSE substr(r, 2) END AS BIGINT)"
     )
     value = (
-        f"CASE WHEN startswith(r, '#') THEN {_bind('n', number, _char('n'))} "
-        f"ELSE try_element_at(str_to_map({_lit(table)}, {_lit(chr(10))}, ' '), r) END"
+        f"CASE WHEN startswith(r, '#') THEN {sql_let('n', number, _char('n'))} "
+        f"ELSE try_element_at(str_to_map({sql_text(table)}, {sql_text(chr(10))}, ' '), r) END"
     )
-    piece = _bind(
+    piece = sql_let(
         "r",
-        f"regexp_extract(p, {_lit(f'^({_REFERENCE});')}, 1)",
+        f"regexp_extract(p, {sql_text(f'^({_REFERENCE});')}, 1)",
         f"coalesce(CASE WHEN r <> '' THEN concat({value}, substr(p, length(r) + 2)) END, "
         "concat('&', p))",
     )
-    general = _bind(
+    general = sql_let(
         "ps",
         f"split({s}, '&')",
         f"concat(ps[0], array_join(transform(slice(ps, 2, size(ps)), p -> {piece}), ''))",
     )
     common = s
     for name, char in _COMMON.items():
-        common = f"replace({common}, {_lit(f'&{name};')}, {_lit(char)})"
-    other = _lit(f"&(?!amp;)(?:{_REFERENCE});")
-    quick = _bind(
+        common = f"replace({common}, {sql_text(f'&{name};')}, {sql_text(char)})"
+    other = sql_text(f"&(?!amp;)(?:{_REFERENCE});")
+    quick = sql_let(
         "q", common, f"CASE WHEN q RLIKE {other} THEN {general} ELSE replace(q, '&amp;', '&') END"
     )
     return f"CASE WHEN contains({s}, '&') THEN {quick} ELSE {s} END"
@@ -100,8 +100,8 @@ def _decoded(s: str) -> str:
 def _collapsed(x: str) -> str:
     """Runs of white space as one space; text without any is only looked through."""
     for char in _SPACES:
-        x = f"replace({x}, {_lit(char)}, ' ')"
-    return _bind(
+        x = f"replace({x}, {sql_text(char)}, ' ')"
+    return sql_let(
         "w",
         x,
         f"CASE WHEN contains(w, '  ') THEN {_replaced('w', (' {2,}', ' '))} ELSE w END",
@@ -113,7 +113,7 @@ def _content(f: str) -> str:
         f"CASE WHEN contains({f}, '<') THEN {_replaced(f, (_COMMENTS, ''), (_TAGS, ''))} "
         f"ELSE {f} END"
     )
-    return _stripped(_bind("s", bare, _decoded("s")))
+    return _stripped(sql_let("s", bare, _decoded("s")))
 
 
 def _visible(f: str) -> str:
@@ -121,8 +121,8 @@ def _visible(f: str) -> str:
     lines = _replaced(source, (_BREAKS, "\n"), (_TAGS, ""))
     markup = _replaced(lines, (r" *\n[ \n]*", "\n"), (" {2,}", " "))
     bare = f"CASE WHEN contains({f}, '<') THEN {markup} ELSE {_collapsed(f)} END"
-    decoded = _bind("s", bare, _decoded("s"))
-    return _stripped(f"replace({decoded}, {_lit(chr(0xA0))}, ' ')")
+    decoded = sql_let("s", bare, _decoded("s"))
+    return _stripped(f"replace({decoded}, {sql_text(chr(0xA0))}, ' ')")
 
 
 def _without_dots(path: str) -> str:
@@ -131,28 +131,28 @@ def _without_dots(path: str) -> str:
         "CASE WHEN s = '.' THEN acc WHEN s = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 1)) "
         "ELSE concat(acc, array(s)) END)"
     )
-    tail = f"CASE WHEN {path} RLIKE {_lit(r'/\.\.?$')} THEN '/' ELSE '' END"
+    tail = f"CASE WHEN {path} RLIKE {sql_text(r'/\.\.?$')} THEN '/' ELSE '' END"
     return f"concat(array_join({kept}, '/'), {tail})"
 
 
 def _resolved(href: str, page_url: str) -> str:
-    site = f"regexp_extract({page_url}, {_lit(_ORIGIN)}, 1)"
+    site = f"regexp_extract({page_url}, {sql_text(_ORIGIN)}, 1)"
     page = f"regexp_extract({page_url}, '^([^?#]*)', 1)"
-    folder = f"regexp_extract({page}, {_lit(_FOLDER)}, 1)"
+    folder = f"regexp_extract({page}, {sql_text(_FOLDER)}, 1)"
     path = (
         f"CASE WHEN startswith({href}, '/') THEN {href} "
         f"ELSE concat(substr({folder}, length({site}) + 1), '/', {href}) END"
     )
     plain = "regexp_extract(p, '^([^?#]*)', 1)"
-    tidy = _bind(
+    tidy = sql_let(
         "p",
         path,
-        f"CASE WHEN p RLIKE {_lit(_DOTTED)} THEN "
-        f"{_bind('d', plain, 'concat(' + _without_dots('d') + ', substr(p, length(d) + 1))')} "
+        f"CASE WHEN p RLIKE {sql_text(_DOTTED)} THEN "
+        f"{sql_let('d', plain, 'concat(' + _without_dots('d') + ', substr(p, length(d) + 1))')} "
         "ELSE p END",
     )
     return (
-        f"CASE WHEN {href} = '' OR {href} RLIKE {_lit(_ABSOLUTE)} THEN {href} "
+        f"CASE WHEN {href} = '' OR {href} RLIKE {sql_text(_ABSOLUTE)} THEN {href} "
         f"WHEN startswith({href}, '//') THEN concat(split_part({page_url}, '/', 1), {href}) "
         f"WHEN startswith({href}, '#') THEN concat(split_part({page_url}, '#', 1), {href}) "
         f"WHEN startswith({href}, '?') THEN concat({page}, {href}) "

@@ -108,7 +108,11 @@ def stop_at_first_gap(
     stop and for the result, so hand in a stored table if it is costly to compute.
     """
     capped = cap_pages(df, max_pages, page_col, first_page)
-    return capped.filter(F.col(page_col) < first_gap(capped, page_col, first_page).scalar())
+    # In the column's own type, so that the comparison can reach the scan.
+    stop = first_gap(capped, page_col, first_page).select(
+        F.col("stop").cast(df.schema[page_col].dataType)
+    )
+    return capped.filter(F.col(page_col) < stop.scalar())
 
 
 def valid_url(df: DataFrame, column: str = "url") -> DataFrame:

@@ -8,29 +8,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Applied only where the session's owner has not chosen a value.
-DEFAULTS = {
+TUNING = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
+    # Pages are wide rows: 4096 of them in one column batch can be gigabytes.
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
 }
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Set the :data:`TUNING` values that the session's owner left open."""
+    chosen = spark.conf.getAll
+    for key, value in TUNING.items():
+        if key not in chosen:
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cpus: int | str = "*", app: str = "pagelake") -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     shuffles = "8" if cpus == "*" else str(max(int(cpus), 1))
-    builder = (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", shuffles)
         .config("spark.driver.memory", "8g")
+        .getOrCreate()
     )
-    for key, value in DEFAULTS.items():
-        builder = builder.config(key, value)
-    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
 
 
 def work_dir(spark: SparkSession) -> str:

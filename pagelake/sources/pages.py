@@ -8,9 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Captured pages, one row per page, with at least ``url`` and ``html``."""
-    return spark.read.parquet(path)
+def read_pages(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """Captured pages, one row per page, with at least ``url`` and ``html``.
+
+    Parsing is heavy work per byte. With ``spread``, a capture that has fewer splits
+    than there are cores is dealt out to all of them first; a large capture has more
+    splits than cores and is read as it lies, without a shuffle.
+    """
+    pages = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and pages.rdd.getNumPartitions() < cores:
+        pages = pages.repartition(cores)
+    return pages
 
 
 def page_sequence(spark: SparkSession, max_pages: int = 20) -> DataFrame:
