@@ -2,7 +2,8 @@
 
 A rule is a regular expression whose group 1 is the wanted part. The helpers
 below build rules from tag names and attribute conditions; the extractors turn a
-rule into one column expression. A rule may also carry marks, plain texts one of
+rule into one column expression. A tag holds no bare "<", so that an unclosed tag ends
+at the next one and the search stays linear on broken pages. A rule may carry marks, plain texts one of
 which every match contains: a page without any of them is not searched further,
 and looking for a plain text is far cheaper than running an expression.
 """
@@ -47,30 +48,36 @@ def _rule(rule: str | Rule) -> Rule:
     return Rule(rule) if isinstance(rule, str) else rule
 
 
-def _quoted(attr: str, before: str, value: str, after: str) -> Condition:
-    return Condition(
-        rf"\s{attr}\s*=\s*[\"']{before}{re.escape(value)}{after}", (value,)
-    )
+def _condition(attr: str, value: str, double: str, single: str, bare: str) -> Condition:
+    """One pattern per way to quote; ``VALUE`` stands for the wanted text."""
+    ways = f"(?:\"{double}|'{single}|{bare})".replace("VALUE", re.escape(value))
+    return Condition(rf"\s{attr}\s*=\s*{ways}", (value,))
 
 
 def has_class(name: str) -> Condition:
     """The class list holds exactly this name."""
-    return _quoted("class", r"(?:[^\"'>]*\s)?", name, r"(?=[\s\"'])")
+    return _condition(
+        "class",
+        name,
+        r"(?:[^\"<>]*\s)?VALUE(?=[\s\"])",
+        r"(?:[^'<>]*\s)?VALUE(?=[\s'])",
+        r"VALUE(?=[\s>])",
+    )
 
 
 def attr_contains(attr: str, value: str) -> Condition:
     """The attribute contains this text."""
-    return _quoted(attr, r"[^\"'>]*", value, "")
+    return _condition(attr, value, r"[^\"<>]*?VALUE", r"[^'<>]*?VALUE", r"[^\s\"'<>]*?VALUE")
 
 
 def attr_starts(attr: str, value: str) -> Condition:
     """The attribute starts with this text."""
-    return _quoted(attr, "", value, "")
+    return _condition(attr, value, "VALUE", "VALUE", "VALUE")
 
 
 def attr_equals(attr: str, value: str) -> Condition:
     """The attribute equals this text."""
-    return _quoted(attr, "", value, r"[\"']")
+    return _condition(attr, value, 'VALUE"', "VALUE'", r"VALUE(?=[\s>])")
 
 
 def any_of(*conditions: Condition) -> Condition:
@@ -86,12 +93,12 @@ def _marks(conditions: tuple[Condition, ...]) -> tuple[str, ...]:
 
 
 def _checks(conditions: tuple[Condition, ...]) -> str:
-    return "".join(f"(?=[^>]*?{c.pattern})" for c in conditions)
+    return "".join(f"(?=[^<>]*?{c.pattern})" for c in conditions)
 
 
 def opening(tag: str, *conditions: Condition) -> Rule:
     """An opening tag that meets all conditions (no group)."""
-    return Rule(rf"<(?i:{tag})(?=[\s/>]){_checks(conditions)}[^>]*>", _marks(conditions))
+    return Rule(rf"<(?i:{tag})(?=[\s/>]){_checks(conditions)}[^<>]*>", _marks(conditions))
 
 
 def up_to(stop: str) -> str:
@@ -110,9 +117,10 @@ def element(tag: str, *conditions: Condition) -> Rule:
 
 
 def attribute(tag: str, name: str, *conditions: Condition) -> Rule:
-    """An opening tag; group 1 is the value of one attribute."""
-    value = rf"[^>]*?\s{name}\s*=\s*[\"']([^\"']*)[\"']"
-    return Rule(rf"<(?i:{tag})(?=\s){_checks(conditions)}{value}", _marks(conditions))
+    """An opening tag; group 1 is the value of one attribute, quoted or bare."""
+    value = r"""(?<=\")[^\"]*(?=\")|(?<=')[^']*(?=')|(?<=[=\s])[^\s\"'<>]+"""
+    start = rf"<(?i:{tag})(?=\s){_checks(conditions)}[^<>]*?\s{name}\s*=\s*"
+    return Rule(rf"{start}[\"']?({value})[\"']?", _marks(conditions))
 
 
 def after(first: Rule, gap: str, second: Rule) -> Rule:
@@ -203,7 +211,7 @@ def link_by_text(html: Column, text: str, fallback: str | Rule, page_url: Column
     and does not reach the fallback.
     """
     anchor = Rule(
-        rf"(<(?i:a)(?=[\s>])[^>]*>)(?:\s*<(?!/?[aA][\s>])[^>]*>)*+[^<]*{re.escape(text)}", (text,)
+        rf"(<(?i:a)(?=[\s>])[^<>]*>)(?:\s*<(?!/?[aA][\s>])[^<>]*>)*+[^<]*{re.escape(text)}", (text,)
     )
 
     def target(opened: Column) -> Column:

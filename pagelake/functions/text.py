@@ -26,10 +26,10 @@ _INVISIBLE = r"(?is)<(?:!--.*?-->|(script|style)\b.*?</\1\s*>)"
 _SPACES = "\t\r\n\f"
 _BREAKS = (
     r"(?i)<(?:br|/?(?:address|article|div|dd|dl|dt|footer|h[1-6]|header|li|nav|ol|p|section"
-    r"|table|tr|ul))(?:[\s/][^>]*)?>"
+    r"|table|tr|ul))(?:[\s/][^<>]*)?>"
 )
 _COMMENTS = r"(?s)<!--.*?-->"
-_TAGS = r"</?[a-zA-Z][^>]*>"
+_TAGS = r"</?[a-zA-Z][^<>]*>"
 _ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 _ORIGIN = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)"
 _FOLDER = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/]+(?:/.*(?=/))?)"

@@ -93,6 +93,22 @@ def test_conditions(spark):
         assert one(spark, link, lambda c, k=cond: h.first_match(c, h.element("a", k))) == "x"
 
 
+def test_quotes(spark):
+    """Values in either kind of quotes or none; the other kind may be inside."""
+    href = lambda c: h.first_attr(c, h.attribute("a", "href"))
+    assert one(spark, """<a href="/l'atelier">x</a>""", href) == "/l'atelier"
+    assert one(spark, """<a href='/a"b'>x</a>""", href) == '/a"b'
+    assert one(spark, "<a id=1 href=/bare>x</a>", href) == "/bare"
+    assert one(spark, "<a href = '' >x</a>", href) == ""
+    assert one(spark, "<a data-href='/n'>x</a>", href) is None
+    for tag in ("<b class=k>", "<b class='j k'>", '<b class="it\'s k">', "<b class = k id=1>"):
+        assert one(spark, tag + "t</b>", lambda c: h.first_text(c, h.element("b", h.has_class("k")))) == "t"
+    for tag in ("<b class=kk>", "<b class='j-k'>", '<b title="k" class="l">', "<b class=k-j>"):
+        assert one(spark, tag + "t</b>", lambda c: h.first_text(c, h.element("b", h.has_class("k")))) is None
+    same = lambda c: h.first_match(c, h.element("a", h.attr_equals("rel", "q")))
+    assert [one(spark, f"<a rel={v}>t</a>", same) for v in ("q", "'q'", "'qq'", "qq")] == ["t", "t", None, None]
+
+
 def test_link_by_text(spark):
     rule = lambda c: h.link_by_text(
         c, "Visit Website", h.attribute("a", "href", h.attr_equals("data-event", "W")),
@@ -208,3 +224,25 @@ def test_json_forms(spark):
 def test_card_markup_reads_back(spark):
     """The fixture's own markup has the pieces the rules look for."""
     assert "card__menu-content--title" in card("a", "a", [S], ["x"])
+
+
+def test_broken_pages_take_linear_time(spark):
+    """Long runs of unclosed tags, comments and cards neither hang nor overflow."""
+    from pagelake.operators.cards import extract_details, listing_cards
+    from pagelake.plans.rules import DETAILS, LISTING_CARDS
+
+    pages = [
+        "<a " * 200_000 + "tel: CTA_website Visit Website -award",
+        "<div class='card--title " * 50_000 + "card-borderline data-sheet__detail-info",
+        "<div class='card-borderline'>" * 20_000,
+        "<div class='card__menu selection-card'>" * 20_000 + "<h3 class='title'>" * 2_000,
+        "<" * 500_000 + "Nearby Restaurants data-sheet__description",
+        "<p>" + "x " * 500_000 + "card__menu",
+    ]
+    df = spark.createDataFrame(
+        [(n, f"https://g.example/{n}", page) for n, page in enumerate(pages)],
+        "page_no int, url string, html string",
+    )
+    assert extract_details(df, DETAILS).filter("phone is not null").count() == 0
+    cards = listing_cards(df, LISTING_CARDS).groupBy("page_no").count().collect()
+    assert {r["page_no"]: r["count"] for r in cards} == {3: 20_000}
