@@ -75,9 +75,9 @@ PARAGRAPH_HOURS = "^<p>(?:<b>)?(" + h.up_to("(?:</p>|<br>)") + ")"
 
 PAGE_DETAILS = DetailRules(
     info="<body>",
-    block="<article>",
-    block_child=r"(?s)(<h1>.*?)</h1>",
-    block_text="<h1>",
+    block=h.Rule("<article>"),
+    block_child="h1",
+    block_text=h.element("h1"),
     heading_item=r"(?s)<nav>(.*?)</nav>",
     map_link=NAV_NAME,
     phone=h.element("a", h.attr_equals("href", "/to")),

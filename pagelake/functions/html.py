@@ -11,7 +11,6 @@ and looking for a plain text is far cheaper than running an expression.
 from __future__ import annotations
 
 import re
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -31,10 +30,15 @@ from pagelake.functions.text import (
 
 
 class Rule(NamedTuple):
-    """A pattern and its marks; a plain string is a rule without marks."""
+    """A pattern and its marks; a plain string is a rule without marks.
+
+    ``in_tag`` says that a match starts at the last "<" before a mark, so that the
+    search can begin there.
+    """
 
     pattern: str
     marks: tuple[str, ...] = ()
+    in_tag: bool = False
 
 
 class Condition(NamedTuple):
@@ -98,7 +102,8 @@ def _checks(conditions: tuple[Condition, ...]) -> str:
 
 def opening(tag: str, *conditions: Condition) -> Rule:
     """An opening tag that meets all conditions (no group)."""
-    return Rule(rf"<(?i:{tag})(?=[\s/>]){_checks(conditions)}[^<>]*>", _marks(conditions))
+    pattern = rf"<(?i:{tag})(?=[\s/>]){_checks(conditions)}[^<>]*>"
+    return Rule(pattern, _marks(conditions), bool(conditions))
 
 
 def up_to(stop: str) -> str:
@@ -113,23 +118,60 @@ def up_to(stop: str) -> str:
 def element(tag: str, *conditions: Condition) -> Rule:
     """An element; group 1 is its content up to the first closing tag."""
     start, close = opening(tag, *conditions), rf"</(?i:{tag})\s*>"
-    return Rule(f"{start.pattern}({up_to(close)}){close}", start.marks)
+    return start._replace(pattern=f"{start.pattern}({up_to(close)}){close}")
 
 
 def attribute(tag: str, name: str, *conditions: Condition) -> Rule:
     """An opening tag; group 1 is the value of one attribute, quoted or bare."""
     value = r"""(?<=\")[^\"]*(?=\")|(?<=')[^']*(?=')|(?<=[=\s])[^\s\"'<>]+"""
     start = rf"<(?i:{tag})(?=\s){_checks(conditions)}[^<>]*?\s{name}\s*=\s*"
-    return Rule(rf"{start}[\"']?({value})[\"']?", _marks(conditions))
+    return Rule(rf"{start}[\"']?({value})[\"']?", _marks(conditions), bool(conditions))
 
 
 def after(first: Rule, gap: str, second: Rule) -> Rule:
     """``second`` right behind ``first`` and a gap; the groups are those of ``second``."""
-    return Rule(first.pattern + gap + second.pattern, first.marks or second.marks)
+    return first._replace(pattern=first.pattern + gap + second.pattern)
+
+
+def nth_child(parent: Rule, tag: str, n: int, child: Rule) -> Rule:
+    """``child`` as the n-th (from 0) element ``tag`` inside ``parent``."""
+    skip = up_to(rf"<(?i:{tag})(?=[\s/>])")
+    close = rf"</(?i:{tag})\s*>"
+    earlier = f"{skip}{opening(tag).pattern}{up_to(close)}{close}" * n
+    return after(parent, earlier + skip, child)
+
+
+def _present(marks: tuple[str, ...]) -> str:
+    return " OR ".join(f"contains(h, {sql_text(mark)})" for mark in marks)
+
+
+def _from_mark(marks: tuple[str, ...]) -> str:
+    """SQL for the page ``h`` from the tag on that holds the first mark.
 
+    Plain texts are found by skipping, several times faster than by trying a pattern
+    at every character.
+    """
+    before = "h"
+    for mark in marks:
+        before = f"split({before}, {sql_text(re.escape(mark))}, 2)[0]"
+    return sql_let(
+        "b",
+        before,
+        "CASE WHEN contains(b, '<') THEN "
+        "concat('<', substring_index(b, '<', -1), substr(h, length(b) + 1)) ELSE h END",
+    )
 
-def _marked(html: Column, marks: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(html, F.lit(m)) for m in marks))
+
+def _search(html: Column, rule: Rule, body: str, none: str) -> Column:
+    """Apply the SQL ``body`` over ``t``, the part of the page that can match."""
+    if not rule.marks:
+        return apply(html, f"t -> {body}")
+    part = _from_mark(rule.marks) if rule.in_tag else "h"
+    return apply(
+        html,
+        f"h -> CASE WHEN {_present(rule.marks)} THEN {sql_let('t', part, body)} "
+        f"WHEN h IS NOT NULL THEN {none} END",
+    )
 
 
 def first_match(html: Column, rule: str | Rule, group: int = 1) -> Column:
@@ -138,25 +180,19 @@ def first_match(html: Column, rule: str | Rule, group: int = 1) -> Column:
     The scan ends at the first match. The pattern must consume text and must not
     look beyond its own match.
     """
-    pattern, marks = _rule(rule)
-    text = sql_text(pattern)
+    rule = _rule(rule)
+    text = sql_text(rule.pattern)
     found = sql_let(
-        "m", f"regexp_extract(h, {text}, 0)", f"IF(m <> '', regexp_extract(m, {text}, {group}), NULL)"
+        "m", f"regexp_extract(t, {text}, 0)", f"IF(m <> '', regexp_extract(m, {text}, {group}), NULL)"
     )
-    if marks:
-        present = " OR ".join(f"contains(h, {sql_text(mark)})" for mark in marks)
-        found = f"CASE WHEN {present} THEN {found} END"
-    return apply(html, f"h -> {found}")
+    return _search(html, rule, found, "NULL")
 
 
 def all_matches(html: Column, rule: str | Rule, group: int = 1) -> Column:
     """Group of every match, in order."""
-    pattern, marks = _rule(rule)
-    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
-    if not marks:
-        return found
-    none = F.when(html.isNotNull(), F.array().cast("array<string>"))
-    return F.when(_marked(html, marks), found).otherwise(none)
+    rule = _rule(rule)
+    found = f"regexp_extract_all(t, {sql_text(rule.pattern)}, {group})"
+    return _search(html, rule, found, "CAST(array() AS ARRAY<STRING>)")
 
 
 def first_of(html: Column, *rules: str | Rule) -> Column:
@@ -222,22 +258,10 @@ def link_by_text(html: Column, text: str, fallback: str | Rule, page_url: Column
     return let(link(found, page_url), lambda url: F.when(url != "", url))
 
 
-def starts_with(html: Column, rule: str | Rule) -> Column:
-    """Whether a fragment starts with a match."""
-    return html.rlike(f"^(?:{_rule(rule).pattern})")
-
-
-def split_after(html: Column, rule: str | Rule) -> Column:
-    """What follows each match, up to the next one."""
-    parts = F.split(html, _rule(rule).pattern)
-    return F.slice(parts, 2, F.octet_length(html) + 1)
-
-
 def section_after(html: Column, heading: str | Rule) -> Column:
     """What follows the first heading that matches, null without one."""
-    pattern, marks = _rule(heading)
-    rest = F.get(F.split(html, pattern, 2), 1)
-    return F.when(_marked(html, marks), rest) if marks else rest
+    rule = _rule(heading)
+    return _search(html, rule, f"get(split(t, {sql_text(rule.pattern)}, 2), 1)", "NULL")
 
 
 def split_cards(
@@ -252,11 +276,12 @@ def split_cards(
     are patterns that start with a literal ``<``. ``fallback`` is an element rule
     used only if the marker never occurs.
     """
-    pattern, marks = _rule(marker)
+    rule = _rule(marker)
+    pattern = rule.pattern
     if not pattern.startswith("<"):
         raise ValueError(f"a marker starts with <: {pattern}")
     stop = f"(?:{pattern})" if end is None else f"(?:{pattern}|{end})"
-    parts = all_matches(html, Rule(f"(?:{pattern}){up_to(stop)}", marks), 0)
+    parts = all_matches(html, rule._replace(pattern=f"(?:{pattern}){up_to(stop)}"), 0)
     if fallback is not None:
         parts = let(
             parts,

@@ -149,23 +149,15 @@ def day_map(html: Column, card: str | h.Rule, day: str | h.Rule, hours: str | h.
 def _info_blocks(html: Column, rules: DetailRules) -> Column:
     """Raw (first, second) text of the info blocks, each from the first block that has it."""
 
-    def child(block: Column, n: int) -> Column:
-        part = F.get(h.all_matches(block, rules.block_child), n)
-        return let(part, lambda p: F.when(h.starts_with(p, rules.block_text), p))
-
-    def first_of(blocks: Column, n: int) -> Column:
-        found = F.filter(F.transform(blocks, lambda b: child(b, n)), lambda part: part.isNotNull())
-        return F.get(found, 0)
-
-    def both(section: Column) -> Column:
-        # What precedes the first block is cut off; a block's own tag is gone, so only
-        # its children are matched.
-        return let(
-            h.split_after(section, rules.block),
-            lambda blocks: F.array(first_of(blocks, 0), first_of(blocks, 1)),
+    def child(section: Column, n: int) -> Column:
+        return h.first_match(
+            section, h.nth_child(rules.block, rules.block_child, n, rules.block_text)
         )
 
-    return let(h.section_after(html, rules.info), both)
+    return let(
+        h.section_after(html, rules.info),
+        lambda section: F.array(child(section, 0), child(section, 1)),
+    )
 
 
 def extract_details(pages: DataFrame, rules: DetailRules, keep: tuple[str, ...] = ()) -> DataFrame:

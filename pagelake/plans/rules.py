@@ -78,9 +78,9 @@ class DetailRules:
     """How to read a detail page."""
 
     info: Pattern = h.opening("div", h.has_class(DETAIL_INFO_CLASS))
-    block: Pattern = h.opening("div", h.has_class(DETAIL_BLOCK_CLASS))
-    block_child: Pattern = r"(<(?i:div)(?=[\s>])[^<>]*>" + h.up_to("</(?i:div)") + r")</(?i:div)\s*>"
-    block_text: Pattern = h.opening("div", h.has_class(DETAIL_TEXT_CLASS))
+    block: h.Rule = h.opening("div", h.has_class(DETAIL_BLOCK_CLASS))
+    block_child: str = "div"
+    block_text: h.Rule = h.element("div", h.has_class(DETAIL_TEXT_CLASS))
     heading_item: Pattern = h.element("li", h.has_class(HEADING_ITEM_CLASS))
     map_link: Pattern = h.element("a", h.attr_contains("href", "maps"))
     phone: Pattern = h.element(
@@ -96,7 +96,7 @@ class DetailRules:
     website_text: str = WEBSITE_TEXT
     website_link: Pattern = h.attribute("a", "href", h.attr_equals("data-event", WEBSITE_EVENT))
     nearby_heading: Pattern = h.Rule(
-        rf"<(?i:h2)(?=[\s>])[^<>]*>[^<]*{NEARBY_HEADING}", (NEARBY_HEADING,)
+        rf"<(?i:h2)(?=[\s>])[^<>]*>[^<]*{NEARBY_HEADING}", (NEARBY_HEADING,), True
     )
     nearby: CardRules = NEARBY_CARDS
     nearby_limit: int = 9
