@@ -30,15 +30,10 @@ from pagelake.functions.text import (
 
 
 class Rule(NamedTuple):
-    """A pattern and its marks; a plain string is a rule without marks.
-
-    ``in_tag`` says that a match starts at the last "<" before a mark, so that the
-    search can begin there.
-    """
+    """A pattern and its marks; a plain string is a rule without marks."""
 
     pattern: str
     marks: tuple[str, ...] = ()
-    in_tag: bool = False
 
 
 class Condition(NamedTuple):
@@ -102,8 +97,7 @@ def _checks(conditions: tuple[Condition, ...]) -> str:
 
 def opening(tag: str, *conditions: Condition) -> Rule:
     """An opening tag that meets all conditions (no group)."""
-    pattern = rf"<(?i:{tag})(?=[\s/>]){_checks(conditions)}[^<>]*>"
-    return Rule(pattern, _marks(conditions), bool(conditions))
+    return Rule(rf"<(?i:{tag})(?=[\s/>]){_checks(conditions)}[^<>]*>", _marks(conditions))
 
 
 def up_to(stop: str) -> str:
@@ -125,7 +119,7 @@ def attribute(tag: str, name: str, *conditions: Condition) -> Rule:
     """An opening tag; group 1 is the value of one attribute, quoted or bare."""
     value = r"""(?<=\")[^\"]*(?=\")|(?<=')[^']*(?=')|(?<=[=\s])[^\s\"'<>]+"""
     start = rf"<(?i:{tag})(?=\s){_checks(conditions)}[^<>]*?\s{name}\s*=\s*"
-    return Rule(rf"{start}[\"']?({value})[\"']?", _marks(conditions), bool(conditions))
+    return Rule(rf"{start}[\"']?({value})[\"']?", _marks(conditions))
 
 
 def after(first: Rule, gap: str, second: Rule) -> Rule:
@@ -141,37 +135,12 @@ def nth_child(parent: Rule, tag: str, n: int, child: Rule) -> Rule:
     return after(parent, earlier + skip, child)
 
 
-def _present(marks: tuple[str, ...]) -> str:
-    return " OR ".join(f"contains(h, {sql_text(mark)})" for mark in marks)
-
-
-def _from_mark(marks: tuple[str, ...]) -> str:
-    """SQL for the page ``h`` from the tag on that holds the first mark.
-
-    Plain texts are found by skipping, several times faster than by trying a pattern
-    at every character.
-    """
-    before = "h"
-    for mark in marks:
-        before = f"split({before}, {sql_text(re.escape(mark))}, 2)[0]"
-    return sql_let(
-        "b",
-        before,
-        "CASE WHEN contains(b, '<') THEN "
-        "concat('<', substring_index(b, '<', -1), substr(h, length(b) + 1)) ELSE h END",
-    )
-
-
 def _search(html: Column, rule: Rule, body: str, none: str) -> Column:
-    """Apply the SQL ``body`` over ``t``, the part of the page that can match."""
-    if not rule.marks:
-        return apply(html, f"t -> {body}")
-    part = _from_mark(rule.marks) if rule.in_tag else "h"
-    return apply(
-        html,
-        f"h -> CASE WHEN {_present(rule.marks)} THEN {sql_let('t', part, body)} "
-        f"WHEN h IS NOT NULL THEN {none} END",
-    )
+    """Apply the SQL ``body`` over ``t``, the page, if it has a mark of the rule."""
+    if rule.marks:
+        present = " OR ".join(f"contains(t, {sql_text(mark)})" for mark in rule.marks)
+        body = f"CASE WHEN {present} THEN {body} WHEN t IS NOT NULL THEN {none} END"
+    return apply(html, f"t -> {body}")
 
 
 def first_match(html: Column, rule: str | Rule, group: int = 1) -> Column:
