@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from pagelake.functions import html as h
 from pagelake.functions.nested import array_to_json, join_list, map_to_json
-from pagelake.functions.text import origin, visible_text
+from pagelake.functions.text import origin
 from pagelake.functions.values import award_flags, distinction, fill_sentinels, split_pair
 from pagelake.operators import metrics
 from pagelake.operators.cards import (
@@ -171,7 +171,10 @@ def page_news(spark, sf):
     return (
         page_sequence(spark, last)
         .join(news.agg(F.count("*").alias("n")), "page_no", "left")
-        .select(F.col("page_no").cast("bigint").alias("page_no"), F.coalesce("n", F.lit(0)).alias("n"))
+        .select(
+            F.col("page_no").cast("bigint").alias("page_no"),
+            F.coalesce("n", F.lit(0)).alias("n"),
+        )
     )
 
 
@@ -408,8 +411,9 @@ def stop_at_gap_capped(spark, sf):
 
 
 def _links(spark, sf):
-    pages = _pages(spark, sf)
-    return valid_url(pages.withColumn("url", F.when(F.col("url").contains("?"), "N/A").otherwise(F.col("url"))))
+    """Links, with the missing mark in place of those that have a query."""
+    url = F.when(F.col("url").contains("?"), "N/A").otherwise(F.col("url"))
+    return valid_url(_pages(spark, sf).withColumn("url", url))
 
 
 def slice_rows_query(spark, sf):

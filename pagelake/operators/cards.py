@@ -10,6 +10,7 @@ from pagelake.functions.nested import map_last_wins
 from pagelake.functions.text import CONTENT, VISIBLE, apply_all, let
 from pagelake.functions.values import MISSING, award_flags, distinction, split_pair
 from pagelake.plans.rules import CardRules, DetailRules
+from pagelake.schemas import NEARBY
 
 PRICE_SEPARATOR = "·"
 DETAIL_SEPARATOR = " · "
@@ -42,14 +43,14 @@ def card_record(frag: Column, page_url: Column, rules: CardRules) -> Column:
     texts = apply_all(raw, VISIBLE if rules.rendered else CONTENT)
     block = frag if rules.award_block is None else h.first_match(frag, rules.award_block)
     srcs = F.coalesce(h.all_matches(block, rules.award_src), F.array().cast("array<string>"))
+
+    def awards(found: Column) -> Column:
+        stars, bib = award_flags(found, rules.star, rules.bib)
+        return F.struct(stars.alias("stars"), bib.alias("bib"))
+
     parts = F.struct(
         texts.alias("texts"),
-        let(
-            srcs,
-            lambda found: F.struct(*(c.alias(n) for c, n in zip(
-                award_flags(found, rules.star, rules.bib), ("stars", "bib")
-            ))),
-        ).alias("award"),
+        let(srcs, awards).alias("award"),
     )
 
     def record(part: Column) -> Column:
@@ -99,20 +100,7 @@ def nearby_array(
     def record(frag: Column) -> Column:
         return let(
             card_record(frag, page_url, rules),
-            lambda c: F.struct(
-                *[
-                    c[n].alias(n)
-                    for n in (
-                        "name",
-                        "url",
-                        "location",
-                        "price",
-                        "cuisine",
-                        "stars",
-                        "distinction",
-                    )
-                ]
-            ),
+            lambda card: F.struct(*[card[n].alias(n) for n in NEARBY.fieldNames()]),
         )
 
     def records(section: Column) -> Column:

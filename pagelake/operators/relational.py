@@ -92,7 +92,9 @@ def first_gap(df: DataFrame, page_col: str = "page_no", first_page: int = 1) ->
         F.bool_or((F.col("page") == first_page) & (F.col("present") == 1)).alias("begun"),
     )
     return ends.select(
-        F.when(F.col("begun"), F.col("gap")).otherwise(F.lit(first_page).cast("bigint")).alias("stop")
+        F.when(F.col("begun"), F.col("gap"))
+        .otherwise(F.lit(first_page).cast("bigint"))
+        .alias("stop")
     )
 
 
@@ -157,7 +159,8 @@ def _slice_by_ranges(
         "slice",
     )
     # At most one row per range comes to the driver.
-    counts = {r["_range"]: r["n"] for r in ranged.groupBy(part).agg(F.count("*").alias("n")).collect()}
+    per_range = ranged.groupBy(part).agg(F.count("*").alias("n"))
+    counts = {row["_range"]: row["n"] for row in per_range.collect()}
     before, cut, whole = 0, [], []
     for number in sorted(counts):
         after = before + counts[number]

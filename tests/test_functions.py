@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from markup import B, S, card
+from markup import B, S
 from pyspark.sql import functions as F
 
 from pagelake.functions import html as h
@@ -221,11 +221,6 @@ def test_json_forms(spark):
     assert row["l"] == "p; q"
 
 
-def test_card_markup_reads_back(spark):
-    """The fixture's own markup has the pieces the rules look for."""
-    assert "card__menu-content--title" in card("a", "a", [S], ["x"])
-
-
 def test_broken_pages_take_linear_time(spark):
     """Long runs of unclosed tags, comments and cards neither hang nor overflow."""
     from pagelake.operators.cards import extract_details, listing_cards

@@ -67,7 +67,7 @@ def test_tallies(spark, pages):
     assert rows(page_tallies(cards), "page_no") == crawl(pages)[1]
 
 
-@SLOW
+@settings(SLOW, max_examples=3)
 @given(pages=cards_of)
 def test_append_page_by_page(spark, pages):
     """Appending page after page gives the same as one dedup of the whole."""
