@@ -111,7 +111,13 @@ def nearby_array(
     return let(found, lambda cards: F.when(F.size(cards) > 0, cards))
 
 
-def day_map(html: Column, card: str | h.Rule, day: str | h.Rule, hours: str | h.Rule, end: str | None = None) -> Column:
+def day_map(
+    html: Column,
+    card: str | h.Rule,
+    day: str | h.Rule,
+    hours: str | h.Rule,
+    end: str | None = None,
+) -> Column:
     """Opening hours: day to hours joined by ``, ``; ``closed`` if all are blank.
 
     Cards without a title or without hours are skipped, a repeated day keeps its
