@@ -6,11 +6,13 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
+import fixture_oracles
+import fixture_queries
 from pagelake.session import work_path
 from pagelake.streaming.append import collect_listing
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = fixture_queries.QUERIES
+SQL = fixture_oracles.SQL
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +22,7 @@ def con(sf):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
