@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagelake.llm.common import table
 from pagelake.llm.packing import packed_digest
+from pagelake.llm.pii import pseudonymised
 from pagelake.llm.simhash import near_duplicates
 from pagelake.llm.toxicity import fit, scores
 from pagelake.session import work_path
 
+KEY = "pseudonyms-1"  # of the pseudonyms; a real run brings its own
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -31,6 +34,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.dropDuplicates(["doc_id"])
 
 
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keyed pseudonyms in place of personal data; ``n_chars`` follows the text."""
+    hidden = pseudonymised(docs.select(*COLUMNS), KEY)
+    return hidden.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 1024 tokens."""
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -40,10 +49,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_copies),
+    ("pii", hide_personal_data),
     ("packing", pack),
 ]
 
-#: A trained classifier, SimHash and a tokenizer are beyond SQL.
+#: A trained classifier, SimHash, keyed pseudonyms and a tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pagelake.llm import covertree, topk, warc
 from pagelake.llm.bpe import roundtrip
 from pagelake.llm.common import table
+from pagelake.llm.htmltext import main_text
 from pagelake.llm.packing import packed_digest
+from pagelake.llm.pii import pii
 from pagelake.llm.sharding import sharded
 from pagelake.llm.simhash import near_duplicates
 from pagelake.llm.toxicity import toxicity
@@ -37,6 +39,10 @@ def op5_packing(spark, sf):
     return packed_digest(table(spark, sf, "documents"), str(path), public_tokenizers.PATTERN)
 
 
+def op6_pii(spark, sf):
+    return pii(table(spark, sf, "documents"))
+
+
 def op7_covertree(spark, sf):
     return covertree.near_vectors(table(spark, sf, "embeddings"))
 
@@ -45,6 +51,10 @@ def op8_sharding(spark, sf):
     return sharded(table(spark, sf, "documents"))
 
 
+def op9_htmltext(spark, sf):
+    return main_text(table(spark, sf, "pages"))
+
+
 def op10_topk(spark, sf):
     return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -55,8 +65,10 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
     "op7_covertree": op7_covertree,
     "op8_sharding": op8_sharding,
+    "op9_htmltext": op9_htmltext,
     "op10_topk": op10_topk,
 }
 
