@@ -14,9 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagelake.llm.common import stored, whole_text
 from pagelake.llm.components import components
@@ -68,17 +67,19 @@ def _signed(value: int) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` per row, fp as a signed long. Null texts count as empty."""
+def fingerprint_column(text: Column, shingle: int = 3) -> Column:
+    """The fingerprint of a text column as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": values.view(np.int64)})
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        values = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
+        return pd.Series(values.view(np.int64))
 
-    kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())])
-    return docs.select("doc_id", whole_text().alias("text")).mapInPandas(run, schema)
+    return of(text)
+
+
+def hexadecimal(fp: Column) -> Column:
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
 def _tree(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -177,21 +178,23 @@ def near_links(reps: DataFrame, radius: int, name: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, name: str = "simhash") -> DataFrame:
-    """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``.
+    """``(doc_id, fingerprint, component_id, group)``, one row per row of ``docs``.
 
     Documents are linked where fingerprints differ in at most ``radius`` bits;
     ``component_id`` is the smallest ``doc_id`` reachable. Null texts are empty and, like
     texts without words, have fingerprint zero and link like any other. A null ``doc_id``
-    stays null and is never a ``component_id``, unless its whole component has none.
+    stays null and is never a ``component_id``, unless its whole component has none;
+    ``group``, the component's smallest fingerprint as a signed long, still tells it apart.
     Repeated rows are returned as often as given. Extra columns are ignored.
     """
-    marked = stored(fingerprints(docs, shingle), f"{name}-fingerprints")
+    prints = docs.select("doc_id", fingerprint_column(whole_text(), shingle).alias("fp"))
+    marked = stored(prints, f"{name}-fingerprints")
     reps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), f"{name}-distinct")
     found = components(near_links(reps, radius, name), name)
     roots = reps.join(found, reps.fp == found.node, "left").select(
         "fp", "rep", F.coalesce("component", "fp").alias("component"))
     roots = stored(roots, f"{name}-roots")
     smallest = stored(roots.groupBy("component").agg(F.min("rep").alias("component_id")), f"{name}-smallest")
-    named = stored(roots.join(smallest, "component").select("fp", "component_id"), f"{name}-named")
+    named = stored(roots.join(smallest, "component"), f"{name}-named")
     return marked.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        "doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id", F.col("component").alias("group"))
