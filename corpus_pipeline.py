@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import table
+from pagelake.llm.common import table, whole_text
 from pagelake.llm.packing import packed_digest
 from pagelake.llm.pii import pseudonymised
-from pagelake.llm.simhash import near_duplicates
+from pagelake.llm.simhash import fingerprint_column, hexadecimal, near_duplicates
 from pagelake.llm.toxicity import fit, scores
 from pagelake.session import work_path
 
@@ -25,13 +25,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id, once.
-
-    A document without an id cannot be told from others and goes.
-    """
-    groups = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(groups, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each group: that with the smallest id, or any if none has an id."""
+    docs = docs.select(*COLUMNS)
+    keys = near_duplicates(docs)
+    named = keys.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = keys.filter("component_id is null").groupBy("group").agg(F.min("fingerprint").alias("print"))
+    marked = docs.filter("doc_id is null").withColumn("print", hexadecimal(fingerprint_column(whole_text())))
+    others = marked.join(nameless, "print", "left_semi").dropDuplicates(["print"])
+    return kept.select(*COLUMNS).union(others.select(*COLUMNS))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
