@@ -22,6 +22,7 @@ from pagelake.llm.common import stored
 from pagelake.llm.components import components
 
 RADII = (1.0, 0.5, 0.25, 0.125)
+LEVELS = [f"above_{n}" for n in range(len(RADII))]
 BLOCK = 4096  # vectors in one tree, about
 SAMPLE = 2048  # vectors the upmost levels are fitted on
 LEAVES = 1024  # most leaves of the upmost levels
@@ -31,9 +32,11 @@ SLACK = 1e-9
 
 def unit(vectors: pd.Series, width: int) -> np.ndarray:
     """Rows of length one in double precision; shorter vectors end in zeros."""
+    sizes = vectors.map(len).to_numpy(np.int64)
     out = np.zeros((len(vectors), width))
-    for row, vector in zip(out, vectors):
-        row[: len(vector)] = vector
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        out[at, :size] = np.stack(vectors.to_numpy()[at]) if size else 0.0
     out /= np.abs(out).max(axis=1, initial=1e-320, keepdims=True)  # squares neither vanish nor overflow
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
@@ -45,17 +48,20 @@ def distance(product: np.ndarray) -> np.ndarray:
 def net(x: np.ndarray, radius: float, centres: list[int]) -> list[int]:
     """``centres`` and further points, until every point has one within ``radius``."""
     least = 1.0 - radius * radius / 2.0
-    open_ = np.ones(len(x), bool)
-    if centres:
-        for start in range(0, len(x), 1024):
-            part = x[start : start + 1024] @ x[centres].T
-            open_[start : start + 1024] = part.max(axis=1) < least
-    out = list(centres)
-    for at in range(len(x)):
-        if open_[at]:
-            out.append(at)
-            open_ &= x @ x[at] < least
-            open_[at] = False
+    left = np.arange(len(x))
+    out, new = [], list(centres)
+    while len(left):
+        out += new
+        if new:
+            uncovered = [(x[part] @ x[new].T).max(axis=1) < least for part in np.array_split(left, len(left) // 1024 + 1)]
+            left = np.setdiff1d(left[np.concatenate(uncovered)], new)
+        some, new = left[:256], []
+        near = x[some] @ x[some].T >= least
+        free = np.ones(len(some), bool)
+        for n in range(len(some)):
+            if free[n]:
+                new.append(int(some[n]))
+                free &= ~near[n]
     return out
 
 
@@ -76,9 +82,10 @@ def levels(x: np.ndarray) -> np.ndarray:
     for level in reversed(range(len(RADII))):
         # A point's centre is that of its centre one level below.
         own = np.full(len(x), -1)
+        own[nets[level]] = nets[level]
         members = np.unique(below)
+        members = members[own[members] < 0]
         own[members] = nets[level][nearest(x[members], x[nets[level]])]
-        own[nets[level]] = nets[level]
         below = out[level] = own[below]
     return out
 
@@ -191,23 +198,31 @@ def dual(a: Tree, b: Tree, copies: tuple[np.ndarray, np.ndarray], least: float,
             wide_b = nb[pick][which]
             ka = a.kids[level][a.first[level][ia[pick]][which] + nth // wide_b]
             kb = b.kids[level][b.first[level][ib[pick]][which] + nth % wide_b]
-            xa, xb = a.x[a.nodes[level + 1]], b.x[b.nodes[level + 1]]
+            pa, pb = a.nodes[level + 1][ka], b.nodes[level + 1][kb]
             product = np.empty(len(ka))
-            for s in range(0, len(ka), 1 << 16):
-                product[s : s + (1 << 16)] = np.einsum("ij,ij->i", xa[ka[s : s + (1 << 16)]], xb[kb[s : s + (1 << 16)]])
+            for s in range(0, len(ka), 4096):
+                product[s : s + 4096] = np.einsum("ij,ij->i", a.x[pa[s : s + 4096]], b.x[pb[s : s + 4096]])
             ka, kb = settle(level + 1, ka, kb, product)
             if len(ka):
                 descend(level + 1, ka, kb)
 
+    # All pairs of upmost centres: by single precision and a margin first, then exactly.
     top_a, top_b = a.x[a.nodes[0]], b.x[b.nodes[0]]
-    for start in range(0, len(top_a), 512):
-        product = top_a[start : start + 512] @ top_b.T
-        reach = a.radius[0][start : start + 512, None] + b.radius[0][None, :] + wide + 1e-6
-        ia, ib = np.nonzero(distance(product) <= reach)
-        values = product[ia, ib]
-        ia, ib = settle(0, ia + start, ib, values)
-        if len(ia):
-            descend(0, ia, ib)
+    short_a, short_b = top_a.astype(np.float32), top_b.astype(np.float32)
+    groups_b = [at for at in (np.flatnonzero(b.radius[0] == 0), np.flatnonzero(b.radius[0])) if len(at)]
+    for some_a in (np.flatnonzero(a.radius[0] == 0), np.flatnonzero(a.radius[0])):
+        for start in range(0, len(some_a), 512):
+            part = some_a[start : start + 512]
+            for some_b in groups_b:
+                ra, rb = a.radius[0][part], b.radius[0][some_b]
+                # Most centres stand alone: then one number is the bound for the whole tile.
+                reach = ra[:, None] + rb[None, :] if ra.any() or rb.any() else np.zeros((1, 1))
+                bound = 1.0 - np.minimum(reach + wide, 2.0) ** 2 / 2.0 - 1e-4
+                ia, ib = np.nonzero(short_a[part] @ short_b[some_b].T >= bound.astype(np.float32))
+                ia, ib = part[ia], some_b[ib]
+                ia, ib = settle(0, ia, ib, np.einsum("ij,ij->i", top_a[ia], top_b[ib]))
+                if len(ia):
+                    descend(0, ia, ib)
     return found
 
 
@@ -218,7 +233,7 @@ def _links(batches: Iterator[pd.DataFrame], width: int, least: float) -> Iterato
         sides = []
         for block in (one, two)[: 1 if one == two else 2]:
             part = rows[rows["block"] == block].sort_values("place")
-            above = np.array(part["above"].tolist(), np.int64).reshape(-1, len(RADII)).T
+            above = part[LEVELS].to_numpy(np.int64).T
             copies = part["copies"].to_numpy(np.int64)
             sides.append((Tree(unit(part["embedding"], width), above, copies), part["node"].to_numpy(), copies))
         if any(not len(s[1]) for s in sides):
@@ -252,7 +267,8 @@ def _with_levels(rows: pd.DataFrame, width: int) -> pd.DataFrame:
     rows = rows.sort_values("node", ignore_index=True)
     above = levels(unit(rows["embedding"], width))
     rows["place"] = np.arange(len(rows))
-    rows["above"] = list(above.T)
+    for name, centre in zip(LEVELS, above):
+        rows[name] = centre
     return rows
 
 
@@ -320,7 +336,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, name: str = "covertree"
         "leaf int, first long, blocks long, ranges array<array<long>>")
     in_block = F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = placed.join(F.broadcast(table), "leaf").select("node", "copies", "embedding", in_block.alias("block"))
-    tree_schema = T.StructType([*dealt.schema, T.StructField("place", T.LongType()), T.StructField("above", T.ArrayType(T.LongType()))])
+    tree_schema = T.StructType([*dealt.schema, *(T.StructField(n, T.LongType()) for n in ("place", *LEVELS))])
     trees = stored(dealt.groupBy("block").applyInPandas(lambda g: _with_levels(g, width), tree_schema), f"{name}-trees")
 
     ranges = F.flatten(F.transform("ranges", lambda r: F.sequence(r[0], r[1])))
@@ -329,7 +345,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, name: str = "covertree"
     other = F.explode(ranges).alias("other")
     pairs = trees.join(owner, "block").select("*", other).drop("ranges").select(
         F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
-        "block", "node", "copies", "embedding", "place", "above")
+        "block", "node", "copies", "embedding", "place", *LEVELS)
     work = pairs.repartition("one", "two").sortWithinPartitions("one", "two")
     found = stored(
         work.mapInPandas(lambda b: _links(b, width, least), "node long, links long, near long"), f"{name}-links")
