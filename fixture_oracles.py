@@ -127,19 +127,49 @@ PARAGRAPHS = f"""days as (
     case when arg_max(hours, i) = '' then 'closed' else arg_max(hours, i) end as hours
   from days where day <> '' group by page_id, day)"""
 
-DETAIL_PAGES = f"""captures as (
+def json_text(x: str) -> str:
+    return f"to_json({x})::varchar"
+
+
+def nearby_json(words: str, links: str, url: str, price: str, cuisine: str, stars: str, label: str) -> str:
+    """The first nine words as nearby records; the SQL may use ``i``, ``w`` and ``u``."""
+    w, u = entities(f"{words}[i]"), f"{links}[i]"
+    fill = lambda x: x.replace("{w}", w).replace("{u}", u)
+    return f"""case when len({words}) > 0 then '[' || array_to_string(list_transform(
+      range(1, least(len({words}), 9) + 1), lambda i: '{{"name":' || {json_text(w)} ||
+      ',"url":' || {json_text(fill(url))} || ',"location":' || {json_text(w)} ||
+      ',"price":' || {fill(price)} || ',"cuisine":' || {fill(cuisine)} ||
+      ',"stars":' || {fill(stars)} || ',"distinction":"' || {fill(label)} || '"}}'), ',') || ']' end"""
+
+
+MAPS = f"""maps as (
+  select page_id, '{{' || string_agg({json_text('day')} || ': ' || {json_text('hours')}, ', '
+    order by place) || '}}' as opening_hours from day_rows group by page_id)"""
+NAV_NEARBY = nearby_json(
+    "words",
+    "links",
+    "regexp_extract(link, '^([a-z]+://[^/?#]+)', 1) || {u}",
+    "'null'",
+    "'null'",
+    "case when contains({u}, '/th') then 1 else 0 end",
+    "case when contains({u}, '/th') then '1 star(s)' when contains({u}, '/an') then 'Bib Gourmand' else 'None' end",
+)
+
+DETAIL_PAGES = f"""{PARAGRAPHS}, {MAPS}, captures as (
   select * from (
     select *, row_number() over (partition by link order by page_id) as rn
-    from (select page_id, html, {ORIGIN} || {FIRST_LINK} as link from pages))
+    from (select page_id, html, {ORIGIN} || {FIRST_LINK} as link,
+            regexp_extract_all(html, '{LI}', 1, 's') as links,
+            regexp_extract_all(html, '{LI}', 2, 's') as words from pages))
   where rn = 1),
  extracted as (
   select link, {H1} as address, {PHONE} as phone, {AD} as description,
     null::varchar as price_range, null::varchar as cuisine_type, {website('link')} as website,
-    least(len(regexp_extract_all(html, '{LI}', 1, 's')), 3)::integer as nearby
-  from captures),
+    opening_hours, {NAV_NEARBY} as nearby
+  from captures left join maps using (page_id)),
  details as (
-  select page_no, pos, url, address, phone, description, price_range, cuisine_type,
-    website, coalesce(nearby, 0) as nearby, name, location, stars, distinction,
+  select page_no, pos, url, address, phone, description, opening_hours, price_range,
+    cuisine_type, website, nearby, name, location, stars, distinction,
     case when link is null then 'page not found' end as error
   from built left join extracted on url = link)"""
 
@@ -167,20 +197,16 @@ LABELLED = """rows_of as (
 PART = "select p_partkey, p_name, p_brand, p_size, p_retailprice from part"
 
 
-def json_text(x: str) -> str:
-    return f"to_json({x})::varchar"
-
-
 SQL = {
     "scan_pages": "select page_id, url, length(html)::integer as chars from pages",
     "single_page": "select page_id, url, html from pages where page_id = 3",
     "single_url": """select page_id, url, html from pages
-      where url = 'https://thther.example.org/en/685'""",
+      where url = (select max(url) from pages)""",
     "page_url": f"""select page_id, {ORIGIN} ||
       case when page_id = 1 then '' else '/page/' || page_id end as listing_url from pages""",
     "page_news": f"""with {HOSTS} select p as page_no, count(page_id) as n
-      from (select unnest(range(1, (select max(page_id) + 1 from pages))) as p)
-      left join hosts on p = page_id group by p""",
+      from (select unnest(range(1, (select count(*) + 1 from pages))) as p)
+      left join hosts on p = page_id + 1 group by p""",
     "csv_scan": """select doc_id, source as name,
       case when quality = 1 then 'u/' || doc_id end as url, quality as stars, lang as location
       from documents left join labels using (doc_id)""",
@@ -229,13 +255,10 @@ SQL = {
         case when contains(url, '/th') then 1 else 0 end::integer as stars,
         case when contains(url, '/th') then '1 star(s)' when contains(url, '/an')
           then 'Bib Gourmand' else 'None' end as distinction
-      from cards where pos < 3""",
-    "detail_record": f"""with {PARAGRAPHS}, maps as (
-        select page_id, '{{' || string_agg({json_text('day')} || ': ' || {json_text('hours')}, ', '
-          order by place) || '}}' as opening_hours from day_rows group by page_id)
-      select page_id, {H1} as address, {PHONE} as phone, {AD} as description, opening_hours,
+      from cards where pos < 9""",
+    "detail_record": f"""with {PARAGRAPHS}, {MAPS} select page_id, {H1} as address, {PHONE} as phone, {AD} as description, opening_hours,
         null::varchar as price_range, null::varchar as cuisine_type, {website('url')} as website,
-        array_to_string({nearby_names(3)}, '; ') as nearby
+        array_to_string({nearby_names(9)}, '; ') as nearby
       from pages left join maps using (page_id)""",
     "fill_sentinels": """select doc_id,
         coalesce(case when toxic = 0 then source end, 'N/A') as location,
@@ -296,7 +319,7 @@ SQL = {
           ',"n":' || length(x) || '}}'), ',') || ']' as compact,
         '[' || array_to_string(list_transform(w, lambda x: '{{"name": ' || {json_text('x')} ||
           ', "n": ' || length(x) || '}}'), ', ') || ']' as spaced
-      from (select page_id, regexp_extract_all(html, '{LI}', 2, 's')[1:2] as w from pages)""",
+      from (select page_id, regexp_extract_all(html, '{LI}', 2, 's') as w from pages)""",
     "array_join": f"""select page_id,
         array_to_string(regexp_extract_all(html, '{LI}', 2, 's'), '; ') as words from pages""",
     "build_listing": f"with {LISTING} select * from built",
@@ -305,5 +328,32 @@ SQL = {
       order by page_no, pos limit 40 offset 5""",
     "two_stage_run": f"""with {LISTING}, {DETAIL_PAGES} {checks('details', {
         name: f'{name} is not null' for name in ('phone', 'address', 'description', 'website')})}""",
+    "details_from_csv": f"""with {LISTING}, {DETAIL_PAGES}
+      select * exclude (page_no, pos) from (select * from details
+      order by page_no, pos limit 40 offset 5)""",
     "listing_stream": f"with {LISTING} select * from listing",
+    "directory_listing": f"""with {CARDS}, venues as (
+        select page_id, pos, name, {ORIGIN.replace('url', 'page_url')} || url || '?x=/restaurant' as url,
+          1 as stars, '1 star' as distinction, name as location, {entities('url')} as price, name as cuisine
+        from cards where name <> ''
+        union all select page_id, 1000000, 'Bare ' || page_id, null, 0, 'None', null, null, null from pages)
+      select page_id as page_no, * exclude (page_id, pos, rn) from (
+        select *, row_number() over (partition by name order by page_id, pos) as rn from venues)
+      where rn = 1""",
+    "directory_details": f"""with p as (
+        select page_id, {ORIGIN} as site, {H1} as address, {FOOTER} as footer,
+          trim({visible(first('html', '<div class="ad">(.*?)</div>'))} || chr(10) || 'more', {BLANKS}) as description,
+          regexp_extract_all(html, '{LI}', 1, 's') as links, regexp_extract_all(html, '{LI}', 2, 's') as words,
+          list_filter(list_transform(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*?)</article>', 1),
+            '<p>([^<]*)</p>', 1), lambda t: {visible('t')}), lambda t: t <> '') as days
+        from pages)
+      select page_id, address, 'Call ' || page_id as phone, description,
+        case when len(days) > 0 then '{{' || array_to_string(list_transform(
+          list_filter(days, lambda d, i: list_position(days, d) = i),
+          lambda d: {json_text('d')} || ': "9 – 5"'), ', ') || '}}' end as opening_hours,
+        split_part(footer, ' · ', 1) as price_range,
+        case when contains(footer, ' · ') then split_part(footer, ' · ', 2) end as cuisine_type,
+        site || '/home' as website,
+        {nearby_json('words', 'links', "site || {u} || '?x=/restaurant'", json_text(entities('{u}')), json_text('{w}'), '1', "'1 star(s)'")} as nearby
+      from p""",
 }

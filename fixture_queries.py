@@ -44,7 +44,7 @@ from pagelake.session import stage, work_path
 from pagelake.sinks.files import write_csv, write_csv_flat, write_json
 from pagelake.sources.listing_csv import read_listing_csv
 from pagelake.sources.pages import only_page, only_url, page_sequence, page_url, read_pages
-from pagelake.streaming.append import collect_listing
+from pagelake.streaming.append import collect_listing, collected
 
 NAV_MARKER = '<li><a href="'
 NAV_END = "</ul>"
@@ -74,7 +74,7 @@ PARAGRAPH_DAY = r"(?s)^<p>(?:<b>)?\s*([A-Za-z])"
 PARAGRAPH_HOURS = "^<p>(?:<b>)?(" + h.up_to("(?:</p>|<br>)") + ")"
 
 PAGE_DETAILS = DetailRules(
-    info="<body>",
+    info=h.region("body"),
     block=h.Rule("<article>"),
     block_child="h1",
     block_text=h.element("h1"),
@@ -91,8 +91,8 @@ PAGE_DETAILS = DetailRules(
     website_text="the",
     website_link=r'<a href="(/de[^"]*)"',
     nearby_heading="<nav>",
+    nearby_scope=None,
     nearby=NAV_NEARBY,
-    nearby_limit=3,
 )
 
 
@@ -104,12 +104,8 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return read_pages(spark, f"{sf}/pages.parquet")
 
 
-def _spread(spark: SparkSession, sf: str) -> DataFrame:
-    return read_pages(spark, f"{sf}/pages.parquet", spread=True)
-
-
 def _numbered(spark: SparkSession, sf: str) -> DataFrame:
-    return _spread(spark, sf).withColumn("page_no", F.col("page_id").cast("int"))
+    return _pages(spark, sf).withColumn("page_no", F.col("page_id"))
 
 
 def _host(url: Column) -> Column:
@@ -118,7 +114,7 @@ def _host(url: Column) -> Column:
 
 def _nav(spark: SparkSession, sf: str) -> DataFrame:
     """All nav cards: page_id, pos, name and link, as on the page."""
-    cards = explode_cards(_spread(spark, sf), NAV_MARKER, end=NAV_END, keep=("page_id",))
+    cards = explode_cards(_pages(spark, sf), NAV_MARKER, end=NAV_END, keep=("page_id",))
     return cards.select(
         "page_id",
         F.col("pos").cast("bigint").alias("pos"),
@@ -153,9 +149,9 @@ def single_page(spark, sf):
 
 
 def single_url(spark, sf):
-    return only_url(_pages(spark, sf), "https://thther.example.org/en/685").select(
-        "page_id", "url", "html"
-    )
+    """The page whose link is the greatest of all."""
+    pages = _pages(spark, sf)
+    return only_url(pages, pages.agg(F.max("url")).scalar()).select("page_id", "url", "html")
 
 
 def page_url_query(spark, sf):
@@ -165,11 +161,11 @@ def page_url_query(spark, sf):
 
 
 def page_news(spark, sf):
-    """Page sequence against the pages that add a host."""
-    last = _pages(spark, sf).agg(F.max("page_id")).first()[0]
-    news = _hosts(spark, sf).groupBy(F.col("page_id").alias("page_no"))
+    """Page sequence, page 0 being its number 1, against the pages that add a host."""
+    count = _pages(spark, sf).count()
+    news = _hosts(spark, sf).groupBy((F.col("page_id") + 1).alias("page_no"))
     return (
-        page_sequence(spark, last)
+        page_sequence(spark, count)
         .join(news.agg(F.count("*").alias("n")), "page_no", "left")
         .select(
             F.col("page_no").cast("bigint").alias("page_no"),
@@ -226,8 +222,9 @@ def json_array_roundtrip(spark, sf):
     path = work_path(spark, "json")
     rows = _part(spark, sf).withColumn("ord", F.col("p_partkey"))
     write_json(rows, path, "array", ["ord"])
-    record = F.regexp_replace("value", r"^[\[,]|\]$", "")
-    return spark.read.text(path).select(F.from_json(record, _PART).alias("r")).select("r.*")
+    lines = spark.read.text(path).filter("value not in ('[', ']')")
+    record = F.regexp_replace("value", "^,", "")
+    return lines.select(F.from_json(record, _PART).alias("r")).select("r.*")
 
 
 def csv_flat_roundtrip(spark, sf):
@@ -342,7 +339,7 @@ def day_map_query(spark, sf):
     days = day_map(
         F.col("html"), PARAGRAPH_CARD, PARAGRAPH_DAY, PARAGRAPH_HOURS, "</article>|<footer>"
     )
-    rows = _spread(spark, sf).select(
+    rows = _pages(spark, sf).select(
         "page_id", F.posexplode(days).alias("place", "day", "hours")
     )
     return rows.withColumn("place", F.col("place").cast("bigint"))
@@ -355,12 +352,12 @@ def section_after(spark, sf):
 
 
 def nearby_first_n(spark, sf):
-    near = nearby_array(F.col("html"), F.col("url"), "<nav>", NAV_NEARBY, 3)
-    return _spread(spark, sf).select("page_id", F.inline(near))
+    near = nearby_array(F.col("html"), F.col("url"), "<nav>", NAV_NEARBY, 9)
+    return _pages(spark, sf).select("page_id", F.inline(near))
 
 
 def detail_record(spark, sf):
-    return extract_details(_spread(spark, sf), PAGE_DETAILS, keep=("page_id",)).select(
+    return extract_details(_pages(spark, sf), PAGE_DETAILS, keep=("page_id",)).select(
         "page_id",
         "address",
         "phone",
@@ -435,7 +432,7 @@ def enrich_hot(spark, sf):
     """One language holds most rows: the join splits its hot keys."""
     docs = _table(spark, sf, "documents").select("doc_id", "lang", "source")
     langs = docs.groupBy("lang").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
-    return enrich(docs, langs, ["doc_id", "source"], "lang", order=(), hot_rows=100)
+    return enrich(docs, langs, ["doc_id", "source"], "lang", order=(), salted=True, hot_rows=100)
 
 
 def union_query(spark, sf):
@@ -498,7 +495,7 @@ def map_to_json_query(spark, sf):
 
 def array_to_json_query(spark, sf):
     words = F.transform(
-        F.slice(h.all_matches(F.col("html"), NAV_WORD), 1, 2),
+        h.all_matches(F.col("html"), NAV_WORD),
         lambda w: F.struct(w.alias("name"), F.length(w).alias("n")),
     )
     return _pages(spark, sf).select(
@@ -524,10 +521,11 @@ def build_listing_query(spark, sf):
 def _detail_pages(spark, sf):
     """Pages known by the link of their first nav entry, so that some cards hit them."""
     link = h.first_attr(F.col("html"), NAV_LINK, F.col("url"))
-    return _spread(spark, sf).withColumn("url", link)
+    return _pages(spark, sf).withColumn("url", link)
 
 
 def _detail_columns(details):
+    """All columns; maps and arrays as text."""
     return details.select(
         "page_no",
         "pos",
@@ -535,10 +533,11 @@ def _detail_columns(details):
         "address",
         "phone",
         "description",
+        map_to_json(F.col("opening_hours"), spaced=True).alias("opening_hours"),
         "price_range",
         "cuisine_type",
         "website",
-        F.coalesce(F.size("nearby_restaurants"), F.lit(0)).alias("nearby"),
+        array_to_json(F.col("nearby_restaurants")).alias("nearby"),
         "name",
         "location",
         "stars",
@@ -578,19 +577,107 @@ def two_stage_run(spark, sf):
     return outcome.report
 
 
+def details_from_csv(spark, sf):
+    """Listing stage, its CSV, and the detail stage on that file: rows 5 to 45."""
+    first, second = work_path(spark, "run"), work_path(spark, "run")
+    run(spark, first, _numbered(spark, sf), stage="global", max_pages=None, card_rules=NAV_CARDS, first_page=0)
+    outcome = run(
+        spark,
+        second,
+        detail_pages=_detail_pages(spark, sf),
+        stage="details",
+        start=5,
+        max_rows=40,
+        listing_csv=f"{first}/listing_csv",
+        detail_rules=PAGE_DETAILS,
+        capture_order=["page_id"],
+    )
+    return _detail_columns(outcome.details).drop("page_no", "pos")
+
+
 def listing_stream(spark, sf):
-    """The pages as a stream, collected into a listing table."""
-    schema = _pages(spark, sf).schema
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "pages.parquet")
-        .parquet(sf)
-        .withColumn("page_no", F.col("page_id").cast("int"))
+    """The pages as a stream of four batches, the last pages first."""
+    pages, source = _numbered(spark, sf), work_path(spark, "source")
+    table, progress = work_path(spark, "stream"), work_path(spark, "progress")
+    last = pages.agg(F.max("page_no")).scalar()
+    for part in (3, 1, 2, 0):
+        some = pages.filter(F.floor(F.col("page_no") * 4 / (last + 1)) == part)
+        some.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(pages.schema).parquet(source)
+        collect_listing(stream, table, progress, NAV_CARDS).awaitTermination()
+    return collected(spark, table)
+
+
+# --- the directory's own markup, put around the words of every page -----------------
+
+_VENUE = """
+<div data-x="a > b" class="card__menu selection-card"><!-- <div class="card__menu">$2</div> -->
+<div class="card__menu-content"><h3 class="card__menu-content--title"><a href='$1?x=/restaurant'>$2</a></h3>
+<div class="card__menu-content--distinction"><div></div><img class="x award" src="$1/1star.svg"></div></div>
+<div class="card__menu-footer--score">$2</div><div class="card__menu-footer--score">$1 · $2</div></div>"""
+_NAV_ITEM = r"<li><a href=\"([^\"]*)\">([^<]*)</a></li>"
+
+
+def _venues() -> Column:
+    """The page's nav words as venue cards."""
+    return F.regexp_replace(F.regexp_extract("html", "(?s)<ul>(.*?)</ul>", 1), _NAV_ITEM, _VENUE)
+
+
+def _directory(spark, sf):
+    """Result pages: cards in comments and scripts, and a tail that belongs to no card."""
+    ghost = '<div class="card__menu"><h3 class="title">Ghost</h3></div>'
+    parts = [
+        F.lit(f"<html><body><!-- {ghost} --><script>{ghost}</script>"),
+        _venues(),
+        F.lit('<div class="card__menu"><h3 class="title">Bare '),
+        F.col("page_id").cast("string"),
+        F.lit('</h3></div><a href="/x/restaurants/page/2">2</a><footer><h3 class="t-title">About</h3></footer>'),
+    ]
+    return _numbered(spark, sf).withColumn("html", F.concat(*parts))
+
+
+def directory_listing(spark, sf):
+    return build_listing(_directory(spark, sf), None, first_page=0).drop("pos")
+
+
+def _directory_details(spark, sf):
+    """Detail pages made of each page's heading, footer, paragraphs and nav words."""
+    heading = F.concat(F.lit('<div class="data-sheet__block--text">'), F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1), F.lit("</div>"))
+    second = F.concat(F.lit('<div class="data-sheet__block--text">'), F.regexp_extract("html", "(?s)<footer>(.*?)</footer>", 1), F.lit("</div>"))
+    outside = '<div class="data-sheet__block"><div class="data-sheet__block--text">OUT</div><div class="data-sheet__block--text">O · UT</div></div>'
+    hours = F.regexp_replace(
+        F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1),
+        "(?s)<p>([^<]*)</p>",
+        '<div class="card-borderline"><div class="card--title">$1</div><div class="card--content"> 9 &ndash; 5 </div><div class="card--content"></div></div>',
+    )
+    html = F.concat(
+        F.lit(outside + '<div class="data-sheet__detail-info x"><div class="data-sheet__block"><!-- c -->'),
+        heading, second,
+        F.lit('</div></div>' + outside + '<a href="tel:1"><b>Call</b> '), F.col("page_id").cast("string"),
+        F.lit('</a><a href="/span"><span>Visit Website</span></a><div class="data-sheet__description"><div>'),
+        F.regexp_extract("html", '(?s)<div class="ad">(.*?)</div>', 1),
+        F.lit('</div> more</div>'), hours,
+        F.lit('<a data-event="CTA_website" href="/home">w</a><div class="a container-b"><div class="container"><h2>Nearby Restaurants</h2>'),
+        _venues(),
+        F.lit('</div></div><div class="container"><h2>You may also like</h2><div class="card__menu selection-card">'
+              '<h3 class="card__menu-content--title"><a href="/z">Z</a></h3></div></div>'),
+    )
+    return _pages(spark, sf).withColumn("html", html)
+
+
+def directory_details(spark, sf):
+    details = extract_details(_directory_details(spark, sf), DetailRules(), keep=("page_id",))
+    return details.select(
+        "page_id",
+        "address",
+        "phone",
+        "description",
+        map_to_json(F.col("opening_hours"), spaced=True).alias("opening_hours"),
+        "price_range",
+        "cuisine_type",
+        "website",
+        array_to_json(F.col("nearby_restaurants")).alias("nearby"),
     )
-    table = work_path(spark, "stream")
-    query = collect_listing(stream, table, work_path(spark, "progress"), NAV_CARDS)
-    query.awaitTermination()
-    return spark.read.parquet(table).drop("batch")
 
 
 QUERIES = {
@@ -640,5 +727,8 @@ QUERIES = {
     "build_details": build_details_query,
     "build_details_slice": build_details_slice,
     "two_stage_run": two_stage_run,
+    "details_from_csv": details_from_csv,
     "listing_stream": listing_stream,
+    "directory_listing": directory_listing,
+    "directory_details": directory_details,
 }

@@ -1,11 +1,13 @@
 """Extraction rules over raw HTML.
 
-A rule is a regular expression whose group 1 is the wanted part. The helpers
-below build rules from tag names and attribute conditions; the extractors turn a
-rule into one column expression. A tag holds no bare "<", so that an unclosed tag ends
-at the next one and the search stays linear on broken pages. A rule may carry marks, plain texts one of
-which every match contains: a page without any of them is not searched further,
-and looking for a plain text is far cheaper than running an expression.
+A rule is a regular expression whose group 1 is the wanted part. The helpers below build
+rules from tag names and attribute conditions; the extractors turn a rule into one column
+expression. In a tag, quoted values may hold any character; outside of quotes there is no
+"<", so an unclosed tag ends at the next one and the search stays linear on broken pages.
+Elements that may hold others of their name end at their own closing tag. A rule may
+carry marks, plain texts one of which every match contains: a page without any of them is
+not searched further, and looking for a plain text is far cheaper than running an
+expression.
 """
 
 from __future__ import annotations
@@ -29,11 +31,24 @@ from pagelake.functions.text import (
 )
 
 
+# The rest of a tag. Loops over groups are possessive: Java runs those without recursion.
+REST = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
+
+# Elements that may hold others of their name, and how deep they are followed: an element
+# nested deeper than this in its own kind ends like one that is never closed.
+NESTING = frozenset("article aside body div footer header main nav ol section span table ul".split())
+DEPTH = 24
+
+
 class Rule(NamedTuple):
-    """A pattern and its marks; a plain string is a rule without marks."""
+    """A pattern and its marks; a plain string is a rule without marks.
+
+    ``whole`` rules match entire elements, and elements inside a match are matches too.
+    """
 
     pattern: str
     marks: tuple[str, ...] = ()
+    whole: bool = False
 
 
 class Condition(NamedTuple):
@@ -47,10 +62,19 @@ def _rule(rule: str | Rule) -> Rule:
     return Rule(rule) if isinstance(rule, str) else rule
 
 
+def _before(attr: str) -> str:
+    """Pattern of a tag's part before its first attribute of this name."""
+    return rf"""(?:[^<>"'\s]++|\s(?!(?i:{attr})\s*=)|"[^"]*+"|'[^']*+')*+\s(?i:{attr})\s*=\s*"""
+
+
+def marks_of(rule: str | Rule) -> tuple[str, ...]:
+    return _rule(rule).marks
+
+
 def _condition(attr: str, value: str, double: str, single: str, bare: str) -> Condition:
     """One pattern per way to quote; ``VALUE`` stands for the wanted text."""
     ways = f"(?:\"{double}|'{single}|{bare})".replace("VALUE", re.escape(value))
-    return Condition(rf"\s{attr}\s*=\s*{ways}", (value,))
+    return Condition(f"(?={_before(attr)}{ways})", (value,))
 
 
 def has_class(name: str) -> Condition:
@@ -58,15 +82,15 @@ def has_class(name: str) -> Condition:
     return _condition(
         "class",
         name,
-        r"(?:[^\"<>]*\s)?VALUE(?=[\s\"])",
-        r"(?:[^'<>]*\s)?VALUE(?=[\s'])",
+        r"(?:[^\"]*\s)?VALUE(?=[\s\"])",
+        r"(?:[^']*\s)?VALUE(?=[\s'])",
         r"VALUE(?=[\s>])",
     )
 
 
 def attr_contains(attr: str, value: str) -> Condition:
     """The attribute contains this text."""
-    return _condition(attr, value, r"[^\"<>]*?VALUE", r"[^'<>]*?VALUE", r"[^\s\"'<>]*?VALUE")
+    return _condition(attr, value, r"[^\"]*?VALUE", r"[^']*?VALUE", r"[^\s\"'<>]*?VALUE")
 
 
 def attr_starts(attr: str, value: str) -> Condition:
@@ -92,12 +116,12 @@ def _marks(conditions: tuple[Condition, ...]) -> tuple[str, ...]:
 
 
 def _checks(conditions: tuple[Condition, ...]) -> str:
-    return "".join(f"(?=[^<>]*?{c.pattern})" for c in conditions)
+    return "".join(c.pattern for c in conditions)
 
 
 def opening(tag: str, *conditions: Condition) -> Rule:
     """An opening tag that meets all conditions (no group)."""
-    return Rule(rf"<(?i:{tag})(?=[\s/>]){_checks(conditions)}[^<>]*>", _marks(conditions))
+    return Rule(rf"<(?i:{tag})(?=[\s/>]){_checks(conditions)}{REST}>", _marks(conditions))
 
 
 def up_to(stop: str) -> str:
@@ -109,16 +133,50 @@ def up_to(stop: str) -> str:
     return f"[^<]*+(?:(?!{stop})<[^<]*+)*+"
 
 
+def _content(tag: str) -> str:
+    """Pattern of an element's content up to its own closing tag."""
+    close = rf"</(?i:{tag})\s*>"
+    if tag not in NESTING:
+        return up_to(close)
+    edge = up_to(rf"</?(?i:{tag})(?=[\s/>])")
+    content = edge
+    for _ in range(DEPTH):
+        content = f"{edge}(?:{opening(tag).pattern}{content}{close}{edge})*+"
+    return content
+
+
 def element(tag: str, *conditions: Condition) -> Rule:
-    """An element; group 1 is its content up to the first closing tag."""
+    """An element; group 1 is its content up to its own closing tag.
+
+    Where inner elements are not closed properly, it ends at the first closing tag.
+    """
     start, close = opening(tag, *conditions), rf"</(?i:{tag})\s*>"
-    return start._replace(pattern=f"{start.pattern}({up_to(close)}){close}")
+    content = f"{_content(tag)}(?={close})"
+    if tag in NESTING:
+        content = f"(?:{content}|{up_to(close)})"
+    return start._replace(pattern=f"{start.pattern}({content}){close}")
+
+
+def region(tag: str, *conditions: Condition) -> Rule:
+    """An element up to its own closing tag, or to the page's end if it is not closed."""
+    start, close = opening(tag, *conditions), rf"</(?i:{tag})\s*>"
+    return start._replace(pattern=rf"{start.pattern}(?:{_content(tag)}{close}|[\s\S]*+)")
+
+
+def block(tag: str, *conditions: Condition) -> Rule:
+    """Whole elements, also those inside one another, in the order of their openings.
+
+    An element that is not closed ends where the next of its kind begins.
+    """
+    start, close = opening(tag, *conditions), rf"</(?i:{tag})\s*>"
+    rest = f"(?:{_content(tag)}{close}|{up_to(start.pattern)})"
+    return start._replace(pattern=start.pattern + rest, whole=True)
 
 
 def attribute(tag: str, name: str, *conditions: Condition) -> Rule:
     """An opening tag; group 1 is the value of one attribute, quoted or bare."""
     value = r"""(?<=\")[^\"]*(?=\")|(?<=')[^']*(?=')|(?<=[=\s])[^\s\"'<>]+"""
-    start = rf"<(?i:{tag})(?=\s){_checks(conditions)}[^<>]*?\s{name}\s*=\s*"
+    start = rf"<(?i:{tag})(?=\s){_checks(conditions)}{_before(name)}"
     return Rule(rf"{start}[\"']?({value})[\"']?", _marks(conditions))
 
 
@@ -131,10 +189,22 @@ def nth_child(parent: Rule, tag: str, n: int, child: Rule) -> Rule:
     """``child`` as the n-th (from 0) element ``tag`` inside ``parent``."""
     skip = up_to(rf"<(?i:{tag})(?=[\s/>])")
     close = rf"</(?i:{tag})\s*>"
-    earlier = f"{skip}{opening(tag).pattern}{up_to(close)}{close}" * n
+    earlier = f"{skip}{opening(tag).pattern}{_content(tag)}{close}" * n
     return after(parent, earlier + skip, child)
 
 
+# What no reader sees and no element of the page is.
+_HIDDEN = (
+    r"<!--[\s\S]*?(?:-->|\z)"
+    rf"|<((?i:script|style|template|noscript))(?=[\s/>]){REST}>[\s\S]*?(?:</(?i:\1)\s*>|\z)"
+)
+
+
+def without_hidden(html: Column) -> Column:
+    """The page without comments, scripts, styles and templates."""
+    return F.regexp_replace(html, _HIDDEN, "")
+
+
 def _search(html: Column, rule: Rule, body: str, none: str) -> Column:
     """Apply the SQL ``body`` over ``t``, the page, if it has a mark of the rule."""
     if rule.marks:
@@ -200,7 +270,7 @@ def visible_texts(*raw: Column) -> Column:
 
 def link(raw: Column, page_url: Column | None = None) -> Column:
     """A raw attribute value, decoded; with ``page_url`` as an absolute link."""
-    value = decode_entities(raw)
+    value = decode_entities(raw, attribute=True)
     return value if page_url is None else resolve_url(value, page_url)
 
 
@@ -215,9 +285,10 @@ def link_by_text(html: Column, text: str, fallback: str | Rule, page_url: Column
     ``fallback`` is used only if there is no such link; an empty target is missing
     and does not reach the fallback.
     """
-    anchor = Rule(
-        rf"(<(?i:a)(?=[\s>])[^<>]*>)(?:\s*<(?!/?[aA][\s>])[^<>]*>)*+[^<]*{re.escape(text)}", (text,)
-    )
+    # The link's own first text; elements before it are passed over.
+    child = rf"<((?i:[a-z][a-z0-9]*))(?=[\s/>]){REST}>[^<]*+(?:(?!</(?i:\2)\s*>)<[^<]*+)*+</(?i:\2)\s*>"
+    empty = rf"<(?i:br|img|input|wbr)(?=[\s/>]){REST}>"
+    anchor = Rule(rf"({opening('a').pattern})(?:{empty}|{child})*+[^<]*{re.escape(text)}", (text,))
 
     def target(opened: Column) -> Column:
         named = first_match(opened, attribute("a", "href"))
@@ -233,6 +304,13 @@ def section_after(html: Column, heading: str | Rule) -> Column:
     return _search(html, rule, f"get(split(t, {sql_text(rule.pattern)}, 2), 1)", "NULL")
 
 
+def within(html: Column, scope: str | Rule, heading: str | Rule) -> Column:
+    """The first outermost ``scope`` match that holds ``heading``, null without one."""
+    return F.get(
+        F.filter(all_matches(html, scope, 0), lambda part: first_match(part, heading, 0).isNotNull()), 0
+    )
+
+
 def split_cards(
     html: Column,
     marker: str | Rule,
@@ -241,16 +319,20 @@ def split_cards(
 ) -> Column:
     """Cut a page into the fragments that start with ``marker``, in one pass.
 
-    A fragment runs to the next marker or ``end``, or to the end of the page. Both
-    are patterns that start with a literal ``<``. ``fallback`` is an element rule
-    used only if the marker never occurs.
+    Fragments of a whole rule (see :func:`block`) are its elements. Those of any other
+    run to the next marker or ``end``, or to the end of the page; both are patterns that
+    start with a literal ``<``. ``fallback`` is an element rule used only if the marker
+    never occurs.
     """
     rule = _rule(marker)
     pattern = rule.pattern
     if not pattern.startswith("<"):
         raise ValueError(f"a marker starts with <: {pattern}")
-    stop = f"(?:{pattern})" if end is None else f"(?:{pattern}|{end})"
-    parts = all_matches(html, rule._replace(pattern=f"(?:{pattern}){up_to(stop)}"), 0)
+    if rule.whole:
+        parts = all_matches(html, rule._replace(pattern=f"(?=({pattern}))<"))
+    else:
+        stop = f"(?:{pattern})" if end is None else f"(?:{pattern}|{end})"
+        parts = all_matches(html, rule._replace(pattern=f"(?:{pattern}){up_to(stop)}"), 0)
     if fallback is not None:
         parts = let(
             parts,

@@ -7,7 +7,7 @@ Each rule is one Spark SQL lambda over built-in functions, applied to a column b
 from __future__ import annotations
 
 from collections.abc import Callable
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 # Every character that counts as white space for trimming.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
-# Named character references of HTML 4.
-ENTITIES = {n: chr(c) for n, c in sorted(name2codepoint.items())} | {"apos": "'"}
+# Named character references of HTML 5, and the old names that need no semicolon.
+ENTITIES = {name[:-1]: text for name, text in sorted(html5.items()) if name.endswith(";")}
+BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 
 # References that are common enough for a plain replacement (fixed values).
 _COMMON = {"lt": "<", "gt": ">", "quot": '"', "nbsp": chr(0xA0), "middot": "·", "#39": "'"}
 
-_REFERENCE = "#[0-9]{1,18}|#[xX][0-9a-fA-F]{1,15}|[A-Za-z][A-Za-z0-9]*"
+_NUMBER = "#[0-9]+|#[xX][0-9a-fA-F]+"
+_REFERENCE = "#[0-9xX]|[A-Za-z]"
+# Numbers 128 to 159 stand for the characters that Windows-1252 has there.
+_LATIN = [bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160)]
 _INVISIBLE = r"(?is)<(?:!--.*?-->|(script|style)\b.*?</\1\s*>)"
 _SPACES = "\t\r\n\f"
 _BREAKS = (
@@ -57,30 +61,46 @@ def _stripped(x: str) -> str:
 
 
 def _char(code: str) -> str:
+    latin = ", ".join(sql_text(char) for char in _LATIN)
     valid = f"{code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111"
     return (
-        f"CASE WHEN {valid} THEN decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32') "
+        f"CASE WHEN {code} BETWEEN 128 AND 159 THEN element_at(array({latin}), CAST({code} - 127 AS INT)) "
+        f"WHEN {valid} THEN decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32') "
         f"ELSE {sql_text(chr(0xFFFD))} END"
     )
 
 
-def _decoded(s: str) -> str:
-    # The table is one text literal that Spark folds into a map; neither names nor
-    # values hold blanks or line breaks.
-    table = "\n".join(f"{name} {char}" for name, char in ENTITIES.items())
+def _decoded(s: str, attribute: bool = False) -> str:
+    """SQL for a text with its references decoded.
+
+    Old names count without a semicolon, longest first; in an attribute only if neither
+    a letter, a digit nor "=" follows, as links are full of such names. A number too
+    large for a character is the replacement character.
+    """
+    # The table is one text literal that Spark folds into a map.
+    table = "\x02".join(f"{name}\x01{char}" for name, char in ENTITIES.items())
+    table = f"str_to_map({sql_text(table)}, {sql_text(chr(2))}, {sql_text(chr(1))})"
+    digits = "ltrim('0', substr(r, CASE WHEN r RLIKE '^#[xX]' THEN 3 ELSE 2 END))"
     number = (
-        "CAST(CASE WHEN r RLIKE '^#[xX]' THEN conv(substr(r, 3), 16, 10) "
-        "ELSE substr(r, 2) END AS BIGINT)"
+        f"CASE WHEN length({digits}) > 7 THEN 0 "
+        f"ELSE CAST(concat('0', CASE WHEN r RLIKE '^#[xX]' THEN conv({digits}, 16, 10) "
+        f"ELSE {digits} END) AS BIGINT) END"
     )
     value = (
         f"CASE WHEN startswith(r, '#') THEN {sql_let('n', number, _char('n'))} "
-        f"ELSE try_element_at(str_to_map({sql_text(table)}, {sql_text(chr(10))}, ' '), r) END"
+        f"ELSE try_element_at({table}, r) END"
+    )
+    bare = "^(" + "|".join(BARE_NAMES) + ")" + ("(?![=A-Za-z0-9])" if attribute else "")
+    name = sql_let(
+        "m",
+        "regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)",
+        f"CASE WHEN m <> '' AND try_element_at({table}, m) IS NOT NULL THEN m "
+        f"ELSE regexp_extract(p, {sql_text(bare)}, 1) END",
     )
+    found = f"coalesce(nullif(regexp_extract(p, '^({_NUMBER})', 1), ''), {name})"
+    rest = "substr(p, length(r) + 1 + CASE WHEN substr(p, length(r) + 1, 1) = ';' THEN 1 ELSE 0 END)"
     piece = sql_let(
-        "r",
-        f"regexp_extract(p, {sql_text(f'^({_REFERENCE});')}, 1)",
-        f"coalesce(CASE WHEN r <> '' THEN concat({value}, substr(p, length(r) + 2)) END, "
-        "concat('&', p))",
+        "r", found, f"CASE WHEN r <> '' THEN concat({value}, {rest}) ELSE concat('&', p) END"
     )
     general = sql_let(
         "ps",
@@ -88,9 +108,9 @@ def _decoded(s: str) -> str:
         f"concat(ps[0], array_join(transform(slice(ps, 2, size(ps)), p -> {piece}), ''))",
     )
     common = s
-    for name, char in _COMMON.items():
-        common = f"replace({common}, {sql_text(f'&{name};')}, {sql_text(char)})"
-    other = sql_text(f"&(?!amp;)(?:{_REFERENCE});")
+    for name_, char in _COMMON.items():
+        common = f"replace({common}, {sql_text(f'&{name_};')}, {sql_text(char)})"
+    other = sql_text(f"&(?!amp;)(?:{_REFERENCE})")
     quick = sql_let(
         "q", common, f"CASE WHEN q RLIKE {other} THEN {general} ELSE replace(q, '&amp;', '&') END"
     )
@@ -180,6 +200,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 DECODED = f"f -> {_decoded('f')}"
+ATTRIBUTE = f"f -> {_decoded('f', attribute=True)}"
 CONTENT = f"f -> {_content('f')}"
 VISIBLE = f"f -> {_visible('f')}"
 RESOLVED = f"l -> {_resolved('l.href', 'l.page')}"
@@ -190,9 +211,9 @@ def strip(col: Column) -> Column:
     return F.trim(col, F.lit(WHITESPACE))
 
 
-def decode_entities(col: Column) -> Column:
+def decode_entities(col: Column, attribute: bool = False) -> Column:
     """Decode named and numeric character references; unknown names stay as they are."""
-    return apply(col, DECODED)
+    return apply(col, ATTRIBUTE if attribute else DECODED)
 
 
 def text_content(fragment: Column) -> Column:

@@ -29,7 +29,7 @@ def explode_cards(
 
     ``outer`` keeps pages without cards as one row with a null ``pos``.
     """
-    cards = h.split_cards(F.col(html), marker, fallback, end)
+    cards = h.split_cards(h.without_hidden(F.col(html)), marker, fallback, end)
     cut = F.posexplode_outer if outer else F.posexplode
     return pages.select(*keep, cut(cards).alias("pos", "frag"))
 
@@ -42,7 +42,7 @@ def card_record(frag: Column, page_url: Column, rules: CardRules) -> Column:
     )
     texts = apply_all(raw, VISIBLE if rules.rendered else CONTENT)
     block = frag if rules.award_block is None else h.first_match(frag, rules.award_block)
-    srcs = F.coalesce(h.all_matches(block, rules.award_src), F.array().cast("array<string>"))
+    srcs = F.coalesce(h.all_matches(block, rules.award_sources), F.array().cast("array<string>"))
 
     def awards(found: Column) -> Column:
         stars, bib = award_flags(found, rules.star, rules.bib)
@@ -76,7 +76,8 @@ def listing_cards(pages: DataFrame, rules: CardRules, outer: bool = False) -> Da
     Records are built inside the page's row and exploded afterwards, so a later
     filter on ``name`` reads a finished field instead of repeating the extraction.
     """
-    frags = h.split_cards(F.col("html"), rules.marker, rules.fallback, rules.end)
+    page = h.without_hidden(F.col("html"))
+    frags = h.split_cards(page, rules.marker, rules.fallback, rules.end)
     records = F.transform(frags, lambda frag: card_record(frag, F.col("url"), rules))
     cut = F.posexplode_outer if outer else F.posexplode
     return pages.select("page_no", cut(records).alias("pos", "card")).select(
@@ -90,11 +91,18 @@ def require(df: DataFrame, column: str = "name") -> DataFrame:
 
 
 def nearby_array(
-    html: Column, page_url: Column, heading: str | h.Rule, rules: CardRules, limit: int = 9
+    html: Column,
+    page_url: Column,
+    heading: str | h.Rule,
+    rules: CardRules,
+    limit: int = 9,
+    scope: str | h.Rule | None = None,
 ) -> Column:
-    """The first ``limit`` cards after the heading as an array of records.
+    """The first ``limit`` cards of the heading's section as an array of records.
 
-    Cards are cut off before those without a title are dropped; null if none is left.
+    The section is the outermost ``scope`` element that holds the heading, without a
+    scope all that follows the heading. Cards are cut off before those without a title
+    are dropped; null if none is left.
     """
 
     def record(frag: Column) -> Column:
@@ -107,8 +115,10 @@ def nearby_array(
         cards = F.slice(h.split_cards(section, rules.marker, rules.fallback, rules.end), 1, limit)
         return F.filter(F.transform(cards, record), lambda c: c["name"].isNotNull())
 
-    found = let(h.section_after(html, heading), records)
-    return let(found, lambda cards: F.when(F.size(cards) > 0, cards))
+    section = h.section_after(html, heading) if scope is None else h.within(html, scope, heading)
+    found = let(let(section, records), lambda cards: F.when(F.size(cards) > 0, cards))
+    marks = h.marks_of(heading)
+    return F.when(F.greatest(*[F.contains(html, F.lit(m)) for m in marks * 2]), found) if marks else found
 
 
 def day_map(
@@ -149,7 +159,7 @@ def _info_blocks(html: Column, rules: DetailRules) -> Column:
         )
 
     return let(
-        h.section_after(html, rules.info),
+        F.array_join(h.all_matches(html, rules.info, 0), " "),
         lambda section: F.array(child(section, 0), child(section, 1)),
     )
 
@@ -157,37 +167,42 @@ def _info_blocks(html: Column, rules: DetailRules) -> Column:
 def extract_details(pages: DataFrame, rules: DetailRules, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per detail page: ``url`` and the eight extracted fields.
 
-    Whether a fallback applies is decided on the raw matches, then one rule turns
-    them all into text.
+    The page is cut into its few regions first, each in a column of its own; the rules
+    for links run on the page's links only. Whether a fallback applies is decided on the
+    raw matches, then one rule turns them all into text.
     """
-    html, url = F.col("html"), F.col("url")
-    texts = let(
-        _info_blocks(html, rules),
-        lambda info: h.visible_texts(
-            F.coalesce(F.get(info, 0), h.first_within(html, rules.heading_item, rules.map_link)),
-            F.coalesce(
-                h.first_match(html, rules.phone),
-                h.first_within(html, rules.heading_item, rules.phone_link),
-            ),
-            h.first_of(html, rules.description, rules.old_description),
-            F.get(info, 1),
-        ),
+    html, url, links = F.col("_html"), F.col("url"), F.col("_links")
+    heading = [h.first_within(html, rules.heading_item, r) for r in (rules.map_link, rules.phone_link)]
+    raw = F.array(
+        F.coalesce(F.get("_info", 0), heading[0]),
+        F.coalesce(h.first_match(links, rules.phone), heading[1]),
+        h.first_of(html, rules.description, rules.old_description),
+        F.get("_info", 1),
     )
     address, phone, description, second = (F.get("_texts", n) for n in range(4))
     price_range, cuisine_type = split_pair(second, DETAIL_SEPARATOR, missing="right")
+    nearby = nearby_array(
+        html, url, rules.nearby_heading, rules.nearby, rules.nearby_limit, rules.nearby_scope
+    )
     return (
-        pages.filter(html.isNotNull())
+        pages.filter(F.col("html").isNotNull())
+        .select(*keep, url, h.without_hidden(F.col("html")).alias("_html"))
+        .select(
+            *keep,
+            url,
+            html,
+            F.array_join(h.all_matches(html, h.element("a"), 0), "").alias("_links"),
+            _info_blocks(html, rules).alias("_info"),
+        )
         .select(
             *keep,
             url,
-            texts.alias("_texts"),
+            apply_all(raw, VISIBLE).alias("_texts"),
             day_map(html, rules.hours_card, rules.day, rules.hours, rules.hours_end).alias(
                 "opening_hours"
             ),
-            h.link_by_text(html, rules.website_text, rules.website_link, url).alias("website"),
-            nearby_array(html, url, rules.nearby_heading, rules.nearby, rules.nearby_limit).alias(
-                "nearby_restaurants"
-            ),
+            h.link_by_text(links, rules.website_text, rules.website_link, url).alias("website"),
+            nearby.alias("nearby_restaurants"),
         )
         .select(
             *keep,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +45,11 @@ def top_locations(
 ) -> DataFrame:
     """The ``k`` most frequent values; ties go to the one that appears first.
 
-    Page and position are packed into one long, which keeps the aggregation a hash
+    Page and position are packed into one number, which keeps the aggregation a hash
     aggregation with a map-side part. A missing value is a group of its own.
     """
-    place = F.shiftleft(F.col(page_col).cast("int").cast("bigint"), 32) + F.col(pos_col)
+    wide = F.lit(Decimal(1 << 63))
+    place = (F.col(page_col).cast("decimal(19,0)") * wide + F.col(pos_col)).cast("decimal(38,0)")
     return (
         listing.groupBy(column)
         .agg(F.count("*").alias("n"), F.min(place).alias("_first"))

@@ -11,9 +11,6 @@ from pagelake.functions.values import MISSING
 from pagelake.schemas import CARRIED_FIELDS, ORDER
 from pagelake.session import stage
 
-# Slices that end within this many rows are taken by a bounded top-n.
-TOP_ROWS = 100_000
-
 # A key is hot if it holds more than 1/HOT_SHARE of the rows, so there are fewer
 # than HOT_SHARE hot keys whatever the size of the data.
 HOT_SHARE = 1024
@@ -122,65 +119,43 @@ def valid_url(df: DataFrame, column: str = "url") -> DataFrame:
     return df.filter(F.col(column).isNotNull() & (F.col(column) != MISSING))
 
 
-def is_bounded_slice(start: int, max_rows: int | None) -> bool:
-    """Whether a slice reaches at most ``TOP_ROWS`` rows into its input."""
-    return bool(max_rows) and start + max_rows <= TOP_ROWS
-
-
 def slice_rows(
     df: DataFrame,
     order: Sequence[str] = ORDER,
     start: int = 0,
     max_rows: int | None = None,
+    work: str | None = None,
 ) -> DataFrame:
     """Rows ``start`` to ``start + max_rows`` in the given order (None or 0: all).
 
-    ``order`` must be a total order. Short slices are a bounded top-n. Others sort
-    into ranges, count every range, and number rows only inside the two ranges
-    that the slice cuts, so no task sees more than one range.
+    ``order`` must be a total order. Rows are dealt into sorted ranges and stored (below
+    ``work``); the ranges' sizes tell which of them the slice reaches, and only in those
+    are rows numbered. No task sees more than one range.
     """
     if start < 0 or (max_rows or 0) < 0:
         raise ValueError("start and max_rows must not be negative")
     if start == 0 and not max_rows:
         return df
-    if is_bounded_slice(start, max_rows):
-        return df.orderBy(*order).offset(start).limit(max_rows)
-    return _slice_by_ranges(df, order, start, start + max_rows if max_rows else None)
-
-
-def _slice_by_ranges(
-    df: DataFrame, order: Sequence[str], start: int, end: int | None
-) -> DataFrame:
-    spark = df.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = F.col("_range")
+    end = F.lit(start + max_rows) if max_rows else F.lit(None).cast("bigint")
     ranged = stage(
-        df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()),
-        "slice",
+        df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "slice", work
+    )
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range, of which there are as many as shuffle partitions.
+    reached = (
+        ranged.groupBy("_range")
+        .agg(F.count("*").alias("_rows"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .filter((F.col("_before") + F.col("_rows") > start) & F.coalesce(F.col("_before") < end, F.lit(True)))
+        .drop("_rows")
+    )
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return (
+        ranged.join(F.broadcast(reached), "_range")
+        .withColumn("_place", place)
+        .filter((F.col("_place") > start) & F.coalesce(F.col("_place") <= end, F.lit(True)))
+        .select(*df.columns)
     )
-    # At most one row per range comes to the driver.
-    per_range = ranged.groupBy(part).agg(F.count("*").alias("n"))
-    counts = {row["_range"]: row["n"] for row in per_range.collect()}
-    before, cut, whole = 0, [], []
-    for number in sorted(counts):
-        after = before + counts[number]
-        inside = after > start and (end is None or before < end)
-        if inside and before >= start and (end is None or after <= end):
-            whole.append(number)
-        elif inside:
-            low = max(start - before, 0)
-            high = counts[number] if end is None else min(end - before, counts[number])
-            cut.append((number, low, high))
-        before = after
-    result = ranged.filter(part.between(whole[0], whole[-1]) if whole else F.lit(False))
-    if cut:
-        row = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-        edges = ranged.filter(part.isin([number for number, _, _ in cut])).withColumn("_row", row)
-        keep = F.lit(False)
-        for number, low, high in cut:
-            keep = keep | ((part == number) & (F.col("_row") > low) & (F.col("_row") <= high))
-        result = result.unionByName(edges.filter(keep).drop("_row"))
-    return result.drop("_range")
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = 100_000) -> DataFrame:
@@ -234,14 +209,17 @@ def enrich(
     carried: Sequence[str] = CARRIED_FIELDS,
     key: str = "url",
     order: Sequence[str] = ORDER,
-    salted: bool = True,
+    salted: bool = False,
     hot_rows: int = 100_000,
+    errors: DataFrame | None = None,
 ) -> DataFrame:
     """Details for every listing row, with the carried listing columns.
 
-    Listing rows without details stay and get an ``error`` (see :func:`with_error`);
-    repeated listing rows stay too. ``details`` must be unique by ``key``. ``salted``
-    splits keys with ``hot_rows`` rows or more (see :func:`left_join_salted`).
+    Listing rows without details stay and get an ``error`` (see :func:`with_error`), that
+    of ``errors(key, message)`` if there is one; repeated listing rows stay too.
+    ``details`` and ``errors`` must be unique by ``key``. Adaptive execution splits
+    skewed keys of the join; ``salted`` splits keys with ``hot_rows`` rows or more up
+    front instead, for the price of one more look at the listing.
     """
     kept = [c for c in (*order, *carried) if c in listing.columns]
     left = listing.select(key, *kept)
@@ -251,7 +229,11 @@ def enrich(
     else:
         joined = left.join(right, key, "left")
     fields = [c for c in details.columns if c != key and c not in kept]
-    return with_error(joined, F.col("_found")).select(
+    message = F.lit(NOT_FOUND)
+    if errors is not None:
+        joined = joined.join(errors, key, "left")
+        message = F.coalesce("message", message)
+    return with_error(joined, F.col("_found"), message).select(
         *[c for c in order if c in kept],
         key,
         *fields,
@@ -260,7 +242,7 @@ def enrich(
     )
 
 
-def with_error(df: DataFrame, found: Column, message: str = NOT_FOUND) -> DataFrame:
+def with_error(df: DataFrame, found: Column, message: Column | str = NOT_FOUND) -> DataFrame:
     """Set ``error`` on rows whose page failed; the row itself stays."""
     return df.withColumn("error", F.when(found.isNull(), F.lit(message)))
 

@@ -8,16 +8,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.operators.cards import extract_details
-from pagelake.operators.relational import (
-    enrich,
-    first_wins,
-    is_bounded_slice,
-    slice_rows,
-    valid_url,
-)
+from pagelake.operators.relational import enrich, first_wins, slice_rows, valid_url
 from pagelake.plans.rules import DETAILS, DetailRules
 from pagelake.schemas import DETAIL, ORDER
 
+# Links are told apart by a hash below this number when pages are chosen for parsing.
+HASHES = 1 << 22
+
+
+def wanted_pages(pages: DataFrame, links: DataFrame, capture_order: Sequence[str] = ()) -> DataFrame:
+    """The pages worth parsing: those of ``links(url)``, and of each its first capture.
+
+    What is chosen are hash values below ``HASHES``, so the broadcast is bounded whatever
+    the size of the listing; the few pages that share a value by chance are dropped by
+    the join with the listing. Pages themselves are not shuffled.
+    """
+    kept = ["url", *capture_order]
+    chosen = links.select("url").distinct()
+    if capture_order:
+        first = F.min(F.struct(*capture_order)).alias("first")
+        captures = pages.filter(F.col("html").isNotNull()).select(*kept).groupBy("url").agg(first)
+        chosen = chosen.join(captures, "url").select("url", "first.*")
+    value = F.pmod(F.xxhash64(*kept), F.lit(HASHES)).cast("int").alias("_hash")
+    values = F.broadcast(chosen.select(value).distinct())
+    return pages.withColumn("_hash", value).join(values, "_hash", "left_semi").drop("_hash")
+
 
 def build_details(
     listing: DataFrame,
@@ -27,28 +42,29 @@ def build_details(
     rules: DetailRules = DETAILS,
     order: Sequence[str] = ORDER,
     capture_order: Sequence[str] = (),
+    work: str | None = None,
 ) -> DataFrame:
     """Detail records for a slice of the listing, in the form of the detail schema.
 
     Rows keep the order columns of the listing. A listing without a ``url`` column
     gives no rows. If a URL was captured more than once, the first capture by
-    ``capture_order`` counts; without it URLs must be unique.
+    ``capture_order`` counts, and of equal ones that whose page has the smallest hash.
+    A listing row without a captured page gets an error: the ``error`` of its failed
+    capture (one without ``html``), if ``pages`` has that column, else a fixed one.
 
-    A short slice has a bounded number of links. Their hashes, eight bytes each, are
-    broadcast so that only their pages (and the rare page with an equal hash, which the
-    join drops) are parsed. Otherwise every page is parsed where it is read and only
-    the records, not the pages, are shuffled to the listing.
+    Only pages the slice asks for are parsed (see :func:`wanted_pages`), where they are
+    read; records, not pages, are shuffled to the listing.
     """
     spark = pages.sparkSession
     if "url" not in listing.columns:
         return spark.createDataFrame([], DETAIL)
-    wanted = slice_rows(valid_url(listing), order, start, max_rows)
-    bounded = is_bounded_slice(start, max_rows)
-    if bounded:
-        hashed = F.xxhash64("url").alias("_hash")
-        links = F.broadcast(wanted.select(hashed).distinct())
-        pages = pages.select("*", hashed).join(links, "_hash", "left_semi").drop("_hash")
-    details = extract_details(pages, rules, keep=tuple(capture_order))
-    if capture_order:
-        details = first_wins(details, ["url"], capture_order).drop(*capture_order)
-    return enrich(wanted, details, order=order, salted=not bounded)
+    wanted = slice_rows(valid_url(listing), order, start, max_rows, work)
+    asked = wanted_pages(pages, wanted, capture_order)
+    captured = asked.withColumn("_capture", F.xxhash64("html"))
+    by = [*capture_order, "_capture"]
+    details = first_wins(extract_details(captured, rules, keep=tuple(by)), ["url"], by).drop(*by)
+    errors = None
+    if "error" in pages.columns:
+        failed = pages.filter(F.col("html").isNull() & F.col("error").isNotNull())
+        errors = failed.groupBy("url").agg(F.min("error").alias("message"))
+    return enrich(wanted, details, order=order, errors=errors)

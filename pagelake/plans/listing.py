@@ -19,14 +19,15 @@ def build_listing(
     rules: CardRules = LISTING_CARDS,
     keys: Sequence[str] = ("name",),
     first_page: int = 1,
+    work: str | None = None,
 ) -> DataFrame:
     """Listing rows in crawl order semantics: first card per key, up to the first page
     that adds nothing, at most ``max_pages`` pages.
 
     ``pages`` has ``page_no``, ``url`` and ``html``. The raw pages are parsed once;
-    the deduplicated cards, a small fraction of them, are stored and read twice, for
-    the stop and for the result.
+    the deduplicated cards, a small fraction of them, are stored below ``work`` or the
+    shared folder and read twice, for the stop and for the result.
     """
     wanted = cap_pages(pages, max_pages, "page_no", first_page)
-    new = stage(first_wins(require(listing_cards(wanted, rules)), keys, ORDER), "listing")
+    new = stage(first_wins(require(listing_cards(wanted, rules)), keys, ORDER), "listing", work)
     return stop_at_first_gap(new, "page_no", max_pages, first_page)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from pagelake.plans.details import build_details
 from pagelake.plans.listing import build_listing
 from pagelake.plans.rules import DETAILS, LISTING_CARDS, CardRules, DetailRules
 from pagelake.schemas import CARRIED_FIELDS, DETAIL_FIELDS, LISTING, LISTING_FIELDS, ORDER
+from pagelake.session import discard, exists
 from pagelake.sinks.files import write_csv, write_csv_flat, write_json
 from pagelake.sources.listing_csv import read_listing_csv
 
@@ -41,10 +41,7 @@ class Outcome:
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    return spark.read.parquet(path) if exists(spark, path) else None
 
 
 def save_listing(listing: DataFrame, out: str) -> None:
@@ -58,12 +55,15 @@ def save_details(details: DataFrame, out: str) -> None:
     """Detail files: JSON array parts and flat CSV.
 
     A failed page has only its link, the carried columns and the error; the other
-    records have no ``error``. Columns that no record has are left out of the CSV.
+    records have no ``error``. Missing opening hours and nearby venues, whose columns
+    hold no text, are the missing-value mark in both files. Columns that no record has
+    are left out of the CSV.
     """
     ok = F.col("error").isNull()
     marked = fill_sentinels(details, CARRIED_FIELDS)
     marked = fill_sentinels(marked, DETAIL_FIELDS, only_if=ok)
-    write_json(marked, f"{out}/details_json", "array", ORDER, ignore_nulls=True)
+    nested = [F.when(ok & F.col(n).isNull(), F.lit(n)) for n in ("opening_hours", "nearby_restaurants")]
+    write_json(marked, f"{out}/details_json", "array", ORDER, ignore_nulls=True, marked=nested)
     seen = details.agg(F.bool_or(ok).alias("ok"), F.bool_or(~ok).alias("failed")).first()
     absent = ([] if seen["failed"] else ["error"]) + ([] if seen["ok"] else list(DETAIL_FIELDS))
     write_csv_flat(marked.orderBy(*ORDER).drop(*ORDER, *absent), f"{out}/details_csv")
@@ -76,8 +76,9 @@ def _listing_stage(
     max_pages: int | None,
     rules: CardRules,
     first_page: int,
+    work: str,
 ) -> Outcome:
-    build_listing(pages, max_pages, rules, first_page=first_page).write.mode(
+    build_listing(pages, max_pages, rules, first_page=first_page, work=work).write.mode(
         "overwrite"
     ).parquet(f"{out}/listing")
     listing = spark.read.parquet(f"{out}/listing")
@@ -102,15 +103,16 @@ def _detail_stage(
     max_rows: int | None,
     rules: DetailRules,
     capture_order: Sequence[str],
+    work: str,
 ) -> Outcome:
     if listing_csv is None:
         listing = _stored(spark, f"{out}/listing")
     else:
-        listing = read_listing_csv(spark, listing_csv, LISTING)
+        listing = read_listing_csv(spark, listing_csv, LISTING, file_order=True)
     if listing is None:
         return Outcome(False, "no stored listing: run the listing stage first")
     build_details(
-        listing, pages, start, max_rows, rules, capture_order=capture_order
+        listing, pages, start, max_rows, rules, capture_order=capture_order, work=work
     ).write.mode("overwrite").parquet(f"{out}/details")
     details = spark.read.parquet(f"{out}/details")
     if details.isEmpty():
@@ -137,19 +139,37 @@ def run(
     """Run the listing stage, the detail stage, or both; files go below ``out``.
 
     A stage without rows fails, and a failed listing stage ends the run. The detail
-    stage reads the stored listing, or ``listing_csv`` (which then needs the order
-    columns).
+    stage reads the stored listing, or ``listing_csv``, whose rows count in the order of
+    the file if it has no order columns. Intermediate tables lie below ``out`` and are
+    removed in the end.
     """
     if stage not in STAGES:
         raise ValueError(f"unknown stage: {stage}")
+    work = f"{out}/_work"
+    try:
+        return _run_stages(
+            spark, out, result_pages, detail_pages, stage, max_pages, start, max_rows,
+            listing_csv, card_rules, detail_rules, first_page, capture_order, work,
+        )
+    finally:
+        discard(spark, work)
+
+
+def _run_stages(
+    spark, out, result_pages, detail_pages, stage, max_pages, start, max_rows,
+    listing_csv, card_rules, detail_rules, first_page, capture_order, work,
+) -> Outcome:
     outcome = Outcome(False)
     if stage in ("global", "both"):
-        outcome = _listing_stage(spark, result_pages, out, max_pages, card_rules, first_page)
+        outcome = _listing_stage(
+            spark, result_pages, out, max_pages, card_rules, first_page, work
+        )
         if not outcome.ok:
             return outcome
     if stage in ("details", "both"):
         second = _detail_stage(
-            spark, detail_pages, out, listing_csv, start, max_rows, detail_rules, capture_order
+            spark, detail_pages, out, listing_csv, start, max_rows, detail_rules,
+            capture_order, work,
         )
         second.summary, second.stars = outcome.summary, outcome.stars
         second.locations = outcome.locations

@@ -42,7 +42,7 @@ CARD = T.StructType(
 )
 
 LISTING = T.StructType(
-    [T.StructField("page_no", T.IntegerType()), T.StructField("pos", T.IntegerType())]
+    [T.StructField("page_no", T.LongType()), T.StructField("pos", T.IntegerType())]
     + CARD.fields
 )
 

@@ -44,30 +44,43 @@ def local_session(cpus: int | str = "*", app: str = "pagelake") -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is the folder the cluster names in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a folder of its own.
+    It is the folder the cluster names in ``spark.checkpoint.dir``. Only a session that
+    runs in one process and lacks that setting gets a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="pagelake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def work_path(spark: SparkSession, name: str = "table") -> str:
-    """A fresh path below :func:`work_dir`."""
-    return f"{work_dir(spark)}/pagelake-{name}-{uuid.uuid4().hex}"
+def work_path(spark: SparkSession, name: str = "table", work: str | None = None) -> str:
+    """A fresh path below ``work``, a shared folder; without one below :func:`work_dir`."""
+    return f"{work or work_dir(spark)}/pagelake-{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, in whatever store it names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate tables, in whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stage(df: DataFrame, name: str = "stage", work: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet below ``work`` or the shared folder and read it back.
 
     Used where a costly result (parsed pages) has more than one reader: the pages
     are parsed once, every reader prunes columns on its own, and a lost executor
     never sends the job back to the raw pages.
     """
-    path = work_path(df.sparkSession, name)
+    path = work_path(df.sparkSession, name, work)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

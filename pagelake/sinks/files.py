@@ -30,14 +30,16 @@ def write_json(
     mode: str = "lines",
     order: Sequence[str] | None = None,
     ignore_nulls: bool = False,
+    marked: Sequence[Column] = (),
 ) -> None:
     """Write UTF-8 JSON, also if there is no row.
 
     ``lines`` writes one object per line. ``array`` needs ``order`` (a total order,
     not written) and writes part files that, read one after the other in name order,
-    are one JSON array: the first record opens it, the last one closes it, and no
-    task holds more than its own part. It reads ``df`` more than once, so hand in a
-    stored table.
+    are one JSON array: a part opens it, sorted parts hold the records, a part closes
+    it, and no task holds more than its own part. Sorting reads ``df`` twice, so hand in
+    a stored table. ``marked`` are names of keys, null or not, that a record gets with
+    the missing-value mark because its column, left out, holds no text.
     """
     if mode == "lines":
         df.write.mode("overwrite").option("ignoreNullFields", ignore_nulls).json(path)
@@ -46,22 +48,17 @@ def write_json(
         raise ValueError(f"unknown mode: {mode}")
     if not order:
         raise ValueError("array mode needs an order")
-    key = F.struct(*order)
-    ends = df.agg(F.min(key).alias("first"), F.max(key).alias("last"))
     fields = [c for c in df.columns if c not in order]
     text = F.to_json(F.struct(*fields), {"ignoreNullFields": str(ignore_nulls).lower()})
-    first = ends.select("first").scalar()
-    last = ends.select("last").scalar()
-    rows = df.select(
-        *order,
-        F.concat(
-            F.when(key == first, F.lit("[")).otherwise(F.lit(",")),
-            text,
-            F.when(key == last, F.lit("]")).otherwise(F.lit("")),
-        ).alias("value"),
-    ).orderBy(*order)
-    empty = ends.filter(F.col("first").isNull()).select(F.lit("[]").alias("value"))
-    rows.select("value").unionByName(empty).write.mode("overwrite").text(path)
+    if marked:
+        extra = F.concat_ws("", *[F.concat(F.lit(',"'), m, F.lit(f'":"{MISSING}"')) for m in marked])
+        text = F.concat(F.substr(text, F.lit(1), F.length(text) - 1), extra, F.lit("}"))
+    # Ranges begin with a key that occurs: the first record is the first of the first part.
+    comma = F.when(F.monotonically_increasing_id() > 0, F.lit(",")).otherwise(F.lit(""))
+    ranged = df.select(*order, text.alias("text")).repartitionByRange(*order)
+    rows = ranged.sortWithinPartitions(*order).select(F.concat(comma, "text").alias("value"))
+    edge = lambda t: df.sparkSession.range(1, numPartitions=1).select(F.lit(t).alias("value"))
+    edge("[").union(rows).union(edge("]")).write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> bool:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelake.schemas import CARD
+from pagelake.schemas import CARD, ORDER
 
 NA_TOKENS = ("", "N/A")
 
@@ -43,12 +43,15 @@ def read_listing_csv(
     schema: T.StructType = CARD,
     na_tokens: Iterable[str] = NA_TOKENS,
     multi_line: bool = True,
+    file_order: bool = False,
 ) -> DataFrame | None:
     """A CSV with a header; ``na_tokens`` become null. None if it cannot be read.
 
     Columns are matched by header name. Those named in ``schema`` get its type, the
     rest stay text. ``multi_line`` allows line breaks inside cells but keeps each
     file in one task: set it to False for a single huge file without such cells.
+    ``file_order`` adds the order columns, should the file lack them: ``page_no`` counts
+    the file's splits in the order of their names, ``pos`` rises within a split.
     """
     try:
         raw = (
@@ -70,4 +73,11 @@ def read_listing_csv(
         if isinstance(kind, T.IntegerType):
             cell = cell.cast("double")  # "2.0" is how a column with gaps may be written
         columns.append(cell.cast(kind).alias(name))
-    return raw.select(*columns)
+    if not file_order or set(ORDER) <= set(raw.columns):
+        return raw.select(*columns)
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = raw.select(*columns, *place, F.monotonically_increasing_id().alias(ORDER[1]))
+    splits = raw.select(*place).distinct()  # few: one row per split
+    rank = F.row_number().over(Window.orderBy("_file", "_start")).cast("bigint")
+    splits = splits.withColumn(ORDER[0], rank)
+    return rows.join(splits, ["_file", "_start"]).select(*ORDER, *raw.columns)

@@ -8,18 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_pages(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Captured pages, one row per page, with at least ``url`` and ``html``.
 
-    Parsing is heavy work per byte. With ``spread``, a capture that has fewer splits
-    than there are cores is dealt out to all of them first; a large capture has more
-    splits than cores and is read as it lies, without a shuffle.
+    Pages are parsed where they are read. How many tasks that are is a matter of the
+    split size (``spark.sql.files.maxPartitionBytes``) and of the files' row groups.
     """
-    pages = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread and pages.rdd.getNumPartitions() < cores:
-        pages = pages.repartition(cores)
-    return pages
+    return spark.read.parquet(path)
 
 
 def page_sequence(spark: SparkSession, max_pages: int = 20) -> DataFrame:
@@ -33,21 +28,22 @@ def page_url(base: str | Column, n: Column) -> Column:
     return F.when(n == 1, base).otherwise(F.concat(base, F.lit("/page/"), n.cast("string")))
 
 
-def listing_pages(pages: DataFrame, base: str, max_pages: int = 20) -> DataFrame:
-    """The captured result pages 1..max_pages of ``base``, with their ``page_no``.
+def listing_pages(pages: DataFrame, base: str, max_pages: int | None = 20) -> DataFrame:
+    """The captured result pages 1..max_pages of ``base`` (None: all), with their ``page_no``.
 
     The number is read off the URL, so no join with the page sequence is needed,
     and the URL prefix reaches the Parquet scan.
     """
-    number = F.regexp_extract("url", "^" + re.escape(f"{base}/page/") + r"([0-9]{1,9})$", 1)
-    return (
+    number = F.regexp_extract("url", "^" + re.escape(f"{base}/page/") + r"([0-9]+)$", 1)
+    numbered = (
         pages.filter(F.col("url").startswith(base))
         .withColumn(
             "page_no",
-            F.when(F.col("url") == base, F.lit(1)).when(number != "", number.cast("int")),
+            F.when(F.col("url") == base, F.lit(1)).when(number != "", number.try_cast("bigint")),
         )
-        .filter(F.col("page_no").between(1, max_pages))
+        .filter(F.col("page_no") >= 1)
     )
+    return numbered if max_pages is None else numbered.filter(F.col("page_no") <= max_pages)
 
 
 def only_page(df: DataFrame, n: int, page_col: str = "page_no") -> DataFrame:

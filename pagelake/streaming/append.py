@@ -1,16 +1,14 @@
-"""Page-by-page collection as a stream: append cards whose key is not stored yet."""
+"""Page-by-page collection as a stream: every batch adds its first cards per key."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from pagelake.operators.cards import listing_cards, require
-from pagelake.operators.relational import append_new
+from pagelake.operators.relational import first_wins
 from pagelake.plans.rules import LISTING_CARDS, CardRules
 from pagelake.schemas import ORDER
 
@@ -18,21 +16,14 @@ from pagelake.schemas import ORDER
 def append_batch(
     table: str, keys: Sequence[str] = ("name",), order: Sequence[str] = ORDER
 ) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that adds a batch's new rows to ``table``.
+    """A ``foreachBatch`` function that adds a batch's first row per key to ``table``.
 
-    Every batch writes a folder of its own and compares itself with the earlier
-    ones only, so a batch that runs again after a failure replaces its first try.
+    Every batch writes a folder of its own, so a batch that runs again after a failure
+    replaces its first try, and no batch reads what others stored.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(table).filter(F.col("batch") < number)
-        except AnalysisException:  # nothing stored yet
-            stored = spark.createDataFrame([], batch.schema)
-        append_new(stored, batch, keys, order).write.mode("overwrite").parquet(
-            f"{table}/batch={number}"
-        )
+        first_wins(batch, keys, order).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return add
 
@@ -44,9 +35,10 @@ def collect_listing(
     rules: CardRules = LISTING_CARDS,
     keys: Sequence[str] = ("name",),
 ) -> StreamingQuery:
-    """Turn a stream of result pages into a growing listing table.
+    """Turn a stream of result pages into a growing table of first cards.
 
-    Takes what is available and ends; start it again to go on where it stopped.
+    Takes what is available and ends; start it again to go on where it stopped. Read the
+    listing with :func:`collected`.
     """
     cards = require(listing_cards(pages, rules))
     return (
@@ -55,3 +47,10 @@ def collect_listing(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def collected(
+    spark: SparkSession, table: str, keys: Sequence[str] = ("name",), order: Sequence[str] = ORDER
+) -> DataFrame:
+    """The listing so far: per key the first row in ``order``, whichever batch brought it."""
+    return first_wins(spark.read.parquet(table).drop("batch"), keys, order)

@@ -5,7 +5,7 @@ B = "/a/bib-gourmand.svg"
 BASE = "https://g.example/list"
 
 
-def card(name, slug=None, images=None, scores=(), href=None, award="guide-award"):
+def card(name, slug=None, images=None, scores=(), href=None, award="award"):
     """A venue card; ``None`` leaves the part out."""
     parts = ['<div class="card__menu selection-card">']
     if name is not None:
@@ -37,12 +37,13 @@ LISTING_PAGES = [
     page(card("Epsilon", "epsilon", [S], ["Bangkok", "฿ · Thai"])),
 ]
 
+# Positions count every element whose class names a card, parts of cards included.
 ORIGIN = "https://g.example/th/en/x/restaurant/"
 LISTING_ROWS = [
     (1, 0, "Alpha", ORIGIN + "alpha", 2, "2 star", "Bangkok", "฿฿฿฿", "Indian"),
-    (1, 1, "Beta", ORIGIN + "beta", 0, "Bib Gourmand", "Phuket", None, "Thai"),
-    (1, 3, "Gamma", ORIGIN + "gamma", 0, "None", None, None, None),
-    (2, 1, "Delta", ORIGIN + "delta", 1, "Bib Gourmand", "Bangkok", "฿฿", "Thai"),
+    (1, 4, "Beta", ORIGIN + "beta", 0, "Bib Gourmand", "Phuket", None, "Thai"),
+    (1, 11, "Gamma", ORIGIN + "gamma", 0, "None", None, None, None),
+    (2, 4, "Delta", ORIGIN + "delta", 1, "Bib Gourmand", "Bangkok", "฿฿", "Thai"),
 ]
 
 
@@ -52,7 +53,7 @@ def page_address(n):
 
 def listing_pages(spark):
     rows = [(n, page_address(n), html) for n, html in enumerate(LISTING_PAGES, 1)]
-    return spark.createDataFrame(rows, "page_no int, url string, html string")
+    return spark.createDataFrame(rows, "page_no bigint, url string, html string")
 
 
 def hours_card(day, *hours):

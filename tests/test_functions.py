@@ -29,12 +29,21 @@ def one(spark, value, expr, kind="string"):
         ("&#xD800;|&#0;", "�|�"),
         ("&#39;&apos;&quot;", "''\""),
         ("&#0000000038;&#x00000026;&#99999999;", "&&�"),
+        ("&#146;s &colon; &copy 2024 &NotEqualTilde;", "’s : © 2024 ≂̸"),
+        ("&copyright &notit; &Tab;x &#38 &amp&lt", "©right ¬it; \tx & &<"),
+        ("&#99999999999999999999999999; &#x00FFFFFFFFFFFFFFFFF; &#129;", "� � \x81"),
     ],
 )
 def test_decode_entities(spark, raw, want):
     assert one(spark, raw, text.decode_entities) == want
 
 
+def test_references_in_links(spark):
+    """In an attribute an old name without a semicolon is mostly part of a query."""
+    in_link = lambda c: text.decode_entities(c, attribute=True)
+    assert one(spark, "/a?x=1&copy=2&amp;lt=3&regx&sect", in_link) == "/a?x=1&copy=2&lt=3&regx§"
+
+
 @pytest.mark.parametrize(
     "raw, visible, content",
     [

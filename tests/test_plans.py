@@ -3,11 +3,15 @@
 import csv
 import glob
 import json
+import os
+from dataclasses import replace
 
 import pytest
 from markup import (
     BASE,
     LISTING_ROWS,
+    ORIGIN,
+    S,
     U,
     card,
     detail_listing,
@@ -80,7 +84,7 @@ def test_tallies(spark):
         metrics.page_tallies(cards).select("page_no", "found", "new", "duplicate", "nameless"),
         "page_no",
     )
-    assert got == [(1, 4, 3, 0, 1), (2, 2, 1, 1, 0), (3, 1, 0, 1, 0)]
+    assert got == [(1, 12, 3, 0, 9), (2, 8, 1, 1, 6), (3, 4, 0, 1, 3)]
 
 
 def test_tally_of_a_page_without_cards(spark):
@@ -93,11 +97,13 @@ def test_tally_of_a_page_without_cards(spark):
 
 
 def test_pages_by_address(spark):
-    rows = [(page_address(n), str(n)) for n in (1, 2, 20, 21)]
+    rows = [(page_address(n), str(n)) for n in (1, 2, 20, 21, 10**9)]
     rows += [(BASE + "/page/x", "x"), (BASE + "s", "s"), ("https://o.example/page/3", "o")]
     pages = spark.createDataFrame(rows, "url string, html string")
     got = tuples(pages_of(pages, BASE).select("page_no", "html"), "page_no")
     assert got == [(1, "1"), (2, "2"), (20, "20")]
+    got = tuples(pages_of(pages, BASE, None).select("page_no"), "page_no")
+    assert got == [(1,), (2,), (20,), (21,), (10**9,)]
     urls = page_sequence(spark, 3).select(page_url(BASE, F.col("page_no")).alias("u"))
     assert [r["u"] for r in urls.collect()] == [page_address(n) for n in (1, 2, 3)]
 
@@ -192,6 +198,86 @@ def test_info_needs_the_second_child(spark):
     assert (row["address"], row["price_range"], row["cuisine_type"]) == ("one", "฿", "Thai")
 
 
+def fields(spark, html):
+    return extract_details(
+        spark.createDataFrame([(U, html)], "url string, html string"), DETAILS
+    ).first()
+
+
+def venues(spark, html, rules=LISTING_CARDS):
+    pages = spark.createDataFrame([(1, BASE, html)], "page_no int, url string, html string")
+    rows = listing_cards(pages, rules).filter("name is not null").orderBy("pos").collect()
+    return [(r["name"], r["url"], r["stars"]) for r in rows]
+
+
+@pytest.mark.parametrize("around", ["<!-- {} -->", "<script>{}</script>", "<style>{}</style>", "<template>{}</template>", "<!-- {}"])
+def test_hidden_cards_are_no_cards(spark, around):
+    assert venues(spark, page(card("New", "n")) + around.format(card("Old", "o"))) == [("New", ORIGIN + "n", 0)]
+
+
+def test_cards_end_at_their_own_tag(spark):
+    """What follows the last card on the page belongs to no card."""
+    tail = '<a href="/x/restaurants/page/2">2</a><footer><h3 class="footer-title">About</h3></footer>'
+    bare = '<div class="card__menu"><h3 class="title">B</h3></div>'
+    assert venues(spark, page(card("A", "a"), bare) + tail) == [("A", ORIGIN + "a", 0), ("B", None, 0)]
+    assert venues(spark, page('<div class="card__menu"><div>no title</div></div>') + tail) == []
+    nested = '<div class="card__menu"><div><div>x</div></div><h3 class="title">N</h3></div>'
+    assert venues(spark, page(nested) + tail) == [("N", None, 0)]
+    unclosed = '<div class="card__menu"><div><h3 class="title">U</h3>'
+    assert [v[0] for v in venues(spark, page(unclosed, card("V", "v")))] == ["U", "V"]
+
+
+def test_any_card_class(spark):
+    """A wrapper repeats its first card, which the dedup absorbs."""
+    wrapped = f'<div class="card__menu-list">{card("A", "a")}{card("B", "b")}</div>'
+    assert [v[0] for v in venues(spark, page(wrapped))] == ["A", "A", "B"]
+    pages = spark.createDataFrame([(1, BASE, page(wrapped))], "page_no int, url string, html string")
+    assert [r["name"] for r in build_listing(pages).orderBy("pos").collect()] == ["A", "B"]
+
+
+def test_quoted_angle_brackets(spark):
+    html = '<div data-x="a => b" title=\'<i>\' class="card__menu"><h3 data-y="1 > 0" class="title">Q</h3></div>'
+    assert venues(spark, html) == [("Q", None, 0)]
+
+
+def test_award_class_is_exact_and_block_is_balanced(spark):
+    block = '<div class="card__menu-content--distinction"><div></div><img class="{}" src="{}"></div>'
+    one = '<div class="card__menu"><h3 class="title">A</h3>' + block + "</div>"
+    assert venues(spark, one.format("chef-award", S))[0][2] == 0
+    assert venues(spark, one.format("x award", S))[0][2] == 1
+    rules = replace(LISTING_CARDS, award_class="guide-award")
+    assert venues(spark, one.format("guide-award", S), rules)[0][2] == 1
+
+
+def test_nearby_needs_its_container(spark):
+    near = "<h2>Nearby Restaurants</h2>" + card("A", "a")
+    more = f'<div class="container"><h2>You may also like</h2>{card("Z", "z")}</div>'
+    names = lambda html: [n["name"] for n in fields(spark, html)["nearby_restaurants"] or ()]
+    assert names(near) == []
+    assert names(f'<div class="x container-y">{near}</div>{more}') == ["A"]
+    assert names(f'<div class="container"><div class="container">{near}</div>{card("B", "b")}</div>{more}') == ["A", "B"]
+
+
+def test_address_stays_inside_the_info_element(spark):
+    outside = '<div class="data-sheet__block"><div class="data-sheet__block--text">OUT</div></div>'
+    item = '<li class="restaurant-details__heading--list-item-x"><a href="/maps">Map</a></li>'
+    assert fields(spark, '<div class="data-sheet__detail-info"></div>' + outside + item)["address"] == "Map"
+    assert fields(spark, info("In") + outside)["address"] == "In"
+
+
+def test_website_by_the_links_own_text(spark):
+    cta = '<a data-event="CTA_website" href="/c">x</a>'
+    assert fields(spark, '<a href="/v"><span>Visit Website</span></a>' + cta)["website"] == U + "c"
+    assert fields(spark, '<a href="/v"><i class="k">i</i><br>Visit Website</a>' + cta)["website"] == U + "v"
+
+
+def test_hours_of_nested_cards(spark):
+    """An outer card has all hours inside it; inner cards, later, overwrite its day."""
+    inner = hours_card("Monday", "9-10") + hours_card("Tuesday", "11-12")
+    html = f'<div class="restaurant-details__components">{inner}</div>'
+    assert fields(spark, html)["opening_hours"] == {"Monday": "9-10", "Tuesday": "11-12"}
+
+
 def test_hours_tail_is_cut(spark):
     html = hours_card("Monday", "9-10") + "<h2>More</h2><div class='card--content'>x</div>"
     row = extract_details(
@@ -220,6 +306,23 @@ def test_first_capture_counts(spark):
     assert got.filter("name = 'Alpha'").first()["address"] == "old"
 
 
+def test_one_row_per_listing_row(spark):
+    """Without an order of captures, and with equal ones, each page still counts once."""
+    pages = spark.createDataFrame(
+        [(1, U + "a", info("x", "x")), (1, U + "a", info("y", "x"))], "at int, url string, html string"
+    )
+    for order in ((), ["at"]):
+        got = build_details(detail_listing(spark), pages, capture_order=order)
+        assert got.count() == 3
+
+
+def test_message_of_a_failed_capture(spark):
+    pages = detail_pages(spark).withColumn("error", F.lit(None).cast("string"))
+    failed = spark.createDataFrame([(U + "c", None, "timeout"), (U + "a", None, "old")], pages.schema)
+    got = {r["name"]: r["error"] for r in build_details(detail_listing(spark), pages.union(failed)).collect()}
+    assert got == {"Alpha": None, "Beta": None, "Gamma": "timeout"}
+
+
 def test_completeness(details):
     got = metrics.completeness(details).collect()
     assert [r["present"] for r in got] == [1, 2, 2, 1]
@@ -252,11 +355,14 @@ def test_two_stages(spark):
         "price": "N/A",
         "cuisine": "N/A",
     }
+    assert sorted(n for n in os.listdir(out)) == [
+        "details", "details_csv", "details_json", "listing", "listing_csv", "listing_json"]
     rows = list(csv.reader(text_of(f"{out}/listing_csv", "csv").splitlines()))
     assert rows[0] == [f.name for f in CARD] and rows[1][:3] == ["Alpha", LISTING_ROWS[0][3], "2"]
 
     records = json.loads(text_of(f"{out}/details_json", "txt"))
     assert "error" not in records[0] and records[1]["phone"] == "N/A"
+    assert records[1]["opening_hours"] == records[1]["nearby_restaurants"] == "N/A"
     assert set(records[2]) == {"url", "name", "location", "stars", "distinction", "error"}
 
     cells = list(csv.DictReader(text_of(f"{out}/details_csv", "csv").splitlines()))
@@ -267,6 +373,10 @@ def test_two_stages(spark):
     assert cells[1]["opening_hours"] == "N/A" and cells[1]["error"] == ""
     assert cells[1]["address"] == "" and cells[2]["address"] == ""
 
+    from_csv = run(spark, out + "-c", detail_pages=near, stage="details", listing_csv=f"{out}/listing_csv", start=1)
+    assert from_csv.ok
+    assert json.loads(text_of(f"{out}-c/details_json", "txt")) == records[1:]
+
     again = run(spark, out, detail_pages=near, stage="details", max_rows=1)
     assert again.ok and again.details.count() == 1
     header = text_of(f"{out}/details_csv", "csv").splitlines()[0].split(",")
