@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from pagelake.llm.common import whole_text
 
-KEPT = 300_000  # memoised pieces in each half of a memo; results do not depend on it
+KEPT = 400_000  # memoised pieces in each half of a memo; results do not depend on it
 KEPT_PAIRS = 1 << 20
 
 
@@ -122,68 +122,103 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.widest = max(map(len, self.ranks), default=1)
         self.pieces_of = regex.compile(pattern).findall
-        # What merges can make; any other token is only ever a whole piece.
-        self.made = {t: r for t, r in self.ranks.items() if len(t) == 1 or self.merged(t) == [r]}
+        self.widest = max(map(len, self.ranks), default=1)
+        wide = max(self.bytes_of, default=0) + 1
+        self.text = [""] * wide
+        self.size = [0] * wide
+        # By token: the two it is merged from (-1 for bytes), the longest token it begins with.
+        self.left, self.right, self.shorter = ([-1] * wide for _ in range(3))
+        self.made: dict[str, int] = {}  # any other token is only ever a whole piece
         self.trie = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            halves = self.merged(token, rank)
+            if len(token) == 1 or len(halves) == 2:
+                self.text[rank], self.size[rank], self.made[token] = token, len(token), rank
+                self.trie.add_word(token, rank)
+                if len(token) > 1:
+                    self.left[rank], self.right[rank] = halves
+        # The longest token each path of the trie begins with.
+        self.begins: dict[str, int] = {}
         for token, rank in self.made.items():
-            self.trie.add_word(token, rank)
-        self.pairs: dict[tuple[int, int], bool] = {}
+            last = -1
+            for k in range(1, len(token) + 1):
+                self.shorter[rank] = last
+                last = self.begins[token[:k]] = self.made.get(token[:k], last)
+        self.pairs: dict[int, bool] = {}
         self.pieces = Memo()
         self.encode = WordCoder(self.encode_exact).encode
 
-    def merged(self, piece: str) -> list[int]:
-        """The merges done one by one, lowest rank first and leftmost among equals."""
+    def merged(self, piece: str, below: int = _NONE) -> list[int]:
+        """The merges of ranks under ``below`` done one by one: lowest first, then leftmost."""
         parts = list(piece)
         rank = self.ranks.get
         while len(parts) > 1:
             found = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:])]
             best = min(found)
-            if best == _NONE:
+            if best >= below:
                 break
             at = found.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def compatible(self, left: int, right: int, joined: str) -> bool:
-        """Whether the merges keep the two tokens apart; remembered by pair."""
-        if len(self.pairs) >= KEPT_PAIRS:
-            self.pairs.clear()
-        known = self.pairs[left, right] = self.merged(joined) == [left, right]
-        return known
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether the merges keep two neighbouring tokens apart.
+
+        The tokens' merges are undone from the seam, the latest first. If what then meets
+        at the seam could merge before the merge just undone, the tokens would not have
+        come to be; of equal ranks the merge further left comes first.
+        """
+        limit, text, rank = _NONE, self.text, self.ranks.get
+        while True:
+            joined = rank(text[left] + text[right])
+            if joined is not None and joined < limit:
+                return False
+            if self.left[left] >= 0 and (left > right or self.left[right] < 0):
+                limit, left = left, self.right[left]
+            elif self.left[right] >= 0:
+                limit, right = right + 1, self.left[right]
+            else:
+                return True
 
     def backtracked(self, piece: str) -> list[int]:
         """Ids of a Latin-1 piece."""
         whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        longest, made, pairs = self.trie.longest_prefix, self.made.get, self.pairs
-        widest, end = self.widest, len(piece)
+        if whole is not None or not piece:
+            return [whole] if piece else []
+        longest, begin, pairs = self.trie.longest_prefix, self.begins.__getitem__, self.pairs
+        size, shorter, widest, end = self.size, self.shorter, self.widest, len(piece)
         dead = bytearray(end + 1)  # places from which no compatible rest exists
-        starts, ids = [0], []
-        at, size = 0, longest(piece[:widest])
-        while at < end:
-            while size:
-                stop = at + size
-                token = made(piece[at:stop])
-                if token is not None and not dead[stop]:
-                    fits = pairs.get((ids[-1], token)) if ids else True
+        ids: list[int] = []
+        ahead = piece[:widest]
+        at, token = 0, begin(ahead[: longest(ahead)])
+        while True:
+            while token >= 0:
+                stop = at + size[token]
+                if not dead[stop]:
+                    if not ids:
+                        break
+                    pair = ids[-1] << 32 | token
+                    fits = pairs.get(pair)
                     if fits is None:
-                        fits = self.compatible(ids[-1], token, piece[starts[-2] : stop])
+                        if len(pairs) >= KEPT_PAIRS:
+                            pairs.clear()
+                        fits = pairs[pair] = self.compatible(ids[-1], token)
                     if fits:
                         break
-                size -= 1
-            if size:
+                token = shorter[token]
+            if token >= 0:
                 ids.append(token)
-                starts.append(stop)
-                at, size = stop, longest(piece[stop : stop + widest])
+                at = stop
+                if at == end:
+                    return ids
+                ahead = piece[at : at + widest]
+                token = begin(ahead[: longest(ahead)])
             else:
                 dead[at] = 1
-                ids.pop()
-                starts.pop()
-                size, at = at - starts[-1] - 1, starts[-1]
-        return ids
+                token = ids.pop()
+                at -= size[token]
+                token = shorter[token]
 
     def encode_exact(self, text: str) -> bytes:
         """Ids of a text, each match of the pattern by itself, as 32-bit little-endian."""
