@@ -21,10 +21,10 @@ from pagelake.llm.common import stored, whole_text
 SIZES = (3, 4, 5)  # n-gram lengths in characters
 BUCKET_BITS = 22  # n-grams are hashed to 2**22 numbers
 ROWS_PER_CLASS = (2000, 4000)  # bound of the fitting sample: label 1, label 0
-FEATURES = 1 << 15  # kept: the largest |ratio| times document count
+FEATURES = 1 << 14  # kept: the largest |ratio| times document count
 LEAST_DOCS = 3  # documents of the sample a kept n-gram occurs in
 SMOOTHING = 1.0
-PENALTY = 0.01
+PENALTY = 0.03
 ITERATIONS = 60
 THRESHOLD = 0.7
 WINDOW = 1 << 20  # characters hashed at once
