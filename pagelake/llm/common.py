@@ -11,11 +11,18 @@ from pyspark.sql.window import Window
 from pagelake.session import stage
 
 
+# Whole texts are wide rows: ten thousand of them, the default, can be gigabytes.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def with_package(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it.
 
     A cluster whose machines do not have that folder gets the package with --py-files.
+    Batches sent to the workers are kept small, unless the session's owner chose a size.
     """
+    if BATCH not in spark.conf.getAll:
+        spark.conf.set(BATCH, "500")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
