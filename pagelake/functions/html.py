@@ -195,8 +195,8 @@ def nth_child(parent: Rule, tag: str, n: int, child: Rule) -> Rule:
 
 # What no reader sees and no element of the page is.
 _HIDDEN = (
-    r"<!--[\s\S]*?(?:-->|\z)"
-    rf"|<((?i:script|style|template|noscript))(?=[\s/>]){REST}>[\s\S]*?(?:</(?i:\1)\s*>|\z)"
+    r"<(?:!--[\s\S]*?(?:-->|\z)"
+    rf"|((?i:script|style|template|noscript))(?=[\s/>]){REST}>[\s\S]*?(?:</(?i:\1)\s*>|\z))"
 )
 
 
@@ -329,7 +329,9 @@ def split_cards(
     if not pattern.startswith("<"):
         raise ValueError(f"a marker starts with <: {pattern}")
     if rule.whole:
-        parts = all_matches(html, rule._replace(pattern=f"(?=({pattern}))<"))
+        # Only the bracket is consumed, so that elements inside are found as well.
+        parts = all_matches(html, rule._replace(pattern=f"<(?=({pattern[1:]}))"))
+        parts = F.transform(parts, lambda part: F.concat(F.lit("<"), part))
     else:
         stop = f"(?:{pattern})" if end is None else f"(?:{pattern}|{end})"
         parts = all_matches(html, rule._replace(pattern=f"(?:{pattern}){up_to(stop)}"), 0)

@@ -35,43 +35,43 @@ def explode_cards(
 
 
 def card_record(frag: Column, page_url: Column, rules: CardRules) -> Column:
-    """The seven fields of one card as a struct."""
-    raw = let(
-        h.all_matches(frag, rules.score),
-        lambda found: F.array(h.first_match(frag, rules.name), F.get(found, 0), F.get(found, 1)),
-    )
-    texts = apply_all(raw, VISIBLE if rules.rendered else CONTENT)
-    block = frag if rules.award_block is None else h.first_match(frag, rules.award_block)
-    srcs = F.coalesce(h.all_matches(block, rules.award_sources), F.array().cast("array<string>"))
+    """The seven fields of one card as a struct, null for a card without a name."""
+    rule = VISIBLE if rules.rendered else CONTENT
 
-    def awards(found: Column) -> Column:
-        stars, bib = award_flags(found, rules.star, rules.bib)
-        return F.struct(stars.alias("stars"), bib.alias("bib"))
+    def named(name: Column) -> Column:
+        scores = let(
+            h.all_matches(frag, rules.score),
+            lambda found: apply_all(F.array(F.get(found, 0), F.get(found, 1)), rule),
+        )
+        block = frag if rules.award_block is None else h.first_match(frag, rules.award_block)
+        srcs = F.coalesce(h.all_matches(block, rules.award_sources), F.array().cast("array<string>"))
 
-    parts = F.struct(
-        texts.alias("texts"),
-        let(srcs, awards).alias("award"),
-    )
+        def awards(found: Column) -> Column:
+            stars, bib = award_flags(found, rules.star, rules.bib)
+            return F.struct(stars.alias("stars"), bib.alias("bib"))
 
-    def record(part: Column) -> Column:
-        name, location, second = (F.get(part["texts"], n) for n in range(3))
-        stars, bib = part["award"]["stars"], part["award"]["bib"]
-        price, cuisine = split_pair(second, PRICE_SEPARATOR, "left", trim=True)
-        return F.struct(
-            F.when(name != MISSING, name).alias("name"),
-            h.first_attr(frag, rules.link, page_url).alias("url"),
-            stars.alias("stars"),
-            distinction(stars, bib, rules.label_mode).alias("distinction"),
-            location.alias("location"),
-            price.alias("price"),
-            cuisine.alias("cuisine"),
-        )
+        def record(part: Column) -> Column:
+            stars, bib = part["award"]["stars"], part["award"]["bib"]
+            price, cuisine = split_pair(F.get(part["texts"], 1), PRICE_SEPARATOR, "left", trim=True)
+            return F.struct(
+                name.alias("name"),
+                h.first_attr(frag, rules.link, page_url).alias("url"),
+                stars.alias("stars"),
+                distinction(stars, bib, rules.label_mode).alias("distinction"),
+                F.get(part["texts"], 0).alias("location"),
+                price.alias("price"),
+                cuisine.alias("cuisine"),
+            )
+
+        return let(F.struct(scores.alias("texts"), let(srcs, awards).alias("award")), record)
 
-    return let(parts, record)
+    found = apply_all(F.array(h.first_match(frag, rules.name)), rule)
+    missing = lambda name: name.isNull() | name.isin("", MISSING)
+    return let(F.get(found, 0), lambda name: F.when(~missing(name), named(name)))
 
 
 def listing_cards(pages: DataFrame, rules: CardRules, outer: bool = False) -> DataFrame:
-    """Cards of result pages as records in listing form, nameless ones included.
+    """Cards of result pages as records in listing form; nameless ones have no fields.
 
     Records are built inside the page's row and exploded afterwards, so a later
     filter on ``name`` reads a finished field instead of repeating the extraction.
@@ -108,12 +108,14 @@ def nearby_array(
     def record(frag: Column) -> Column:
         return let(
             card_record(frag, page_url, rules),
-            lambda card: F.struct(*[card[n].alias(n) for n in NEARBY.fieldNames()]),
+            lambda card: F.when(
+                card.isNotNull(), F.struct(*[card[n].alias(n) for n in NEARBY.fieldNames()])
+            ),
         )
 
     def records(section: Column) -> Column:
         cards = F.slice(h.split_cards(section, rules.marker, rules.fallback, rules.end), 1, limit)
-        return F.filter(F.transform(cards, record), lambda c: c["name"].isNotNull())
+        return F.filter(F.transform(cards, record), lambda c: c.isNotNull())
 
     section = h.section_after(html, heading) if scope is None else h.within(html, scope, heading)
     found = let(let(section, records), lambda cards: F.when(F.size(cards) > 0, cards))

@@ -20,6 +20,19 @@ def con(sf):
     return connect(sf)
 
 
+@pytest.fixture(scope="module")
+def built(spark, sf):
+    """Each query's DataFrame, built once for all tests of its plan."""
+    made = {}
+
+    def get(name):
+        if name not in made:
+            made[name] = QUERIES[name](spark, sf)
+        return made[name]
+
+    return get
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
@@ -40,18 +53,18 @@ def plan_of(df):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES)))
-def test_plan(spark, sf, name):
+def test_plan(built, name):
     """No Python worker, no cross join, no sort or window of everything in one task."""
-    plan = plan_of(QUERIES[name](spark, sf))
+    plan = plan_of(built(name))
     assert not re.search(r"Python|InPandas|CartesianProduct|BroadcastNestedLoop", plan)
     for window in re.findall(r"Window \[.*", plan):
         assert re.search(r"\], \[[a-z_]+#", window), window
 
 
-def test_pushdown(spark, sf):
-    plan = plan_of(QUERIES["single_page"](spark, sf))
+def test_pushdown(built):
+    plan = plan_of(built("single_page"))
     assert "EqualTo(page_id,3)" in plan
-    plan = plan_of(QUERIES["stop_at_gap_capped"](spark, sf))
+    plan = plan_of(built("stop_at_gap_capped"))
     assert "LessThanOrEqual(page_id,4)" in plan and "html" not in plan
 
 
@@ -61,25 +74,25 @@ def formatted(df):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_pages_are_not_shuffled(spark, sf, name):
+def test_pages_are_not_shuffled(built, name):
     """No exchange at any depth carries a page, whatever becomes of it later."""
-    blocks = formatted(QUERIES[name](spark, sf)).split("\n\n")
+    blocks = formatted(built(name)).split("\n\n")
     for block in blocks:
         if re.match(r"\(\d+\) (Exchange|BroadcastExchange)", block):
             assert not re.search(r"\b_?html#", block), block
 
 
-def test_only_wanted_pages_are_parsed(spark, sf):
+def test_only_wanted_pages_are_parsed(built):
     """A bounded set of link hashes is broadcast below the extraction, for any slice."""
     for name in ("build_details", "build_details_slice"):
-        plan = plan_of(QUERIES[name](spark, sf))
+        plan = plan_of(built(name))
         join = re.search(r"BroadcastHashJoin \[_hash#\d+\], \[_hash#\d+\], LeftSemi", plan)
         extraction = plan.index("AS opening_hours#")
         assert join and extraction < join.start()
 
 
-def test_joins_read_each_table_once(spark, sf):
-    plan = plan_of(QUERIES["enrich_left"](spark, sf))
+def test_joins_read_each_table_once(built):
+    plan = plan_of(built("enrich_left"))
     assert plan.count("Scan parquet") == 2
 
 
