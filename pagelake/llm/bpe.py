@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -53,11 +54,17 @@ def ranks_of_tokenizer(path: str) -> dict[bytes, int]:
 _NONE = 1 << 40
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Memo(dict):
     """A dictionary of bounded size: what was not asked for since half of it filled goes."""
 
-    def __init__(self):
+    def __init__(self, kept: int = KEPT):
         super().__init__()
+        self.kept = kept
         self.older: dict[str, bytes] = {}
 
     def recall(self, key: str) -> bytes | None:
@@ -66,7 +73,7 @@ class Memo(dict):
         return None if value is None else self.put(key, value)
 
     def put(self, key: str, value: bytes) -> bytes:
-        if len(self) >= KEPT:
+        if len(self) >= self.kept:
             self.older = dict(self)
             self.clear()
         self[key] = value
@@ -76,9 +83,9 @@ class Memo(dict):
 class WordCoder:
     """Codes whole texts word by word, remembering words, by any exact coder of texts."""
 
-    def __init__(self, encode_exact: Callable[[str], bytes]):
+    def __init__(self, encode_exact: Callable[[str], bytes], kept: int = KEPT):
         self.encode_exact = encode_exact
-        self.words = Memo()
+        self.words = Memo(kept)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit numbers.
@@ -232,7 +239,7 @@ class ByteBPE:
 
     def _piece(self, piece: str) -> bytes:
         ids = self.backtracked(piece.encode().decode("latin-1"))
-        return self.pieces.put(piece, np.array(ids, "<u4").tobytes())
+        return self.pieces.put(piece, as_bytes(ids))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelake.llm.bpe import WordCoder, ranks_of_tokenizer
+from pagelake.llm.bpe import WordCoder, as_bytes, ranks_of_tokenizer
 from pagelake.llm.common import numbered, whole_text
 from pagelake.session import work_path
 
@@ -28,6 +28,7 @@ WINDOW = 1024
 DEPTH = 3  # lengths in one window
 STEPS = 400  # of the solver
 END = 0  # id after each document
+WORDS = 150_000  # words remembered in each half of a worker's memo
 
 
 def fillings(window: int = WINDOW) -> np.ndarray:
@@ -146,7 +147,7 @@ class Plan:
 def _coder(path: str, pattern: str) -> WordCoder:
     ranks = ranks_of_tokenizer(path)
     coder = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return WordCoder(lambda text: np.array(coder.encode_ordinary(text), "<u4").tobytes())
+    return WordCoder(lambda text: as_bytes(coder.encode_ordinary(text)), WORDS)
 
 
 def tokenized(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
