@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelake.llm.bpe import WordCoder, as_bytes, ranks_of_tokenizer
+from pagelake.llm.bpe import ranks_of_tokenizer
 from pagelake.llm.common import numbered, whole_text
 from pagelake.session import work_path
 
@@ -28,7 +28,6 @@ WINDOW = 1024
 DEPTH = 3  # lengths in one window
 STEPS = 400  # of the solver
 END = 0  # id after each document
-WORDS = 150_000  # words remembered in each half of a worker's memo
 
 
 def fillings(window: int = WINDOW) -> np.ndarray:
@@ -144,10 +143,9 @@ class Plan:
 
 
 @lru_cache(maxsize=2)
-def _coder(path: str, pattern: str) -> WordCoder:
+def _coder(path: str, pattern: str) -> tiktoken.Encoding:
     ranks = ranks_of_tokenizer(path)
-    coder = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return WordCoder(lambda text: as_bytes(coder.encode_ordinary(text)), WORDS)
+    return tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def tokenized(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -160,7 +158,8 @@ def tokenized(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, end = _coder(path, pattern), np.uint32(END).tobytes()
         for batch in batches:
-            batch["ids"] = [coder.encode(t) + end for t in batch.pop("_text")]
+            ids = (coder.encode_to_numpy(t, disallowed_special=()) for t in batch.pop("_text"))
+            batch["ids"] = [i.astype("<u4", copy=False).tobytes() + end for i in ids]
             batch["tokens"] = batch["ids"].map(len) // 4
             yield batch
 
