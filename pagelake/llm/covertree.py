@@ -1,11 +1,12 @@
 """Embedding near-duplicates: dual traversal of cover trees over unit vectors.
 
-A tree's levels have radii 1, 1/2, 1/4 and 1/8. Each level's centres include those of the
-level above, and every vector belongs to a centre within the level's radius. Two trees
-are walked together: a pair of centres further apart than both covering radii plus the
-wanted distance is pruned with all below; a pair so close that all below must be linked
-is counted without a look at its vectors; the other pairs go down a level, at last to
-exact products. Cosine ``c`` of unit vectors is the distance ``sqrt(2 - 2c)``.
+A tree's levels have radii 1/2, 1/4 and 1/8; wider ones prune next to nothing on a sphere.
+Each level's centres include those of the level above, and every vector belongs to a
+centre within the level's radius. Two trees are walked together: a pair of centres further
+apart than both covering radii plus the wanted distance is pruned with all below; a pair
+so close that all below must be linked is counted without a look at its vectors; the other
+pairs go down a level, at last to exact products. Cosine ``c`` of unit vectors is the
+distance ``sqrt(2 - 2c)``.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from pagelake.llm.common import stored
 from pagelake.llm.components import components
 
-RADII = (1.0, 0.5, 0.25, 0.125)
+RADII = (0.5, 0.25, 0.125)
 LEVELS = [f"above_{n}" for n in range(len(RADII))]
 BLOCK = 4096  # vectors in one tree, about
 SAMPLE = 2048  # vectors the upmost levels are fitted on
