@@ -105,7 +105,7 @@ class Page:
         self.elements: list[tuple[str, int, int, int, int]] = []
         self.articles = self.mains = 0
         self._words: list[str] = []
-        # tag, digest, first block, dropped, counts as article, counts as main
+        # tag, digest of the block it is in, first block, dropped, counts as article, counts as main
         self._open: list[list] = []
         self._count: Counter[str] = Counter()  # open elements by name
         self._at = {"dropped": 0, "article": 0, "main": 0}
@@ -135,7 +135,10 @@ class Page:
         if not self._at["dropped"]:
             self.articles += article
             self.mains += main
-        digest = xxhash.xxh64(f"{tag}|{attrs.get('class', '')}|{attrs.get('id', '')}".encode("utf-8", "replace"))
+        if self._open and (tag not in BLOCKS or self._at["dropped"]):
+            digest = self._open[-1][1]  # what is in it counts as the block's around it
+        else:
+            digest = xxhash.xxh64(f"{tag}|{attrs.get('class', '')}|{attrs.get('id', '')}".encode("utf-8", "replace"))
         self._count[tag] += 1
         self._open.append([tag, digest, len(self.blocks), dropped, article, main])
         for name, on in (("dropped", dropped), ("article", article), ("main", main)):
@@ -149,7 +152,7 @@ class Page:
         self._count[tag] -= 1
         for name, on in (("dropped", dropped), ("article", article), ("main", main)):
             self._at[name] -= on
-        if dropped:
+        if dropped or self._at["dropped"]:
             return
         if tag in BLOCKS and self._open:
             self._open[-1][1].update(b"\x02" + digest.digest())

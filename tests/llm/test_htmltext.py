@@ -58,6 +58,18 @@ def test_templates(llm):
     assert all(got[50 + n] == "one text" for n in range(9))
 
 
+@pytest.mark.parametrize("begin,end", [
+    ("<a id=top>", "</a>"), ("<span class=x>", "</span>"), ("<story-body>", "</story-body>"), ("<b><font>", "</font></b>"),
+])
+def test_different_text_below_inline_elements(llm, begin, end):
+    """A wrapper that is no block hides nothing of what is in it from the hash."""
+    page = "<article><div class=body>{0}<p>story {1}</p>more {1}{2}</div><div class=box>{0}<p>Follow us</p>{2}</div></article>"
+    rows = [(n, f"http://a.example/{n}", page.format(begin, n, end)) for n in range(10)]
+    rows += [(20 + n, f"http://b.example/{n}", f"<div>{begin}story {n}<button><div>x</div></button>{end}</div>") for n in range(10)]
+    got = {r["page_id"]: r["text"] for r in main_text(llm.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: f"story {n}\nmore {n}" for n in range(10)} | {20 + n: f"story {n}" for n in range(10)}
+
+
 def test_odd_rows(llm):
     rows = [(1, None, None), (1, None, None), (2, "", ""), (None, "no url", "<p>x</p>"), (3, "http://h/", "w " * 200_000)]
     pages = llm.createDataFrame(rows, "page_id long, url string, html string")
