@@ -1,10 +1,11 @@
 """Main text of web pages: site templates go by recurring element subtrees.
 
-Every page is cut into blocks of text. Elements that by their name, role or class are
-menus, headers, footers, sidebars, notices, adverts, forms or comments are left out, and
-where a page marks an article, only that is read. The subtrees of the remaining containers
-are hashed from the leaves up and counted per host; a subtree that many pages of a host
-share is a template and its blocks are deleted.
+Every page is cut into blocks of text. Elements that by their name, role or a whole class
+or id are menus, headers, footers, sidebars, notices, adverts, forms or comments are left
+out, unless they hold an article or, by class or id only, most of the page's text. Where a
+page has a main element, only that and articles are read. The subtrees of the remaining
+containers are hashed from the leaves up and counted per host; a subtree that many pages
+of a host share is a template and its blocks are deleted.
 
 Inside a marked article only containers can be templates. Paragraphs, headings and lists'
 items there are the author's own words, also when other articles quote the same ones.
@@ -50,13 +51,17 @@ DROPPED = frozenset(
     "title head object audio video canvas map datalist input label optgroup option xmp noembed noframes".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+# Whole classes and ids.
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies "
     "consent gdpr notice notices alert nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidenav "
     "footer masthead comment comments respond disqus share sharing social related recommended newsletter "
-    "subscribe signup login search pagination pager popup modal overlay toolbar widget skip".split()
+    "subscribe signup login search pagination pager popup modal overlay toolbar widget skip "
+    "cookie-notice cookie-banner cookie-consent comment-list comment-form comment-body".split()
 )
-ARTICLE_WORDS = frozenset("comment comments ad ads advert advertisement promo sponsored related recommended teaser".split())
+ARTICLE_WORDS = frozenset("comment comments comment-body ad ads advert advertisement promo sponsored related recommended teaser".split())
+# Dropped by name, unless the main text is in them.
+SOFT = frozenset("nav footer aside form".split())
 # An open element of the first kind ends where one of the second begins.
 ENDED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
@@ -75,41 +80,64 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def unwanted(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Whether an element is no part of the main text by its name, role, state or class."""
-    if tag in DROPPED:
-        return True
-    if tag in ("html", "body", "main"):
-        return False
+def unwanted(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+    """Whether an element is no part of the main text by its name, role, state or class.
+
+    0 if it may be; 1 if it is none unless it holds an article, 2 unless it holds one or
+    most of the page's text, 3 whatever it holds.
+    """
+    if tag in DROPPED and tag not in SOFT:
+        return 3
+    role = attrs.get("role", "").lower()
+    if tag in ("html", "body", "main") or role == "main":
+        return 0
     if "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
+        return 3
     if re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
-    words = set(re.findall(r"[a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+        return 3
+    if tag == "form":  # some sites put the whole page into one
+        return 2
+    if tag in DROPPED:
+        return 1
+    words = set(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split())
     if tag == "article":
-        return bool(words & ARTICLE_WORDS)
-    if tag == "header" or "header" in words:
-        return not in_article
-    return attrs.get("role", "").lower() in ROLES or bool(words & WORDS)
+        return 2 if words & ARTICLE_WORDS else 0
+    if tag == "header":
+        return 0 if in_article else 1
+    if role in ROLES:
+        return 1
+    if "header" in words:
+        return 0 if in_article else 2
+    return 2 if words & WORDS else 0
 
 
 class Page:
     """One page's blocks, and its containers with the hash of their subtree and their blocks.
 
     ``blocks`` holds ``(text, place)``, ``elements`` ``(tag, hash, first, last, place)``; the
-    place is 2 inside an article, 1 inside a main element only, else 0.
+    place is 2 inside an article, 1 inside a main element only, else 0. ``rescued`` holds
+    the numbers of unwanted elements, in page order, that hold the main text: a page read
+    with them as ``kept`` has it.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, kept: frozenset[int] = frozenset()):
         self.blocks: list[tuple[str, int]] = []
         self.elements: list[tuple[str, int, int, int, int]] = []
         self.articles = self.mains = 0
         self._words: list[str] = []
-        # tag, digest of the block it is in, first block, dropped, counts as article, counts as main
+        # tag, digest of the block it is in, first block, dropped, counts as article, counts as main, what was
+        # known when an unwanted element began, kind
         self._open: list[list] = []
+        self._kept = kept
+        self._begun = 0  # elements
+        self._hard = 0  # open elements that are never read
+        self._size = self._marks = 0  # characters and articles so far outside of those
+        self._named: list[tuple[int, int, int]] = []  # number, characters, kind of unwanted elements
         self._count: Counter[str] = Counter()  # open elements by name
         self._at = {"dropped": 0, "article": 0, "main": 0}
+        self.rescued: set[int] = set()
         self._read(source)
+        self.rescued.update(n for n, size, kind in self._named if kind == 2 and 2 * size > self._size)
 
     def _flush(self) -> None:
         if self._words:
@@ -121,17 +149,31 @@ class Page:
                     self._open[-1][1].update(b"\x01" + line.encode("utf-8", "replace"))
 
     def _text(self, text: str) -> None:
+        if self._hard:
+            return
+        text = html.unescape(text)
+        self._size += len("".join(text.split()))
         if not self._at["dropped"]:
-            self._words.append(html.unescape(text))
+            self._words.append(text)
 
     def _start(self, tag: str, attrs: dict[str, str]) -> None:
         if tag in BLOCKS:
             self._flush()
         elif tag == "br":
             self._words.append(" ")
-        dropped = unwanted(tag, attrs, bool(self._at["article"] or self._at["main"]))
+        kind = unwanted(tag, attrs, bool(self._at["article"] or self._at["main"]))
+        named = None
+        self._begun += 1
+        if kind in (1, 2):
+            named = self._begun, kind, self._size, self._marks
+            if self._begun in self._kept:
+                kind = 0
+        dropped = kind > 0
+        self._hard += kind == 3
         article = tag == "article" and not dropped
         main = (tag == "main" or attrs.get("role", "").lower() == "main") and not dropped
+        if not self._hard:
+            self._marks += article or main
         if not self._at["dropped"]:
             self.articles += article
             self.mains += main
@@ -140,18 +182,24 @@ class Page:
         else:
             digest = xxhash.xxh64(f"{tag}|{attrs.get('class', '')}|{attrs.get('id', '')}".encode("utf-8", "replace"))
         self._count[tag] += 1
-        self._open.append([tag, digest, len(self.blocks), dropped, article, main])
+        self._open.append([tag, digest, len(self.blocks), dropped, article, main, named, kind])
         for name, on in (("dropped", dropped), ("article", article), ("main", main)):
             self._at[name] += on
 
     def _end(self) -> None:
-        tag, digest, first, dropped, article, main = self._open[-1]
+        tag, digest, first, dropped, article, main, named, kind = self._open[-1]
         if tag in BLOCKS:
             self._flush()
         self._open.pop()
         self._count[tag] -= 1
         for name, on in (("dropped", dropped), ("article", article), ("main", main)):
             self._at[name] -= on
+        self._hard -= kind == 3
+        if named:
+            number, why, size, marks = named
+            if self._marks > marks:
+                self.rescued.add(number)
+            self._named.append((number, self._size - size, why))
         if dropped or self._at["dropped"]:
             return
         if tag in BLOCKS and self._open:
@@ -219,16 +267,18 @@ class Page:
 def read_page(source: str) -> tuple[list[str], list[tuple[int, int, int]]]:
     """The blocks of a page's main part, and ``(hash, first, last)`` of what may be a template."""
     page = Page(source)
-    least = 2 if page.articles else 1 if page.mains else 0
+    if page.rescued:
+        page = Page(source, frozenset(page.rescued))
+    least = 1 if any(place and page.mains for _, place in page.blocks) else 0
     number, blocks = [0], []
     for line, place in page.blocks:
         if place >= least:
             blocks.append(line)
         number.append(len(blocks))
-    able = CONTAINERS if least else BLOCKS
     elements = []
     for tag, digest, first, last, place in page.elements:
         lo, hi = number[first], number[last]
+        able = CONTAINERS if place == 2 or place and not page.articles else BLOCKS
         if tag in able and place >= least and lo < hi:
             elements.append((digest - (1 << 63), lo, hi))
     return blocks, elements

@@ -58,6 +58,22 @@ def test_templates(llm):
     assert all(got[50 + n] == "one text" for n in range(9))
 
 
+@pytest.mark.parametrize("source,blocks", [
+    ("<div class='layout has-sidebar'><article>story</article></div>", ["story"]),
+    ("<div id=page class=no-sidebar><p>story</p></div>", ["story"]),
+    ("<div class='sticky-header site'><article>story</article></div>", ["story"]),
+    ("<div class=post-social>a</div><section class=search-history><article>story</article></section>", ["a", "story"]),
+    ("<div class=sidebar><div class=menu>m</div><article>story</article></div>", ["story"]),
+    ("<div class=widget><p>a long story</p><div class=menu>m</div></div><p>end", ["a long story", "end"]),
+    ("<form><div class=search>s</div><article>story</article></form>", ["story"]),
+    ("<main><h1>Headline</h1><p>lead</p><article>story</article></main>out", ["Headline", "lead", "story"]),
+    ("<div class=content>whole story</div><article>one teaser</article>", ["whole story", "one teaser"]),
+    ("<div hidden><article>no</article></div><nav><p>a long menu of links</nav><div class=sidebar>side</div><p>a story", ["a story"]),
+])
+def test_names_decide_little(source, blocks):
+    assert read_page(source)[0] == blocks
+
+
 @pytest.mark.parametrize("begin,end", [
     ("<a id=top>", "</a>"), ("<span class=x>", "</span>"), ("<story-body>", "</story-body>"), ("<b><font>", "</font></b>"),
 ])
