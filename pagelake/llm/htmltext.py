@@ -28,6 +28,7 @@ from pagelake.llm.common import stored
 
 MIN_PAGES = 5  # different pages of a host that share a template, at least
 MIN_SHARE = 0.05  # and at least this share of the host's pages
+ENOUGH = 24  # or so many pages, however large the host is
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -297,7 +298,9 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(
+    pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH
+) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages(page_id, url, html)``.
 
     Blocks come in page order, joined by one line feed; character references are decoded
@@ -319,7 +322,9 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     counts = once.groupBy("host", "h").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
     sizes = parsed.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
     templates = stored(
-        counts.join(sizes, "host").filter(F.col("pages") >= min_share * F.col("all_pages")).select("host", "h"),
+        counts.join(sizes, "host")
+        .filter((F.col("pages") >= enough) | (F.col("pages") >= min_share * F.col("all_pages")))
+        .select("host", "h"),
         "html-templates")
 
     nested = parsed.filter(F.size("elements") > 0)

@@ -86,6 +86,15 @@ def test_different_text_below_inline_elements(llm, begin, end):
     assert got == {n: f"story {n}\nmore {n}" for n in range(10)} | {20 + n: f"story {n}" for n in range(10)}
 
 
+def test_template_on_a_small_share_of_a_large_host(llm):
+    box = "<div class=box><p>Follow us</p></div>"
+    rows = [(n, f"http://a.example/{n}", f"<p>story {n}</p>{box if n % 100 == 0 else ''}") for n in range(4000)]
+    rows += [(5000 + n, f"http://b.example/{n}", f"<p>story {n}</p>{box if n < 10 else ''}") for n in range(1000)]
+    got = {r["page_id"]: r["text"] for r in main_text(llm.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[n] == f"story {n}" for n in range(4000))
+    assert all(got[5000 + n] == f"story {n}\nFollow us" for n in range(10))
+
+
 def test_odd_rows(llm):
     rows = [(1, None, None), (1, None, None), (2, "", ""), (None, "no url", "<p>x</p>"), (3, "http://h/", "w " * 200_000)]
     pages = llm.createDataFrame(rows, "page_id long, url string, html string")
