@@ -10,6 +10,7 @@ at powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -145,20 +146,22 @@ class Plan:
 @lru_cache(maxsize=2)
 def _coder(path: str, pattern: str) -> tiktoken.Encoding:
     ranks = ranks_of_tokenizer(path)
-    return tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    with open(path, encoding="utf-8") as file:
+        added = {t["content"]: t["id"] for t in json.load(file).get("added_tokens") or ()}
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
 def tokenized(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``ids`` (little-endian 32-bit, the end id last) and ``tokens``, stored.
 
-    The ids are those of the tokenizers library for the file at ``path`` without special
-    tokens, whose strings are ordinary text. ``row`` tells stored rows apart.
+    The ids are those of the tokenizers library for the file at ``path``, no special tokens
+    put around a text; one that a text spells out has its id. ``row`` tells stored rows apart.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, end = _coder(path, pattern), np.uint32(END).tobytes()
         for batch in batches:
-            ids = (coder.encode_to_numpy(t, disallowed_special=()) for t in batch.pop("_text"))
+            ids = (coder.encode_to_numpy(t, allowed_special="all") for t in batch.pop("_text"))
             batch["ids"] = [i.astype("<u4", copy=False).tobytes() + end for i in ids]
             batch["tokens"] = batch["ids"].map(len) // 4
             yield batch

@@ -245,6 +245,22 @@ def test_packing(llm, documents):
     check_pieces(packing.packed_digest(documents, SAVED, PATTERN).collect(), ids)
 
 
+def test_packing_special_tokens(llm):
+    texts = ["a<|endoftext|>b", "x \n <|endoftext|>  y", "<|endoftext|><|endoftext|>", "<|endoftext", "plain"]
+    saved = Tokenizer.from_file(SAVED)
+    ids = {n: saved.encode(t, add_special_tokens=False).ids for n, t in enumerate(texts)}
+    assert ids[0] == [64, 50256, 65]
+    docs = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_tokens(packing.tokenized(docs, SAVED, PATTERN).collect(), ids)
+
+
+def check_tokens(rows, ids_of):
+    assert len(rows) == len(ids_of)
+    for r in rows:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == [*ids_of[r["doc_id"]], 0]
+        assert r["tokens"] == len(ids_of[r["doc_id"]]) + 1
+
+
 def test_packing_odd_rows(llm, odd_documents):
     got = packing.packed_digest(odd_documents, SAVED, PATTERN).collect()
     check_pieces(got, None)
