@@ -20,6 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from pagelake.llm.bpe import ranks_of_tokenizer
 from pagelake.llm.common import numbered, whole_text
@@ -151,6 +152,24 @@ def _coder(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
+@lru_cache(maxsize=2)
+def _library(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def coded(text: str, path: str, pattern: str) -> bytes:
+    """The text's ids, little-endian 32-bit.
+
+    tiktoken fails on about a million white-space characters in a row; such a text is
+    left to the tokenizers library, which takes longer.
+    """
+    try:
+        ids = _coder(path, pattern).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        ids = np.array(_library(path).encode(text, add_special_tokens=False).ids, np.uint32)
+    return ids.astype("<u4", copy=False).tobytes()
+
+
 def tokenized(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``ids`` (little-endian 32-bit, the end id last) and ``tokens``, stored.
 
@@ -159,10 +178,9 @@ def tokenized(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, end = _coder(path, pattern), np.uint32(END).tobytes()
+        end = np.uint32(END).tobytes()
         for batch in batches:
-            ids = (coder.encode_to_numpy(t, allowed_special="all") for t in batch.pop("_text"))
-            batch["ids"] = [i.astype("<u4", copy=False).tobytes() + end for i in ids]
+            batch["ids"] = [coded(t, path, pattern) + end for t in batch.pop("_text")]
             batch["tokens"] = batch["ids"].map(len) // 4
             yield batch
 

@@ -254,6 +254,14 @@ def test_packing_special_tokens(llm):
     check_tokens(packing.tokenized(docs, SAVED, PATTERN).collect(), ids)
 
 
+def test_packing_long_runs_of_space(llm):
+    texts = [" " * 1_200_000 + "x", "a" + "\n" * 1_200_000, "a" + " " * 1_200_000 + "<|endoftext|> b"]
+    saved = Tokenizer.from_file(SAVED)
+    ids = {n: saved.encode(t, add_special_tokens=False).ids for n, t in enumerate(texts)}
+    docs = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_tokens(packing.tokenized(docs, SAVED, PATTERN).collect(), ids)
+
+
 def check_tokens(rows, ids_of):
     assert len(rows) == len(ids_of)
     for r in rows:
