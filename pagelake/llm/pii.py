@@ -23,9 +23,29 @@ ROUNDS = 8
 FIRST_DAY, YEARS = "1900-01-01", (1900, 2099)
 DAYS = (4297, 17)  # all 73,049 days of these years
 
-# A value may not be part of a longer word or number.
-_BEFORE = r"(?<![\p{L}\p{N}_])(?<![0-9][.,])"
-_AFTER = r"(?![\p{L}\p{N}_])(?![.,][0-9])"
+# A value may not be part of a longer word or number; a comma ends a number.
+_BEFORE = r"(?<![\p{L}\p{N}_])(?<![0-9]\.)"
+_AFTER = r"(?![\p{L}\p{N}_])(?!\.[0-9])"
+
+# Lengths of account numbers by country.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _groups(length: int, countries: str) -> str:
+    """Account numbers of one length in groups of four."""
+    full, rest = divmod(length - 4, 4)
+    last = f" [A-Z0-9]{{{rest}}}" if rest else ""
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{full}}}{last}"
+
+
+_SPACED = "|".join(_groups(n, c) for n, c in IBANS.items())
 
 # In this order: a place is read as the first kind that fits there.
 PATTERNS = {
@@ -33,7 +53,7 @@ PATTERNS = {
     "secret": r"(?<=[=:] {0,2}[\"']?)[0-9A-Fa-f]{32,64}(?![\p{L}\p{N}_])",
     "date": _BEFORE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}"
     r"|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?:(?=T[0-9])|" + _AFTER + ")",
-    "iban": _BEFORE + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _AFTER,
+    "iban": _BEFORE + rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:[A-Z0-9]{{15,34}}|{_SPACED})" + _AFTER,
     "ipv4": _BEFORE + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + _AFTER,
     "ssn": _BEFORE + r"(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-[0-9])" + _AFTER,
     "card": _BEFORE + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _AFTER,

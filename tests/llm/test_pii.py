@@ -57,6 +57,33 @@ def test_found_and_left(llm):
         assert got[n]["text"] == f"see {value}, then" and got[n]["n_replaced"] == 0, value
 
 
+def test_values_joined_by_commas(llm):
+    values = ["4179672074533673", "2020-02-29", "123-45-6789", "10.0.0.1", "GB82WEST12345698765432", "743-555-3824", "31.12.1999"]
+    got = replaced(llm, [",".join(values), ",".join(reversed(values)), "1.2.3.4.5,10.4179672074533673", "3.2020-02-29.5"])
+    for n in (0, 1):
+        new = got[n]["text"].split(",")
+        assert got[n]["n_replaced"] == len(new) == len(values) and not set(new) & set(values)
+        assert not any(v in got[n]["text"] for v in values)
+    assert sorted(got[0]["text"].split(",")) == sorted(got[1]["text"].split(","))
+    assert got[2]["n_replaced"] == got[3]["n_replaced"] == 0
+
+
+def test_account_numbers_end_where_they_end(llm):
+    accounts = ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]
+    tails = ["", " EUR", " 2024", " AB12 CD34", ", 12", " ABC"]
+    got = replaced(llm, [f"to {a}{t}" for a in accounts for t in tails] + [f"{a} 4179 6720 7453 3673" for a in accounts]
+                   + [f"{a} 2020-02-29" for a in accounts])
+    alone = {a: got[len(tails) * n]["text"][3:] for n, a in enumerate(accounts)}
+    for n, a in enumerate(accounts):
+        assert alone[a] != a and len(alone[a]) == len(a) and alone[a][:2] == a[:2]
+        for m, t in enumerate(tails):
+            assert got[len(tails) * n + m]["text"] == f"to {alone[a]}{t}"
+            assert got[len(tails) * n + m]["n_replaced"] == 1
+    for n in range(24, 32):
+        a = accounts[n % 4]
+        assert got[n]["n_replaced"] == 2 and got[n]["text"].startswith(f"{alone[a]} ")
+
+
 def test_permutations_equal_python(llm):
     got = replaced(llm, ["4179672074533673", "227.5.221.1", "2020-02-29", "123-45-6789", "+1 (743) 555-3824"])
     body = f"{python_permuted(417967207453367, 10**8, 10**7, 'card'):015d}"
