@@ -27,12 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the smallest id, or any if none has an id."""
     docs = docs.select(*COLUMNS)
-    keys = near_duplicates(docs)
-    named = keys.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = keys.filter("component_id is null").groupBy("group").agg(F.min("fingerprint").alias("print"))
-    marked = docs.filter("doc_id is null").withColumn("print", hexadecimal(fingerprint_column(whole_text())))
-    others = marked.join(nameless, "print", "left_semi").dropDuplicates(["print"])
+    first = near_duplicates(docs).filter("doc_id <=> component_id").groupBy("group", "doc_id")
+    first = first.agg(F.min("fingerprint").alias("print"))
+    marked = docs.withColumn("print", hexadecimal(fingerprint_column(whole_text())))
+    kept = marked.join(first, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "print"])
+    nameless = first.filter("doc_id is null")
+    others = marked.filter("doc_id is null").join(nameless, "print", "left_semi").dropDuplicates(["print"])
     return kept.select(*COLUMNS).union(others.select(*COLUMNS))
 
 

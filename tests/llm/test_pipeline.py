@@ -71,6 +71,17 @@ def test_odd_rows_pass_all_stages(llm, odd_documents, tmp_path):
         assert ids == (set() if given is not docs else {None, 3, 8, 11, 12, 13})
 
 
+def test_one_id_for_different_texts(llm):
+    """Each group keeps one document, also where groups share their smallest id."""
+    stories = [" ".join(f"{name}{n}" for n in range(200)) for name in ("red", "green", "blue")]
+    rows = [(1, stories[0]), (1, stories[1]), (2, stories[1]), (1, stories[0]), (2, stories[2]), (None, stories[2]), (None, "a word")]
+    docs = llm.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "doc_id", "text", "'en' as lang", "'a' as source", "length(text) as n_chars")
+    got = corpus_pipeline.drop_near_copies(llm, docs, SF).collect()
+    want = [(1, stories[0]), (1, stories[1]), (2, stories[2]), (None, "a word")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_run(llm, steps):
     got = corpus_pipeline.run(llm, SF)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, steps[-1].collect()))
