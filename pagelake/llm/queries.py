@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pagelake.llm import covertree, topk, warc
+from pagelake.llm import covertree, fim, lexical, linededup, topk, warc
 from pagelake.llm.bpe import roundtrip
 from pagelake.llm.common import table
 from pagelake.llm.htmltext import main_text
@@ -59,6 +59,18 @@ def op10_topk(spark, sf):
     return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_linededup(spark, sf):
+    return linededup.line_digest(table(spark, sf, "documents"))
+
+
+def op12_lexical(spark, sf):
+    return lexical.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op13_fim(spark, sf):
+    return fim.fim_digest(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -70,10 +82,16 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_htmltext": op9_htmltext,
     "op10_topk": op10_topk,
+    "op11_linededup": op11_linededup,
+    "op12_lexical": op12_lexical,
+    "op13_fim": op13_fim,
 }
 
 SQL = {
     "op2_warc": warc.ORACLE,
     "op7_covertree": covertree.ORACLE,
     "op10_topk": topk.ORACLE,
+    "op11_linededup": linededup.ORACLE,
+    "op12_lexical": lexical.ORACLE,
+    "op13_fim": fim.ORACLE,
 }
