@@ -4,8 +4,8 @@ A rule is a regular expression whose group 1 is the wanted part. The helpers bel
 rules from tag names and attribute conditions; the extractors turn a rule into one column
 expression. In a tag, quoted values may hold any character; outside of quotes there is no
 "<", so an unclosed tag ends at the next one and the search stays linear on broken pages.
-Elements that may hold others of their name end at their own closing tag. A rule may
-carry marks, plain texts one of which every match contains: a page without any of them is
+Elements that may hold others of their name end at their own closing tag, which is found
+in the page's tags (see :mod:`pagelake.functions.elements`). A rule may carry marks, plain texts one of which every match contains: a page without any of them is
 not searched further, and looking for a plain text is far cheaper than running an
 expression.
 """
@@ -18,6 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagelake.functions.elements import NESTING, REST, Chain, Tags, hidden
 from pagelake.functions.text import (
     VISIBLE,
     apply,
@@ -31,24 +32,22 @@ from pagelake.functions.text import (
 )
 
 
-# The rest of a tag. Loops over groups are possessive: Java runs those without recursion.
-REST = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
-
-# Elements that may hold others of their name, and how deep they are followed: an element
-# nested deeper than this in its own kind ends like one that is never closed.
-NESTING = frozenset("article aside body div footer header main nav ol section span table ul".split())
-DEPTH = 24
-
-
 class Rule(NamedTuple):
     """A pattern and its marks; a plain string is a rule without marks.
 
     ``whole`` rules match entire elements, and elements inside a match are matches too.
+    Rules from the helpers below also tell their tag, a pattern of the opening tag alone
+    and their kind; one made by :func:`inside` has the rules it is made of.
     """
 
     pattern: str
     marks: tuple[str, ...] = ()
     whole: bool = False
+    tag: str = ""
+    test: str = ""
+    kind: str = ""
+    outer: Rule | None = None
+    inner: Rule | None = None
 
 
 class Condition(NamedTuple):
@@ -121,7 +120,14 @@ def _checks(conditions: tuple[Condition, ...]) -> str:
 
 def opening(tag: str, *conditions: Condition) -> Rule:
     """An opening tag that meets all conditions (no group)."""
-    return Rule(rf"<(?i:{tag})(?=[\s/>]){_checks(conditions)}{REST}>", _marks(conditions))
+    pattern = rf"<(?i:{tag})(?=[\s/>]){_checks(conditions)}{REST}>"
+    return Rule(pattern, _marks(conditions), tag=tag, test=pattern, kind="opening")
+
+
+def opening_before(tag: str, text: str) -> Rule:
+    """An opening tag whose own first text holds ``text`` (no group)."""
+    pattern = f"{opening(tag).pattern}[^<]*{re.escape(text)}"
+    return Rule(pattern, (text,), tag=tag, test=pattern, kind="opening")
 
 
 def up_to(stop: str) -> str:
@@ -133,34 +139,25 @@ def up_to(stop: str) -> str:
     return f"[^<]*+(?:(?!{stop})<[^<]*+)*+"
 
 
-def _content(tag: str) -> str:
-    """Pattern of an element's content up to its own closing tag."""
-    close = rf"</(?i:{tag})\s*>"
-    if tag not in NESTING:
-        return up_to(close)
-    edge = up_to(rf"</?(?i:{tag})(?=[\s/>])")
-    content = edge
-    for _ in range(DEPTH):
-        content = f"{edge}(?:{opening(tag).pattern}{content}{close}{edge})*+"
-    return content
+def _closed(tag: str, conditions: tuple[Condition, ...], kind: str) -> Rule:
+    """A rule for elements; its pattern ends at the first closing tag, whatever lies inside."""
+    start, close = opening(tag, *conditions), rf"</(?i:{tag})\s*>"
+    ends = {"element": close, "region": rf"(?:{close}|\z)", "block": f"(?:{close}|(?={start.pattern}))"}
+    content = up_to(close) if kind != "block" else up_to(f"(?:{close}|{start.pattern})")
+    return start._replace(pattern=f"{start.pattern}({content}){ends[kind]}", kind=kind, whole=kind == "block")
 
 
 def element(tag: str, *conditions: Condition) -> Rule:
     """An element; group 1 is its content up to its own closing tag.
 
-    Where inner elements are not closed properly, it ends at the first closing tag.
+    One that has none ends at the first closing tag.
     """
-    start, close = opening(tag, *conditions), rf"</(?i:{tag})\s*>"
-    content = f"{_content(tag)}(?={close})"
-    if tag in NESTING:
-        content = f"(?:{content}|{up_to(close)})"
-    return start._replace(pattern=f"{start.pattern}({content}){close}")
+    return _closed(tag, conditions, "element")
 
 
 def region(tag: str, *conditions: Condition) -> Rule:
     """An element up to its own closing tag, or to the page's end if it is not closed."""
-    start, close = opening(tag, *conditions), rf"</(?i:{tag})\s*>"
-    return start._replace(pattern=rf"{start.pattern}(?:{_content(tag)}{close}|[\s\S]*+)")
+    return _closed(tag, conditions, "region")
 
 
 def block(tag: str, *conditions: Condition) -> Rule:
@@ -168,16 +165,15 @@ def block(tag: str, *conditions: Condition) -> Rule:
 
     An element that is not closed ends where the next of its kind begins.
     """
-    start, close = opening(tag, *conditions), rf"</(?i:{tag})\s*>"
-    rest = f"(?:{_content(tag)}{close}|{up_to(start.pattern)})"
-    return start._replace(pattern=start.pattern + rest, whole=True)
+    return _closed(tag, conditions, "block")
 
 
 def attribute(tag: str, name: str, *conditions: Condition) -> Rule:
     """An opening tag; group 1 is the value of one attribute, quoted or bare."""
     value = r"""(?<=\")[^\"]*(?=\")|(?<=')[^']*(?=')|(?<=[=\s])[^\s\"'<>]+"""
     start = rf"<(?i:{tag})(?=\s){_checks(conditions)}{_before(name)}"
-    return Rule(rf"{start}[\"']?({value})[\"']?", _marks(conditions))
+    test = rf"<(?i:{tag})(?=\s){_checks(conditions)}(?={_before(name)}){REST}>"
+    return Rule(rf"{start}[\"']?({value})[\"']?", _marks(conditions), tag=tag, test=test, kind="attribute")
 
 
 def after(first: Rule, gap: str, second: Rule) -> Rule:
@@ -185,24 +181,28 @@ def after(first: Rule, gap: str, second: Rule) -> Rule:
     return first._replace(pattern=first.pattern + gap + second.pattern)
 
 
+def inside(outer: Rule, inner: Rule) -> Rule:
+    """The first ``inner`` inside each ``outer`` element; as a pattern, right behind its opening."""
+    both = after(outer, "[^<]*", inner)
+    return both._replace(tag=inner.tag, test=inner.test, kind=inner.kind, outer=outer, inner=inner)
+
+
 def nth_child(parent: Rule, tag: str, n: int, child: Rule) -> Rule:
     """``child`` as the n-th (from 0) element ``tag`` inside ``parent``."""
     skip = up_to(rf"<(?i:{tag})(?=[\s/>])")
     close = rf"</(?i:{tag})\s*>"
-    earlier = f"{skip}{opening(tag).pattern}{_content(tag)}{close}" * n
+    earlier = f"{skip}{opening(tag).pattern}{up_to(close)}{close}" * n
     return after(parent, earlier + skip, child)
 
 
-# What no reader sees and no element of the page is.
-_HIDDEN = (
-    r"<(?:!--[\s\S]*?(?:-->|\z)"
-    rf"|((?i:script|style|template|noscript))(?=[\s/>]){REST}>[\s\S]*?(?:</(?i:\1)\s*>|\z))"
-)
+BASE = attribute("base", "href")
+ANCHOR = element("a")
+HREF = attribute("a", "href")
 
 
 def without_hidden(html: Column) -> Column:
-    """The page without comments, scripts, styles and templates."""
-    return F.regexp_replace(html, _HIDDEN, "")
+    """The page without comments and without elements that hold no elements, such as scripts."""
+    return F.regexp_replace(html, "<" + hidden(), "")
 
 
 def _search(html: Column, rule: Rule, body: str, none: str) -> Column:
@@ -213,6 +213,25 @@ def _search(html: Column, rule: Rule, body: str, none: str) -> Column:
     return apply(html, f"t -> {body}")
 
 
+def _nests(rule: Rule) -> bool:
+    return rule.kind in ("element", "region", "block") and rule.tag in NESTING and rule.outer is None
+
+
+def _elements(rule: Rule, group: int, nested: bool = False) -> str:
+    """SQL over ``t`` for the elements a rule finds: their content (1) or all of them (0).
+
+    With ``nested`` elements inside others count as well.
+    """
+    chain = Chain()
+    tags = Tags(chain, "t", [rule])
+    ends = {"element": "first", "region": "page", "block": "next"}[rule.kind]
+    spans = tags.spans(rule, ends)
+    if not nested:
+        spans = tags.outermost(spans)
+    text = tags.content("v.b", "v.e") if group else tags.whole("v.b", "v.e", rule.tag)
+    return chain.sql(f"transform({spans}, v -> {text})")
+
+
 def first_match(html: Column, rule: str | Rule, group: int = 1) -> Column:
     """Group of the first match: null if nothing matches, '' if the group is empty.
 
@@ -220,6 +239,8 @@ def first_match(html: Column, rule: str | Rule, group: int = 1) -> Column:
     look beyond its own match.
     """
     rule = _rule(rule)
+    if _nests(rule):
+        return _search(html, rule, f"get({_elements(rule, group)}, 0)", "NULL")
     text = sql_text(rule.pattern)
     found = sql_let(
         "m", f"regexp_extract(t, {text}, 0)", f"IF(m <> '', regexp_extract(m, {text}, {group}), NULL)"
@@ -231,6 +252,8 @@ def all_matches(html: Column, rule: str | Rule, group: int = 1) -> Column:
     """Group of every match, in order."""
     rule = _rule(rule)
     found = f"regexp_extract_all(t, {sql_text(rule.pattern)}, {group})"
+    if _nests(rule):
+        found = _elements(rule, group)
     return _search(html, rule, found, "CAST(array() AS ARRAY<STRING>)")
 
 
@@ -279,19 +302,23 @@ def first_attr(html: Column, rule: str | Rule, page_url: Column | None = None) -
     return link(first_match(html, rule), page_url)
 
 
+def own_text(text: str) -> str:
+    """Pattern of a content whose own first text holds ``text``; elements before it are passed over."""
+    child = rf"<((?i:[a-z][a-z0-9]*))(?=[\s/>]){REST}>[^<]*+(?:(?!</(?i:\GROUP)\s*>)<[^<]*+)*+</(?i:\GROUP)\s*>"
+    empty = rf"<(?i:br|img|input|wbr)(?=[\s/>]){REST}>"
+    return rf"(?:{empty}|{child})*+[^<]*{re.escape(text)}"
+
+
 def link_by_text(html: Column, text: str, fallback: str | Rule, page_url: Column) -> Column:
     """Target of the first link whose text contains ``text``.
 
     ``fallback`` is used only if there is no such link; an empty target is missing
     and does not reach the fallback.
     """
-    # The link's own first text; elements before it are passed over.
-    child = rf"<((?i:[a-z][a-z0-9]*))(?=[\s/>]){REST}>[^<]*+(?:(?!</(?i:\2)\s*>)<[^<]*+)*+</(?i:\2)\s*>"
-    empty = rf"<(?i:br|img|input|wbr)(?=[\s/>]){REST}>"
-    anchor = Rule(rf"({opening('a').pattern})(?:{empty}|{child})*+[^<]*{re.escape(text)}", (text,))
+    anchor = Rule(f"({opening('a').pattern}){own_text(text).replace('GROUP', '2')}", (text,))
 
     def target(opened: Column) -> Column:
-        named = first_match(opened, attribute("a", "href"))
+        named = first_match(opened, HREF)
         return F.when(opened.isNotNull(), named).otherwise(first_match(html, fallback))
 
     found = let(first_match(html, anchor), target)
@@ -328,9 +355,11 @@ def split_cards(
     pattern = rule.pattern
     if not pattern.startswith("<"):
         raise ValueError(f"a marker starts with <: {pattern}")
-    if rule.whole:
+    if rule.whole and _nests(rule):
+        parts = _search(html, rule, _elements(rule, 0, nested=True), "CAST(array() AS ARRAY<STRING>)")
+    elif rule.whole:
         # Only the bracket is consumed, so that elements inside are found as well.
-        parts = all_matches(html, rule._replace(pattern=f"<(?=({pattern[1:]}))"))
+        parts = all_matches(html, rule._replace(pattern=f"<(?=({pattern[1:]}))", kind=""))
         parts = F.transform(parts, lambda part: F.concat(F.lit("<"), part))
     else:
         stop = f"(?:{pattern})" if end is None else f"(?:{pattern}|{end})"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from html.entities import html5
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,8 +53,13 @@ def _replaced(x: str, *steps: tuple[str, str]) -> str:
 
 
 def sql_let(var: str, value: str, body: str) -> str:
-    """SQL for ``body`` with ``var`` standing for ``value``, computed once."""
-    return f"get(transform(array({value}), {var} -> {body}), 0)"
+    """SQL for ``body`` with ``var`` standing for ``value``, computed once.
+
+    An aggregation over nothing hands its start value to its last step. Taking the only
+    item of a transformed array would do as well, but that asks for the item's type on
+    every call, which means walking through all of ``body``.
+    """
+    return f"aggregate(array(), {value}, (acc, x) -> acc, {var} -> {body})"
 
 
 def _stripped(x: str) -> str:
@@ -77,9 +83,17 @@ def _decoded(s: str, attribute: bool = False) -> str:
     a letter, a digit nor "=" follows, as links are full of such names. A number too
     large for a character is the replacement character.
     """
-    # The table is one text literal that Spark folds into a map.
-    table = "\x02".join(f"{name}\x01{char}" for name, char in ENTITIES.items())
-    table = f"str_to_map({sql_text(table)}, {sql_text(chr(2))}, {sql_text(chr(1))})"
+    # One small table per first character, as a look-up goes through a table's names one
+    # by one. All are text literals that Spark folds into maps.
+    groups = {first: list(names) for first, names in groupby(ENTITIES, lambda name: name[0])}
+    tables = [
+        f"str_to_map({sql_text(chr(2).join(f'{n}{chr(1)}{ENTITIES[n]}' for n in names))}, "
+        f"{sql_text(chr(2))}, {sql_text(chr(1))})"
+        for names in groups.values()
+    ]
+    firsts = ", ".join(sql_text(first) for first in groups)
+    tables = f"map_from_arrays(array({firsts}), array({', '.join(tables)}))"
+    entity = lambda name: f"try_element_at(try_element_at({tables}, left({name}, 1)), {name})"
     digits = "ltrim('0', substr(r, CASE WHEN r RLIKE '^#[xX]' THEN 3 ELSE 2 END))"
     number = (
         f"CASE WHEN length({digits}) > 7 THEN 0 "
@@ -88,13 +102,13 @@ def _decoded(s: str, attribute: bool = False) -> str:
     )
     value = (
         f"CASE WHEN startswith(r, '#') THEN {sql_let('n', number, _char('n'))} "
-        f"ELSE try_element_at({table}, r) END"
+        f"ELSE {entity('r')} END"
     )
     bare = "^(" + "|".join(BARE_NAMES) + ")" + ("(?![=A-Za-z0-9])" if attribute else "")
     name = sql_let(
         "m",
         "regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)",
-        f"CASE WHEN m <> '' AND try_element_at({table}, m) IS NOT NULL THEN m "
+        f"CASE WHEN m <> '' AND {entity('m')} IS NOT NULL THEN m "
         f"ELSE regexp_extract(p, {sql_text(bare)}, 1) END",
     )
     found = f"coalesce(nullif(regexp_extract(p, '^({_NUMBER})', 1), ''), {name})"
@@ -155,8 +169,13 @@ def _without_dots(path: str) -> str:
     return f"concat(array_join({kept}, '/'), {tail})"
 
 
+def origin_sql(url: str) -> str:
+    """SQL for ``scheme://host`` of an absolute URL."""
+    return f"regexp_extract({url}, {sql_text(_ORIGIN)}, 1)"
+
+
 def _resolved(href: str, page_url: str) -> str:
-    site = f"regexp_extract({page_url}, {sql_text(_ORIGIN)}, 1)"
+    site = origin_sql(page_url)
     page = f"regexp_extract({page_url}, '^([^?#]*)', 1)"
     folder = f"regexp_extract({page}, {sql_text(_FOLDER)}, 1)"
     path = (
@@ -182,7 +201,7 @@ def _resolved(href: str, page_url: str) -> str:
 
 def apply(col: Column, rule: str) -> Column:
     """A SQL lambda applied to one column, which is computed once."""
-    return F.get(F.call_function("transform", F.array(col), F.expr(rule)), 0)
+    return F.call_function("aggregate", F.array(), col, F.expr("(acc, x) -> acc"), F.expr(rule))
 
 
 def apply_all(cols: Column, rule: str) -> Column:
@@ -196,7 +215,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     Without it, a costly expression used twice (outside a shared projection, or
     inside a lambda) would be computed twice.
     """
-    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
+    return F.aggregate(F.array(), value, lambda acc, x: acc, lambda v: body(v))
 
 
 DECODED = f"f -> {_decoded('f')}"

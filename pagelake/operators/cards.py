@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.functions import html as h
+from pagelake.functions.compiled import cards_compile, compiled_cards, compiled_details, details_compile, read
 from pagelake.functions.nested import map_last_wins
 from pagelake.functions.text import CONTENT, VISIBLE, apply_all, let
 from pagelake.functions.values import MISSING, award_flags, distinction, split_pair
@@ -70,16 +71,35 @@ def card_record(frag: Column, page_url: Column, rules: CardRules) -> Column:
     return let(F.get(found, 0), lambda name: F.when(~missing(name), named(name)))
 
 
+def finished(raw: Column, rules: CardRules) -> Column:
+    """The seven fields from a compiled card's raw parts, null for a card without a name."""
+    price, cuisine = split_pair(raw["pair"], PRICE_SEPARATOR, "left", trim=True)
+    record = F.struct(
+        raw["name"].alias("name"),
+        raw["url"].alias("url"),
+        raw["stars"].alias("stars"),
+        distinction(raw["stars"], raw["bib"], rules.label_mode).alias("distinction"),
+        raw["location"].alias("location"),
+        price.alias("price"),
+        cuisine.alias("cuisine"),
+    )
+    return F.when(raw["name"].isNotNull() & ~raw["name"].isin("", MISSING), record)
+
+
 def listing_cards(pages: DataFrame, rules: CardRules, outer: bool = False) -> DataFrame:
     """Cards of result pages as records in listing form; nameless ones have no fields.
 
     Records are built inside the page's row and exploded afterwards, so a later
     filter on ``name`` reads a finished field instead of repeating the extraction.
     """
-    page = h.without_hidden(F.col("html"))
-    frags = h.split_cards(page, rules.marker, rules.fallback, rules.end)
-    records = F.transform(frags, lambda frag: card_record(frag, F.col("url"), rules))
     cut = F.posexplode_outer if outer else F.posexplode
+    if cards_compile(rules):
+        pages = read(pages, compiled_cards(rules), ["page_no"], "_cards")
+        records = F.transform("_cards", lambda raw: finished(raw, rules))
+    else:
+        page = h.without_hidden(F.col("html"))
+        frags = h.split_cards(page, rules.marker, rules.fallback, rules.end)
+        records = F.transform(frags, lambda frag: card_record(frag, F.col("url"), rules))
     return pages.select("page_no", cut(records).alias("pos", "card")).select(
         "page_no", "pos", "card.*"
     )
@@ -166,6 +186,40 @@ def _info_blocks(html: Column, rules: DetailRules) -> Column:
     )
 
 
+def _compiled_details(pages: DataFrame, rules: DetailRules, keep: tuple[str, ...]) -> DataFrame:
+    """:func:`extract_details` for rules that compile."""
+    page = F.col("_page")
+
+    def entry(card: Column) -> Column:
+        shown = F.filter(card["hours"], lambda t: t != "")
+        value = F.when(F.size(shown) > 0, F.array_join(shown, ", ")).otherwise(F.lit("closed"))
+        return F.struct(card["day"].alias("k"), value.alias("v"))
+
+    def venue(raw: Column) -> Column:
+        card = finished(raw, rules.nearby)
+        return F.when(card.isNotNull(), F.struct(*[card[n].alias(n) for n in NEARBY.fieldNames()]))
+
+    days = F.filter(page["hours"], lambda card: (F.size(card["hours"]) > 0) & (card["day"] != ""))
+    venues = F.filter(F.transform(page["nearby"], venue), lambda card: card.isNotNull())
+    price_range, cuisine_type = split_pair(page["second"], DETAIL_SEPARATOR, missing="right")
+    pages = pages.filter(F.col("html").isNotNull())
+    return (
+        read(pages, compiled_details(rules), [*keep, "url"], "_page")
+        .select(
+            *keep,
+            "url",
+            page["address"].alias("address"),
+            page["phone"].alias("phone"),
+            page["description"].alias("description"),
+            map_last_wins(F.transform(days, entry)).alias("opening_hours"),
+            price_range.alias("price_range"),
+            cuisine_type.alias("cuisine_type"),
+            page["website"].alias("website"),
+            let(venues, lambda cards: F.when(F.size(cards) > 0, cards)).alias("nearby_restaurants"),
+        )
+    )
+
+
 def extract_details(pages: DataFrame, rules: DetailRules, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per detail page: ``url`` and the eight extracted fields.
 
@@ -173,6 +227,8 @@ def extract_details(pages: DataFrame, rules: DetailRules, keep: tuple[str, ...]
     for links run on the page's links only. Whether a fallback applies is decided on the
     raw matches, then one rule turns them all into text.
     """
+    if details_compile(rules):
+        return _compiled_details(pages, rules, keep)
     html, url, links = F.col("_html"), F.col("url"), F.col("_links")
     heading = [h.first_within(html, rules.heading_item, r) for r in (rules.map_link, rules.phone_link)]
     raw = F.array(

@@ -66,8 +66,8 @@ _TITLE = h.opening("h3", h.has_class(NEARBY_TITLE_CLASS))
 NEARBY_CARDS = CardRules(
     marker=h.block("div", h.has_class(CARD_CLASS), h.has_class(NEARBY_CARD_CLASS)),
     fallback=None,
-    name=h.after(_TITLE, "[^<]*", h.element("a")),
-    link=h.after(_TITLE, "[^<]*", h.attribute("a", "href")),
+    name=h.inside(_TITLE, h.element("a")),
+    link=h.inside(_TITLE, h.attribute("a", "href")),
     star="1star",
     bib="bib-gourmand",
     label_mode="stars_first",
@@ -97,9 +97,7 @@ class DetailRules:
     hours: Pattern = h.element("div", h.has_class(HOURS_CLASS))
     website_text: str = WEBSITE_TEXT
     website_link: Pattern = h.attribute("a", "href", h.attr_equals("data-event", WEBSITE_EVENT))
-    nearby_heading: Pattern = h.Rule(
-        rf"{h.opening('h2').pattern}[^<]*{NEARBY_HEADING}", (NEARBY_HEADING,)
-    )
+    nearby_heading: Pattern = h.opening_before("h2", NEARBY_HEADING)
     # The part of the page that holds the heading and its cards; None: all behind it.
     nearby_scope: Pattern | None = h.region("div", h.attr_contains("class", NEARBY_SCOPE))
     nearby: CardRules = NEARBY_CARDS
