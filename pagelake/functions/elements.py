@@ -26,7 +26,7 @@ from pagelake.functions.text import sql_let, sql_text
 REST = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
 
 # Elements that may hold others of their name. The others end at the first closing tag.
-NESTING = frozenset("article aside body div footer header li main nav ol section span table ul".split())
+NESTING = frozenset("article aside div footer header li nav ol section span table ul".split())
 
 # Elements whose content is text, or is not part of the page (fixed values).
 TEXT_ONLY = ("script", "style", "template", "noscript", "textarea", "title", "iframe", "xmp", "noembed", "noframes")

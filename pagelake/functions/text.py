@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from html.entities import html5
-from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,7 +20,9 @@ ENTITIES = {name[:-1]: text for name, text in sorted(html5.items()) if name.ends
 BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 
 # References that are common enough for a plain replacement (fixed values).
-_COMMON = {"lt": "<", "gt": ">", "quot": '"', "nbsp": chr(0xA0), "middot": "·", "#39": "'"}
+_COMMON = {"lt": "<", "gt": ">", "quot": '"', "nbsp": chr(0xA0), "middot": "·", "#39": "'"} | {
+    "ndash": "–", "mdash": "—", "rsquo": "’", "hellip": "…"
+}
 
 _NUMBER = "#[0-9]+|#[xX][0-9a-fA-F]+"
 _REFERENCE = "#[0-9xX]|[A-Za-z]"
@@ -83,17 +84,10 @@ def _decoded(s: str, attribute: bool = False) -> str:
     a letter, a digit nor "=" follows, as links are full of such names. A number too
     large for a character is the replacement character.
     """
-    # One small table per first character, as a look-up goes through a table's names one
-    # by one. All are text literals that Spark folds into maps.
-    groups = {first: list(names) for first, names in groupby(ENTITIES, lambda name: name[0])}
-    tables = [
-        f"str_to_map({sql_text(chr(2).join(f'{n}{chr(1)}{ENTITIES[n]}' for n in names))}, "
-        f"{sql_text(chr(2))}, {sql_text(chr(1))})"
-        for names in groups.values()
-    ]
-    firsts = ", ".join(sql_text(first) for first in groups)
-    tables = f"map_from_arrays(array({firsts}), array({', '.join(tables)}))"
-    entity = lambda name: f"try_element_at(try_element_at({tables}, left({name}, 1)), {name})"
+    # The table is one text literal that Spark folds into a map.
+    table = "\x02".join(f"{name}\x01{char}" for name, char in ENTITIES.items())
+    table = f"str_to_map({sql_text(table)}, {sql_text(chr(2))}, {sql_text(chr(1))})"
+    entity = lambda name: f"try_element_at(entities, {name})"
     digits = "ltrim('0', substr(r, CASE WHEN r RLIKE '^#[xX]' THEN 3 ELSE 2 END))"
     number = (
         f"CASE WHEN length({digits}) > 7 THEN 0 "
@@ -121,6 +115,7 @@ def _decoded(s: str, attribute: bool = False) -> str:
         f"split({s}, '&')",
         f"concat(ps[0], array_join(transform(slice(ps, 2, size(ps)), p -> {piece}), ''))",
     )
+    general = sql_let("entities", table, general)
     common = s
     for name_, char in _COMMON.items():
         common = f"replace({common}, {sql_text(f'&{name_};')}, {sql_text(char)})"
