@@ -7,21 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.operators.bloom import may_hold
 from pagelake.operators.cards import extract_details
 from pagelake.operators.relational import enrich, first_wins, slice_rows, valid_url
 from pagelake.plans.rules import DETAILS, DetailRules
 from pagelake.schemas import DETAIL, ORDER
 
-# Links are told apart by a hash below this number when pages are chosen for parsing.
-HASHES = 1 << 22
 
-
-def wanted_pages(pages: DataFrame, links: DataFrame, capture_order: Sequence[str] = ()) -> DataFrame:
+def wanted_pages(
+    pages: DataFrame, links: DataFrame, capture_order: Sequence[str] = (), work: str | None = None
+) -> DataFrame:
     """The pages worth parsing: those of ``links(url)``, and of each its first capture.
 
-    What is chosen are hash values below ``HASHES``, so the broadcast is bounded whatever
-    the size of the listing; the few pages that share a value by chance are dropped by
-    the join with the listing. Pages themselves are not shuffled.
+    They are chosen by a Bloom filter (see :func:`may_hold`), so what is sent to the
+    executors is bounded whatever the size of the listing; the few pages that pass by
+    chance are dropped by the join with the listing. Pages themselves are not shuffled.
     """
     kept = ["url", *capture_order]
     chosen = links.select("url").distinct()
@@ -29,9 +29,7 @@ def wanted_pages(pages: DataFrame, links: DataFrame, capture_order: Sequence[str
         first = F.min(F.struct(*capture_order)).alias("first")
         captures = pages.filter(F.col("html").isNotNull()).select(*kept).groupBy("url").agg(first)
         chosen = chosen.join(captures, "url").select("url", "first.*")
-    value = F.pmod(F.xxhash64(*kept), F.lit(HASHES)).cast("int").alias("_hash")
-    values = F.broadcast(chosen.select(value).distinct())
-    return pages.withColumn("_hash", value).join(values, "_hash", "left_semi").drop("_hash")
+    return may_hold(pages, chosen, kept, work)
 
 
 def build_details(
@@ -59,7 +57,7 @@ def build_details(
     if "url" not in listing.columns:
         return spark.createDataFrame([], DETAIL)
     wanted = slice_rows(valid_url(listing), order, start, max_rows, work)
-    asked = wanted_pages(pages, wanted, capture_order)
+    asked = wanted_pages(pages, wanted, capture_order, work)
     captured = asked.withColumn("_capture", F.xxhash64("html"))
     by = [*capture_order, "_capture"]
     details = first_wins(extract_details(captured, rules, keep=tuple(by)), ["url"], by).drop(*by)
