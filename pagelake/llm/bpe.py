@@ -28,6 +28,7 @@ from pagelake.llm.common import whole_text
 
 KEPT = 300_000  # memoised pieces in each half of a memo; results do not depend on it
 KEPT_PAIRS = 1 << 20
+LONG = 64  # longer words are not remembered, which bounds the bytes a memo holds
 
 
 def ranks_of_tiktoken(path: str) -> dict[bytes, int]:
@@ -106,20 +107,28 @@ class WordCoder:
         return self.encode_exact(first) + b"".join(found)
 
     def _word(self, part: str) -> bytes:
+        if len(part) > LONG:
+            return self.encode_exact(" " + part)
         known = self.words.get(part) or self.words.recall(part)
         return known or self.words.put(part, self.encode_exact(" " + part))
 
     def _with_odd_blanks(self, parts: list[str]) -> bytes:
         """The same where other white space adjoins a blank: such parts stay together."""
-        out, held, start = [], parts[0], True
+        out, held, start = [], [parts[0]], True
+
+        def coded() -> bytes:
+            return self.encode_exact(" ".join(held)) if start else self._word(held[0])
+
         for part in parts[1:]:
-            if held and part and not held[-1].isspace() and not part[0].isspace():
-                out.append(self.encode_exact(held) if start else self._word(held))
-                held, start = part, False
+            last = held[-1]
+            if last and part and not last[-1].isspace() and not part[0].isspace():
+                out.append(coded())
+                held, start = [part], False
             else:
-                held = f"{held} {part}" if start else f" {held} {part}"
+                held = held if start else ["", *held]
+                held.append(part)
                 start = True
-        out.append(self.encode_exact(held) if start else self._word(held))
+        out.append(coded())
         return b"".join(out)
 
 
@@ -238,8 +247,8 @@ class ByteBPE:
         return b"".join(known)
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.backtracked(piece.encode().decode("latin-1"))
-        return self.pieces.put(piece, as_bytes(ids))
+        ids = as_bytes(self.backtracked(piece.encode().decode("latin-1")))
+        return ids if len(piece) > LONG else self.pieces.put(piece, ids)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

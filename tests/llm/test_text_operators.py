@@ -1,6 +1,7 @@
 """Operators over documents against plain Python on the same rows."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagelake.llm import packing, sharding, simhash, toxicity
+from pagelake.llm import bpe, packing, sharding, simhash, toxicity
 from pagelake.llm.bpe import load, ranks_of_tiktoken, ranks_of_tokenizer, roundtrip
 from pagelake.llm.common import numbered, table
 from pagelake.llm.components import components
@@ -116,6 +117,23 @@ def test_bpe_pieces(plain):
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
 
 
+def test_bpe_odd_blanks_take_linear_time(plain):
+    """Gaps of several blanks everywhere; and no memo keeps long words."""
+    coder = bpe.ByteBPE(ranks_of_tiktoken(RANKS), PATTERN)
+    for text in ("a  b c   d\n e f  ", " a b", "a ", "", "  ", "a \n b  \t c d", "x y  z", "  a  " * 50, "a" + " " * 5000 + "b"):
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
+
+    def seconds(text):
+        started = time.perf_counter()
+        coder.encode(text)
+        return time.perf_counter() - started
+
+    one, two = (min(seconds("a " + "b  " * n) for _ in range(3)) for n in (300_000, 600_000))
+    assert two < 3 * one + 0.2
+    coder.encode(" ".join("ab" * (40 + n) for n in range(200)))
+    assert max(len(word) for memo in (coder.pieces, coder.encode.__self__.words) for word in memo) <= bpe.LONG
+
+
 def test_bpe_small_vocabulary_with_unreachable_token():
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"xyz": 259, b"cab": 260}
     from pagelake.llm.bpe import ByteBPE
