@@ -210,6 +210,9 @@ SQL = {
     "csv_scan": """select doc_id, source as name,
       case when quality = 1 then 'u/' || doc_id end as url, quality as stars, lang as location
       from documents left join labels using (doc_id)""",
+    "csv_rejects": """select doc_id, lang,
+      case doc_id % 4 when 2 then cast(doc_id % 7 as int) when 3 then 2 end as stars,
+      case when doc_id % 4 < 2 then 'stars' else '' end as rejected from documents""",
     "csv_roundtrip": """select p_partkey, '"q", ' || p_name || chr(10) || 'x' as p_name,
       p_brand, p_size, p_retailprice from part""",
     "json_roundtrip": PART,
@@ -274,6 +277,9 @@ SQL = {
     "stop_at_gap_capped": f"with {HOSTS} {gap('hosts', 'page_id', '5')}",
     "slice_rows": """select page_id, url from pages where not contains(url, '?')
       order by page_id limit 25 offset 10""",
+    "slice_indexed": """select page_id, url from (
+        select page_id, url, row_number() over (order by page_id) as n from pages where not contains(url, '?'))
+      where n between 11 and 35 or n > 100""",
     "slice_tail": """select page_id, url from pages where not contains(url, '?')
       order by page_id offset 100""",
     "enrich_left": """select doc_id, quality, toxic, lang, source, n_chars,

@@ -26,6 +26,7 @@ from pagelake.operators.cards import (
     require,
 )
 from pagelake.operators.entries import last_wins_map
+from pagelake.operators.ordered import ordered_slice, write_ordered
 from pagelake.operators.relational import (
     append_new,
     cap_pages,
@@ -205,6 +206,18 @@ def csv_scan(spark, sf):
     return back.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
+def csv_rejects(spark, sf):
+    """Stars that are no number, too large, or written as a fraction; no row is lost."""
+    path = work_path(spark, "csv")
+    kind, small = F.col("doc_id") % 4, (F.col("doc_id") % 7).cast("string")
+    stars = F.when(kind == 0, "two").when(kind == 1, "99999999999").when(kind == 2, small).otherwise("2.0")
+    write_csv(_table(spark, sf, "documents").select("doc_id", "lang", stars.alias("stars")), path)
+    back = read_listing_csv(spark, path, rejected=True)
+    return back.select(
+        F.col("doc_id").cast("bigint"), "lang", "stars", F.array_join("_rejected", ",").alias("rejected")
+    )
+
+
 def csv_roundtrip(spark, sf):
     path = work_path(spark, "csv")
     rows = _part(spark, sf)
@@ -417,6 +430,13 @@ def slice_rows_query(spark, sf):
     return slice_rows(_links(spark, sf).select("page_id", "url"), ["page_id"], 10, 25)
 
 
+def slice_indexed(spark, sf):
+    """Two slices of one stored order: rows 10 to 35 and all from 100 on."""
+    path = work_path(spark, "order")
+    write_ordered(_links(spark, sf).select("page_id", "url"), path, ["page_id"])
+    return ordered_slice(spark, path, 10, 25).union(ordered_slice(spark, path, 100))
+
+
 def slice_tail(spark, sf):
     return slice_rows(_links(spark, sf).select("page_id", "url"), ["page_id"], 100)
 
@@ -687,6 +707,7 @@ QUERIES = {
     "page_url": page_url_query,
     "page_news": page_news,
     "csv_scan": csv_scan,
+    "csv_rejects": csv_rejects,
     "csv_roundtrip": csv_roundtrip,
     "json_roundtrip": json_roundtrip,
     "json_array_roundtrip": json_array_roundtrip,
@@ -711,6 +732,7 @@ QUERIES = {
     "stop_at_gap_capped": stop_at_gap_capped,
     "slice_rows": slice_rows_query,
     "slice_tail": slice_tail,
+    "slice_indexed": slice_indexed,
     "enrich_left": enrich_left,
     "enrich_hot": enrich_hot,
     "union_records": union_query,

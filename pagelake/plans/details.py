@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelake.operators.bloom import may_hold
 from pagelake.operators.cards import extract_details
+from pagelake.operators.ordered import is_ordered, ordered_slice, write_ordered
 from pagelake.operators.relational import enrich, first_wins, slice_rows, valid_url
 from pagelake.plans.rules import DETAILS, DetailRules
 from pagelake.schemas import DETAIL, ORDER
@@ -41,6 +42,7 @@ def build_details(
     order: Sequence[str] = ORDER,
     capture_order: Sequence[str] = (),
     work: str | None = None,
+    index: str | None = None,
 ) -> DataFrame:
     """Detail records for a slice of the listing, in the form of the detail schema.
 
@@ -50,13 +52,21 @@ def build_details(
     A listing row without a captured page gets an error: the ``error`` of its failed
     capture (one without ``html``), if ``pages`` has that column, else a fixed one.
 
+    With ``index``, a path, the listing is stored there in order by the first slice, and
+    later slices of the same listing read only the files they reach.
+
     Only pages the slice asks for are parsed (see :func:`wanted_pages`), where they are
     read; records, not pages, are shuffled to the listing.
     """
     spark = pages.sparkSession
     if "url" not in listing.columns:
         return spark.createDataFrame([], DETAIL)
-    wanted = slice_rows(valid_url(listing), order, start, max_rows, work)
+    if index is None or not (start or max_rows):
+        wanted = slice_rows(valid_url(listing), order, start, max_rows, work)
+    else:
+        if not is_ordered(spark, index):
+            write_ordered(valid_url(listing), index, order)
+        wanted = ordered_slice(spark, index, start, max_rows)
     asked = wanted_pages(pages, wanted, capture_order, work)
     captured = asked.withColumn("_capture", F.xxhash64("html"))
     by = [*capture_order, "_capture"]

@@ -78,6 +78,7 @@ def _listing_stage(
     first_page: int,
     work: str,
 ) -> Outcome:
+    discard(spark, f"{out}/listing_order")
     build_listing(pages, max_pages, rules, first_page=first_page, work=work).write.mode(
         "overwrite"
     ).parquet(f"{out}/listing")
@@ -111,8 +112,10 @@ def _detail_stage(
         listing = read_listing_csv(spark, listing_csv, LISTING, file_order=True)
     if listing is None:
         return Outcome(False, "no stored listing: run the listing stage first")
+    # A stored listing is kept in order for later slices; a CSV file may change.
+    index = f"{out}/listing_order" if listing_csv is None else None
     build_details(
-        listing, pages, start, max_rows, rules, capture_order=capture_order, work=work
+        listing, pages, start, max_rows, rules, capture_order=capture_order, work=work, index=index
     ).write.mode("overwrite").parquet(f"{out}/details")
     details = spark.read.parquet(f"{out}/details")
     if details.isEmpty():
@@ -140,7 +143,8 @@ def run(
 
     A stage without rows fails, and a failed listing stage ends the run. The detail
     stage reads the stored listing, or ``listing_csv``, whose rows count in the order of
-    the file if it has no order columns. Intermediate tables lie below ``out`` and are
+    the file if it has no order columns. The first slice of a stored listing leaves it in
+    order below ``out``, where later slices read only what they reach. Intermediate tables lie below ``out`` and are
     removed in the end.
     """
     if stage not in STAGES:

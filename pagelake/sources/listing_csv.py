@@ -44,9 +44,14 @@ def read_listing_csv(
     na_tokens: Iterable[str] = NA_TOKENS,
     multi_line: bool = True,
     file_order: bool = False,
+    rejected: bool = False,
 ) -> DataFrame | None:
     """A CSV with a header; ``na_tokens`` become null. None if it cannot be read.
 
+    A cell that is no value of its column's type, or too large for it, is null as well;
+    with ``rejected`` the rows have a column ``_rejected``, the names of the columns with
+    such cells (empty for a good row).
+
     Columns are matched by header name. Those named in ``schema`` get its type, the
     rest stay text. ``multi_line`` allows line breaks inside cells but keeps each
     file in one task: set it to False for a single huge file without such cells.
@@ -65,14 +70,20 @@ def read_listing_csv(
         return None
     tokens = list(na_tokens)
     types = {f.name: f.dataType for f in schema.fields}
-    columns = []
+    columns, bad = [], []
     for name in raw.columns:
         cell = F.col(f"`{name}`")
         cell = F.when(~cell.isin(tokens), cell)
         kind = types.get(name, T.StringType())
         if isinstance(kind, T.IntegerType):
-            cell = cell.cast("double")  # "2.0" is how a column with gaps may be written
-        columns.append(cell.cast(kind).alias(name))
+            # "2.0" is how a column with gaps may be written
+            value = cell.try_cast("double").try_cast(kind)
+        else:
+            value = cell.try_cast(kind)
+        columns.append(value.alias(name))
+        bad.append(F.when(cell.isNotNull() & value.isNull(), F.lit(name)))
+    if rejected:
+        columns.append(F.array_compact(F.array(*bad)).alias("_rejected"))
     if not file_order or set(ORDER) <= set(raw.columns):
         return raw.select(*columns)
     place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
@@ -80,4 +91,5 @@ def read_listing_csv(
     splits = raw.select(*place).distinct()  # few: one row per split
     rank = F.row_number().over(Window.orderBy("_file", "_start")).cast("bigint")
     splits = splits.withColumn(ORDER[0], rank)
-    return rows.join(splits, ["_file", "_start"]).select(*ORDER, *raw.columns)
+    kept = [*raw.columns, "_rejected"] if rejected else raw.columns
+    return rows.join(splits, ["_file", "_start"]).select(*ORDER, *kept)

@@ -193,3 +193,20 @@ def test_last_wins_rows(spark):
         1: [("b", "3"), ("a", "2")],
         2: [("a", "4")],
     }
+
+
+def test_rejected_csv_cells(spark):
+    """Cells that are no number or too large give null and a marked row; the job ends well."""
+    from pagelake.session import work_path
+    from pagelake.sources.listing_csv import read_listing_csv
+
+    path = work_path(spark, "csv")
+    lines = ["name,stars,url", "a,two,u", "b,99999999999,u", "c,2.0,N/A", "d,,u", "e,1,u"]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    got = read_listing_csv(spark, path, rejected=True)
+    assert [tuple(r) for r in got.orderBy("name").collect()] == [
+        ("a", None, "u", ["stars"]), ("b", None, "u", ["stars"]), ("c", 2, None, []), ("d", None, "u", []), ("e", 1, "u", []),
+    ]
+    assert read_listing_csv(spark, path).columns == ["name", "stars", "url"]
+    placed = read_listing_csv(spark, path, file_order=True, rejected=True)
+    assert placed.columns == ["page_no", "pos", "name", "stars", "url", "_rejected"] and placed.count() == 5
