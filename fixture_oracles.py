@@ -338,6 +338,7 @@ SQL = {
       select * exclude (page_no, pos) from (select * from details
       order by page_no, pos limit 40 offset 5)""",
     "listing_stream": f"with {LISTING} select * from listing",
+    "listing_stream_stop": f"with {LISTING} select * from built",
     "directory_listing": f"""with {CARDS}, venues as (
         select page_id, pos, name, {ORIGIN.replace('url', 'page_url')} || url || '?x=/restaurant' as url,
           1 as stars, '1 star' as distinction, name as location, {entities('url')} as price, name as cuisine

@@ -615,8 +615,8 @@ def details_from_csv(spark, sf):
     return _detail_columns(outcome.details).drop("page_no", "pos")
 
 
-def listing_stream(spark, sf):
-    """The pages as a stream of four batches, the last pages first."""
+def _streamed(spark, sf):
+    """A table of the pages' cards from a stream of four batches, the last pages first."""
     pages, source = _numbered(spark, sf), work_path(spark, "source")
     table, progress = work_path(spark, "stream"), work_path(spark, "progress")
     last = pages.agg(F.max("page_no")).scalar()
@@ -625,7 +625,16 @@ def listing_stream(spark, sf):
         some.write.mode("append").parquet(source)
         stream = spark.readStream.schema(pages.schema).parquet(source)
         collect_listing(stream, table, progress, NAV_CARDS).awaitTermination()
-    return collected(spark, table)
+    return table
+
+
+def listing_stream(spark, sf):
+    return collected(spark, _streamed(spark, sf))
+
+
+def listing_stream_stop(spark, sf):
+    """The stop rule on what the stream has collected."""
+    return collected(spark, _streamed(spark, sf), until_stop=True, first_page=0)
 
 
 # --- the directory's own markup, put around the words of every page -----------------
@@ -751,6 +760,7 @@ QUERIES = {
     "two_stage_run": two_stage_run,
     "details_from_csv": details_from_csv,
     "listing_stream": listing_stream,
+    "listing_stream_stop": listing_stream_stop,
     "directory_listing": directory_listing,
     "directory_details": directory_details,
 }

@@ -210,3 +210,30 @@ def test_rejected_csv_cells(spark):
     assert read_listing_csv(spark, path).columns == ["name", "stars", "url"]
     placed = read_listing_csv(spark, path, file_order=True, rejected=True)
     assert placed.columns == ["page_no", "pos", "name", "stars", "url", "_rejected"] and placed.count() == 5
+
+
+def test_key_store(spark):
+    """Batches in any order and replayed: every key once, its first row, untouched buckets left alone."""
+    from pagelake.session import work_path
+    from pagelake.streaming.append import _committed
+
+    draw = random.Random(7)
+    rows_ = [(page, pos, f"n{draw.randrange(60)}") for page in range(12) for pos in range(10)]
+    df = spark.createDataFrame(rows_, "page_no int, pos int, name string")
+    table = work_path(spark, "store")
+    add = append_batch(table, buckets=8)
+    assert collected(spark, table) is None
+    add(df.limit(0), 0)
+    assert collected(spark, table).collect() == [] and collected(spark, table).columns == df.columns
+    for number, low in enumerate((9, 3, 0, 3, 6, 9)):  # 3 and 9 come twice
+        add(df.filter(f"page_no between {low} and {low + 2}"), number)
+    got = collected(spark, table)
+    assert rows(got) == rows(rel.first_wins(df))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    last, folders, _ = _committed(spark, table)
+    add(spark.createDataFrame([(0, 0, "n1")], df.schema), 99)
+    again, changed, _ = _committed(spark, table)
+    assert again == last + 1 and sum(folders[b] != changed[b] for b in folders) == 1
+    stopped = collected(spark, table, until_stop=True, first_page=0)
+    assert rows(stopped) == rows(rel.stop_at_first_gap(rel.first_wins(df.union(spark.createDataFrame([(0, 0, "n1")], df.schema))), "page_no", None, 0))
