@@ -2,7 +2,6 @@
 
 import time
 
-import pytest
 from markup import BASE, U, card, info, page
 from pyspark.sql import functions as F
 
@@ -12,76 +11,86 @@ from pagelake.operators.cards import extract_details, listing_cards
 from pagelake.plans.rules import DETAILS, LISTING_CARDS
 
 
-def venues(spark, html, *columns):
-    pages = spark.createDataFrame([(1, BASE, html)], "page_no int, url string, html string")
-    rows = listing_cards(pages, LISTING_CARDS).filter("name is not null").orderBy("pos").collect()
-    return [r["name"] if not columns else tuple(r[c] for c in ("name", *columns)) for r in rows]
+def venues(spark, pages, *columns):
+    """Per page its named cards: names, or tuples with further columns."""
+    df = spark.createDataFrame([(n, BASE, p) for n, p in enumerate(pages)], "page_no int, url string, html string")
+    out = [[] for _ in pages]
+    for r in listing_cards(df, LISTING_CARDS).filter("name is not null").orderBy("page_no", "pos").collect():
+        out[r["page_no"]].append(tuple(r[c] for c in ("name", *columns)) if columns else r["name"])
+    return out
 
 
-def fields(spark, html):
-    return extract_details(spark.createDataFrame([(U, html)], "url string, html string"), DETAILS).first()
+def fields(spark, pages):
+    df = spark.createDataFrame([(n, U, p) for n, p in enumerate(pages)], "n int, url string, html string")
+    return extract_details(df, DETAILS, keep=("n",)).orderBy("n").collect()
 
 
-@pytest.mark.parametrize("depth", [1, 23, 24, 25, 30, 300])
-def test_any_depth(spark, depth):
+DEPTHS = (1, 23, 24, 25, 30, 300)
+
+
+def test_cards_of_any_depth(spark):
     """What a card holds counts however deep it lies, and nothing behind the card does."""
-    deep = "<div>" * depth + '<div class="card__menu-footer--score">Deep</div>' + "</div>" * depth
-    other = '<div class="card__menu-footer--score">Other</div>'
-    one = f'<div class="card__menu"><h3 class="title">A</h3>{deep}</div>{other}'
-    assert venues(spark, one, "location") == [("A", "Deep")]
-    empty = f'<div class="card__menu"><h3 class="title">A</h3>{"<div>" * depth}{"</div>" * depth}</div>{other}'
-    assert venues(spark, empty, "location") == [("A", None)]
+    score = '<div class="card__menu-footer--score">{}</div>'
+    one = '<div class="card__menu"><h3 class="title">A</h3>{}</div>' + score.format("Other")
+    deep = [one.format("<div>" * n + score.format("Deep") + "</div>" * n) for n in DEPTHS]
+    empty = [one.format("<div>" * n + "</div>" * n) for n in DEPTHS]
+    assert venues(spark, deep + empty, "location") == [[("A", "Deep")]] * 6 + [[("A", None)]] * 6
+
 
+def test_details_of_any_depth(spark):
     near = "<h2>Nearby Restaurants</h2>" + card("N", "n")
-    around = "<div>" * depth + near + "</div>" * depth
-    row = fields(spark, f'<div class="container">{around}</div><div class="container">{card("Z", "z")}</div>')
-    assert [n["name"] for n in row["nearby_restaurants"]] == ["N"]
-    nested = "<div>" * depth + info("In", "x · y") + "</div>" * depth
     outside = info("Out").replace("data-sheet__detail-info", "x")
-    assert fields(spark, nested + outside)["address"] == "In"
-    deep_info = f'<div class="data-sheet__detail-info">{"<div>" * depth}{"</div>" * depth}</div>{outside}'
-    assert fields(spark, deep_info)["address"] is None
-
-
-@pytest.mark.parametrize(
-    "around",
-    [
+    pages = []
+    for n in DEPTHS:
+        around = lambda inner: "<div>" * n + inner + "</div>" * n  # noqa: B023, E731
+        pages.append(f'<div class="container">{around(near)}</div><div class="container">{card("Z", "z")}</div>')
+        pages.append(around(info("In", "x · y")) + outside)
+        pages.append(f'<div class="data-sheet__detail-info">{around("")}</div>{outside}')
+    got = fields(spark, pages)
+    assert [[v["name"] for v in r["nearby_restaurants"]] for r in got[::3]] == [["N"]] * 6
+    assert [r["address"] for r in got[1::3]] == ["In"] * 6
+    assert [r["address"] for r in got[2::3]] == [None] * 6
+
+
+def test_markup_that_is_only_text(spark):
+    ways = [
         "<textarea>{}</textarea>", "<title>{}</title>", "<iframe>{}</iframe>", "<TEXTAREA rows=3>{}</textarea >",
         "<noscript>{}</noscript>", "<!-- {} -->", "<p title='{}'>", "<div data-x='{}'></div>", "<xmp>{}</xmp>",
-    ],
-)
-def test_markup_that_is_only_text(spark, around):
+    ]
     ghost = '<div class="card__menu"><h3 class="title">Ghost</h3></div>'
-    assert venues(spark, page(around.format(ghost), card("New", "n")) + around.format(ghost)) == ["New"]
-    inside = card("New", "n").replace("<h3", around.format('<h3 class="title">Ghost</h3>') + "<h3", 1)
-    assert venues(spark, page(inside))[0] == "New"
+    pages = [page(way.format(ghost), card("New", "n")) + way.format(ghost) for way in ways]
+    title = '<h3 class="title">Ghost</h3>'
+    pages += [page(card("New", "n").replace("<h3", way.format(title) + "<h3", 1)) for way in ways]
+    assert [names[0] for names in venues(spark, pages)] == ["New"] * 18
+    assert all(len(names) == 1 for names in venues(spark, pages)[:9])
     # Pattern rules see the elements the same way.
-    df = spark.createDataFrame([(around.format('<div class="k">no</div>') + '<div class="k">yes</div>',)], "s string")
-    assert df.select(h.first_text(F.col("s"), h.element("div", h.has_class("k")))).first()[0] == "yes"
-
-
-@pytest.mark.parametrize(
-    "base, url",
-    [
-        ('<base href="https://b.example/x/">', "https://b.example/x/restaurant/a"),
-        ("<head><BASE target=_top><base href='/y/'><base href='/z/'></head>", "https://g.example/y/restaurant/a"),
-        ('<base href="">', "https://g.example/restaurant/a"),
-        ('<!-- <base href="/no/"> -->', "https://g.example/restaurant/a"),
-    ],
-)
-def test_base_address(spark, base, url):
-    html = base + '<div class="card__menu"><h3 class="title">A</h3><a href="restaurant/a">x</a><a href="/restaurant/b">y</a></div>'
-    assert venues(spark, html.replace('href="restaurant', 'href="./restaurant'), "url") == [("A", url)]
+    rows = [(way.format('<div class="k">no</div>') + '<div class="k">yes</div>',) for way in ways]
+    df = spark.createDataFrame(rows, "s string")
+    texts = df.select(h.first_text(F.col("s"), h.element("div", h.has_class("k")))).collect()
+    assert [r[0] for r in texts] == ["yes"] * 9
+
+
+def test_base_address(spark):
+    bases = [
+        ('<base href="https://b.example/x/">', "https://b.example/x/", "https://b.example/x/s"),
+        ("<head><BASE target=_top><base href='/y/'><base href='/z/'></head>", "https://g.example/y/", "https://u.example/y/s"),
+        ('<base href="">', "https://g.example/", "https://u.example/s"),
+        ('<!-- <base href="/no/"> -->', "https://g.example/", "https://u.example/s"),
+    ]
+    near = '<div class="card__menu"><h3 class="title">A</h3><a href="./restaurant/a">x</a><a href="/restaurant/b">y</a></div>'
     rooted = '<div class="card__menu"><h3 class="title">A</h3><a href="/restaurant/b">y</a></div>'
-    assert venues(spark, base + rooted, "url") == [("A", "/".join(url.split("/")[:3]) + "/restaurant/b")]
-    site = base + '<a href="s">Visit Website</a>'
-    assert fields(spark, site)["website"] in {"https://b.example/x/s", "https://u.example/y/s", "https://u.example/s"}
+    got = venues(spark, [base + near for base, _, _ in bases], "url")
+    assert got == [[("A", folder + "restaurant/a")] for _, folder, _ in bases]
+    got = venues(spark, [base + rooted for base, _, _ in bases], "url")
+    assert got == [[("A", "/".join(folder.split("/")[:3]) + "/restaurant/b")] for _, folder, _ in bases]
+    sites = fields(spark, [base + '<a href="s">Visit Website</a>' for base, _, _ in bases])
+    assert [r["website"] for r in sites] == [site for _, _, site in bases]
 
 
 def test_unclosed_elements(spark):
     """Cards end where the next one begins, other elements at the first closing tag."""
     html = '<div class="card__menu"><h3 class="title">A</h3><div class="card__menu"><h3 class="title">B</h3>'
-    assert venues(spark, html) == ["A", "B"]
+    assert venues(spark, [html]) == [["A", "B"]]
     df = spark.createDataFrame([("<div class=k><div>x</div> y",)], "s string")
     k = h.has_class("k")
     first = lambda rule, group=1: df.select(h.first_match(F.col("s"), rule, group)).first()[0]
