@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.functions.values import BIB_LABEL, MISSING
@@ -15,21 +15,38 @@ from pagelake.schemas import ORDER
 
 DETAIL_CHECKS = ("phone", "address", "description", "website")
 SHORT_CHECKS = ("phone", "address", "description")
+STARS = (3, 2, 1)
 
 
-def listing_summary(listing: DataFrame) -> DataFrame:
-    """One row: total, starred and Bib rows."""
-    return listing.agg(
-        F.count("*").alias("total"),
+def summary_counts() -> list[Column]:
+    """The aggregates of :func:`listing_summary`."""
+    return [
+        F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("stars") > 0).alias("starred"),
         F.count_if(F.col("distinction") == BIB_LABEL).alias("bib"),
-    )
+    ]
+
+
+def listing_summary(listing: DataFrame) -> DataFrame:
+    """One row: total, starred and Bib rows."""
+    return listing.agg(*summary_counts())
+
+
+def star_counts() -> list[Column]:
+    """Rows per star count as aggregates, to be taken while a listing is written."""
+    return [F.count_if(F.col("stars") == n).alias(f"stars_{n}") for n in STARS]
+
+
+def breakdown_of(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """:func:`star_breakdown` from the values of :func:`star_counts`."""
+    rows = [(n, counts[f"stars_{n}"]) for n in STARS if counts[f"stars_{n}"]]
+    return spark.createDataFrame(rows, "stars int, n long")
 
 
 def star_breakdown(listing: DataFrame) -> DataFrame:
     """Rows per star count 3, 2, 1; counts of zero have no row."""
     return (
-        listing.filter(F.col("stars").isin(3, 2, 1))
+        listing.filter(F.col("stars").isin(*STARS))
         .groupBy("stars")
         .agg(F.count("*").alias("n"))
         .orderBy(F.desc("stars"))
@@ -59,17 +76,10 @@ def top_locations(
     )
 
 
-def completeness(
-    details: DataFrame,
-    fields: Sequence[str] = DETAIL_CHECKS,
-    reference_compat: bool = False,
-) -> DataFrame:
-    """Per field: present and total rows and the percentage, exact and to one digit.
-
-    A null counts as missing. With ``reference_compat`` a field that an error row
-    does not have counts as present, which is how the plain count of values other
-    than the missing mark behaves. An empty text is present either way.
-    """
+def completeness_counts(
+    fields: Sequence[str] = DETAIL_CHECKS, reference_compat: bool = False
+) -> list[Column]:
+    """The aggregates of :func:`completeness`: ``total``, and present rows by field."""
     checks = []
     for name in fields:
         value = F.col(name)
@@ -77,7 +87,11 @@ def completeness(
         if reference_compat:
             present = F.coalesce(value != MISSING, F.col("error").isNotNull())
         checks.append(F.count_if(present).alias(name))
-    counts = details.agg(F.count("*").alias("total"), *checks)
+    return [F.count(F.lit(1)).alias("total"), *checks]
+
+
+def completeness_of(counts: DataFrame, fields: Sequence[str] = DETAIL_CHECKS) -> DataFrame:
+    """:func:`completeness` from one row of :func:`completeness_counts`."""
     rows = F.inline(
         F.array(
             *[F.struct(F.lit(n).alias("field"), F.col(n).alias("present")) for n in fields]
@@ -92,6 +106,20 @@ def completeness(
     )
 
 
+def completeness(
+    details: DataFrame,
+    fields: Sequence[str] = DETAIL_CHECKS,
+    reference_compat: bool = False,
+) -> DataFrame:
+    """Per field: present and total rows and the percentage, exact and to one digit.
+
+    A null counts as missing. With ``reference_compat`` a field that an error row
+    does not have counts as present, which is how the plain count of values other
+    than the missing mark behaves. An empty text is present either way.
+    """
+    return completeness_of(details.agg(*completeness_counts(fields, reference_compat)), fields)
+
+
 def page_tallies(
     cards: DataFrame,
     keys: Sequence[str] = ("name",),

@@ -62,16 +62,56 @@ def work_path(spark: SparkSession, name: str = "table", work: str | None = None)
     return f"{work or work_dir(spark)}/pagelake-{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder at ``path``, in whatever store it names."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    files, target = _file_system(spark, path)
+    return files.exists(target)
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a folder of intermediate tables, in whatever store it lies."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Move a file or folder to a place where there is none."""
+    files, target = _file_system(spark, path)
+    if not files.rename(target, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"cannot move {path} to {to}")
+
+
+def is_empty_folder(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder without entries at ``path``."""
+    files, target = _file_system(spark, path)
+    return files.exists(target) and len(files.listStatus(target)) == 0
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file; readers find it whole or not at all."""
+    files, target = _file_system(spark, f"{path}.part")
+    stream = files.create(target, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    discard(spark, path)
+    rename(spark, f"{path}.part", path)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """What :func:`write_text` wrote, or None."""
+    files, target = _file_system(spark, path)
+    if not files.exists(target):
+        return None
+    stream = files.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def stage(df: DataFrame, name: str = "stage", work: str | None = None) -> DataFrame:
