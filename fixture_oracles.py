@@ -364,3 +364,4 @@ SQL = {
         {nearby_json('words', 'links', "site || {u} || '?x=/restaurant'", json_text(entities('{u}')), json_text('{w}'), '1', "'1 star(s)'")} as nearby
       from p""",
 }
+SQL["enrich_bucketed"] = SQL["enrich_left"]

@@ -17,6 +17,7 @@ from pagelake.functions.nested import array_to_json, join_list, map_to_json
 from pagelake.functions.text import origin
 from pagelake.functions.values import award_flags, distinction, fill_sentinels, split_pair
 from pagelake.operators import metrics
+from pagelake.operators.bucketed import enrich_bucketed, write_bucketed
 from pagelake.operators.cards import (
     day_map,
     explode_cards,
@@ -455,6 +456,17 @@ def enrich_hot(spark, sf):
     return enrich(docs, langs, ["doc_id", "source"], "lang", order=(), salted=True, hot_rows=100)
 
 
+def enrich_bucketed_query(spark, sf):
+    """Both sides stored by the hash of the key first; the join itself shuffles nothing."""
+    docs = _table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    names = []
+    for df in (docs, _table(spark, sf, "labels")):
+        path = work_path(spark, "bucketed")
+        names.append(path.rsplit("/", 1)[1].replace("-", "_"))
+        write_bucketed(df, names[-1], path, "doc_id", buckets=16)
+    return enrich_bucketed(spark, *names, ["lang", "source", "n_chars"], "doc_id", order=())
+
+
 def union_query(spark, sf):
     return union_records(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
@@ -744,6 +756,7 @@ QUERIES = {
     "slice_indexed": slice_indexed,
     "enrich_left": enrich_left,
     "enrich_hot": enrich_hot,
+    "enrich_bucketed": enrich_bucketed_query,
     "union_records": union_query,
     "listing_summary": listing_summary,
     "star_breakdown": star_breakdown,
