@@ -188,7 +188,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, name: st
     Repeated rows are returned as often as given. Extra columns are ignored.
     """
     prints = docs.select("doc_id", fingerprint_column(whole_text(), shingle).alias("fp"))
-    marked = stored(prints, f"{name}-fingerprints")
+    found = linked(stored(prints, f"{name}-fingerprints"), radius, name)
+    return found.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id", "group")
+
+
+def linked(marked: DataFrame, radius: int = 3, name: str = "simhash") -> DataFrame:
+    """``marked(doc_id, fp, ...)``, a stored table, with ``component_id`` and ``group`` added.
+
+    They are those of :func:`near_duplicates`, for fingerprints the caller has at hand.
+    Columns called ``rep``, ``component``, ``component_id`` or ``group`` must not be there.
+    """
     reps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), f"{name}-distinct")
     found = components(near_links(reps, radius, name), name)
     roots = reps.join(found, reps.fp == found.node, "left").select(
@@ -196,5 +205,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, name: st
     roots = stored(roots, f"{name}-roots")
     smallest = stored(roots.groupBy("component").agg(F.min("rep").alias("component_id")), f"{name}-smallest")
     named = stored(roots.join(smallest, "component"), f"{name}-named")
-    return marked.join(named, "fp").select(
-        "doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id", F.col("component").alias("group"))
+    return marked.join(named.drop("rep"), "fp").withColumnRenamed("component", "group")

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES}
-    assert names == {str(n) for n in range(1, 11)}
+    assert names == {str(n) for n in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(queries.SQL) <= set(entry.oracle_sql())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "pii", "packing"]
