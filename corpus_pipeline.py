@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import table, whole_text
+from pagelake.llm.common import stored, table, whole_text
 from pagelake.llm.packing import packed_digest
 from pagelake.llm.pii import pseudonymised
-from pagelake.llm.simhash import fingerprint_column, hexadecimal, near_duplicates
+from pagelake.llm.simhash import fingerprint_column, hexadecimal, linked
 from pagelake.llm.toxicity import fit, scores
 from pagelake.session import work_path
 
@@ -25,15 +25,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id, or any if none has an id."""
-    docs = docs.select(*COLUMNS)
-    first = near_duplicates(docs).filter("doc_id <=> component_id").groupBy("group", "doc_id")
-    first = first.agg(F.min("fingerprint").alias("print"))
-    marked = docs.withColumn("print", hexadecimal(fingerprint_column(whole_text())))
-    kept = marked.join(first, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "print"])
-    nameless = first.filter("doc_id is null")
-    others = marked.filter("doc_id is null").join(nameless, "print", "left_semi").dropDuplicates(["print"])
-    return kept.select(*COLUMNS).union(others.select(*COLUMNS))
+    """One document of each group: that with the smallest id, or any if none has an id.
+
+    Fingerprints are computed once and stored beside the rows. The row to keep is chosen
+    by its number, on narrow columns; whole texts move in the last join only.
+    """
+    prints = docs.select(*COLUMNS, fingerprint_column(whole_text()).alias("fp"))
+    marked = stored(prints.withColumn("row", F.monotonically_increasing_id()), "pipeline-marked")
+    groups = linked(marked.select("doc_id", "fp", "row"), name="pipeline-simhash")
+    choice = F.min(F.struct(hexadecimal(F.col("fp")), "row"))
+    first = groups.filter("doc_id <=> component_id").groupBy("group").agg(choice.alias("first"))
+    return marked.join(first.select("first.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
