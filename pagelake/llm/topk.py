@@ -1,9 +1,9 @@
 """Exact top-k inner products by branch and bound over columns.
 
-Candidates are kept column by column. Scores grow one block of dimensions at a time; what
-a candidate can still gain is at most the product of the two vectors' remaining lengths,
-so candidates that cannot reach any query's k-th score so far are dropped and the
-columns compacted before the next block.
+Candidates are kept column by column. A query adds its dimensions block by block, those
+in which it is longest first. What a candidate can still gain is at most the product of
+the lengths that the two vectors have left, so candidates that cannot reach the query's
+k-th score so far go, and the columns are compacted before the next block.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagelake.llm.common import stored
+from pagelake.session import work_path
 
-STEP = 16  # dimensions added at once
-TILE = 64  # queries that share one compaction
-QUERIES = 1024  # queries of one task, about
-LANES = 32  # candidate shares, each searched by a task of its own
+STEPS = (16, 24, 36)  # dimensions added before each compaction, of 64
+FIRST = 512  # candidates that are compared in full, for a first k-th score
+CHUNK = 4096  # candidates that are compared at once
+CHUNK_BYTES = 32 << 20  # and their size, at most
+QUERY_BYTES = 8 << 20  # of the queries that are broadcast at once
 EXACT = float(1 << 53)  # whole numbers below are exact in double precision
+_LEAST = np.iinfo(np.int64).min + 1
 
 
 def whole_numbers(vector: Column) -> Column:
@@ -41,105 +44,117 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
 
 
 class Search:
-    """The best ``k`` candidates so far for each of some queries."""
+    """The best ``k`` candidates so far for each of some queries.
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        self.ids, self.queries, self.k = ids, queries, k
-        self.scores = np.empty((len(ids), 0), np.int64)
-        self.found = np.empty((len(ids), 0), np.int64)
-        self.rest = self._rests(queries.T)
+    ``done`` counts multiplications, ``full`` those that whole products would take.
+    """
 
-    @staticmethod
-    def _rests(columns: np.ndarray) -> np.ndarray:
-        """Length of what is left of each vector before each block, and 0 after the last."""
-        squares = np.square(columns.astype(np.float64))
-        blocks = [squares[d : d + STEP].sum(axis=0) for d in range(0, len(columns), STEP)]
-        sums = np.cumsum([np.zeros(columns.shape[1]), *blocks[::-1]], axis=0)[::-1]
-        return np.sqrt(sums)
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, first: int = FIRST):
+        self.ids, self.queries, self.k, self.first = ids, queries, k, first
+        self.scores = np.full((len(ids), k), _LEAST)
+        self.found = np.full((len(ids), k), _LEAST)
+        self.seen = self.done = self.full = 0
+        width = queries.shape[1]
+        self.order = np.argsort(-np.abs(queries), axis=1, kind="stable")
+        squares = np.square(np.take_along_axis(queries, self.order, 1).astype(np.float64))
+        self.cuts = sorted({max(1, width * step // 64) for step in STEPS if width * step // 64 < width})
+        # Length of what is left of each query after each cut.
+        self.rest = [np.sqrt(squares[:, cut:].sum(axis=1)) for cut in self.cuts]
+        self.length = float(np.sqrt(squares.sum(axis=1)).max(initial=0))
 
     def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Compare all queries with a batch of candidates."""
         columns = np.ascontiguousarray(vectors.T)
-        rest = self._rests(columns)
-        widest = self.rest[0].max(initial=0) * rest[0].max(initial=0)
-        kind = np.float64 if widest < EXACT else np.int64
+        squares = np.square(columns.astype(np.float64))
+        length = squares.sum(axis=0)
+        longest = length.max(initial=0)
+        if longest < 1e30:  # single precision holds it
+            squares, length = squares.astype(np.float32), length.astype(np.float32)
+        # Rounding must not lose a candidate: a sum errs by a 2**-23 of the length a term, at most.
+        slack = longest * 2 * len(columns) * 2.0**-23
+        kind = np.float64 if self.length * np.sqrt(longest) < EXACT else np.int64
         columns, queries = columns.astype(kind), self.queries.astype(kind)
-        for start in range(0, len(self.ids), TILE):
-            self._tile(slice(start, start + TILE), ids, columns, queries, rest)
-
-    def _tile(self, own: slice, ids, columns, queries, rest) -> None:
-        least = self.scores[own].min(axis=1) if self.scores.shape[1] == self.k else None
-        alive = np.arange(len(ids))
-        partial = np.zeros((len(self.ids[own]), len(ids)), columns.dtype)
-        for block, d in enumerate(range(0, len(columns), STEP)):
-            part = columns[d : d + STEP]
-            partial += queries[own, d : d + STEP] @ (part if len(alive) == len(ids) else part[:, alive])
-            if least is not None and block + 1 < len(rest) - 1:
-                gain = np.outer(self.rest[block + 1][own], rest[block + 1][alive])
-                able = (partial + gain * (1 + 1e-9) + 1 >= least[:, None]).any(axis=0)
-                if able.mean() < 0.8:
-                    alive, partial = alive[able], partial[:, able]
-        scores = np.concatenate([self.scores[own], partial.astype(np.int64)], axis=1)
-        names = np.concatenate([self.found[own], np.broadcast_to(ids[alive], partial.shape)], axis=1)
-        scores[names == self.ids[own, None]] = _LEAST  # not the query itself
-        keep = min(self.k, scores.shape[1])
-        best = np.lexsort((names, -scores), axis=1)[:, :keep] if scores.shape[1] <= 64 else _best(scores, names, keep)
-        if self.scores.shape[1] != keep:
-            wide = lambda a: np.concatenate(
-                [a, np.full((len(a), keep - a.shape[1]), _LEAST)], axis=1)
-            self.scores, self.found = wide(self.scores), wide(self.found)
-        self.scores[own] = np.take_along_axis(scores, best, 1)
-        self.found[own] = np.take_along_axis(names, best, 1)
+        self.full += len(self.ids) * columns.size
+        if self.seen < self.first:
+            self.done += len(self.ids) * columns.size
+            for n, scores in enumerate(queries @ columns):
+                self._merge(n, ids, scores)
+        else:
+            for n in range(len(self.ids)):
+                self._merge(n, *self._bounded(n, ids, columns, squares, length, slack, queries[n]))
+        self.seen += len(ids)
+
+    def _bounded(self, n, ids, columns, squares, length, slack, query) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates that may be among the best of query ``n``, with their scores."""
+        least, order, begin = self.scores[n, -1], self.order[n], 0
+        margin = 1 + abs(float(least)) * 2.0**-50
+        scores, left, alive = np.zeros(len(ids), columns.dtype), length, None
+        for cut, rest in zip([*self.cuts, len(order)], [*(r[n] for r in self.rest), 0.0]):
+            rows, begin = order[begin:cut], cut
+            # Rows that lie together first, then those of their columns that are still alive.
+            block = columns[rows] if alive is None else columns[rows].take(alive, 1)
+            scores = scores + query[rows] @ block
+            self.done += block.size
+            if cut == len(order):
+                break
+            gone = squares[rows] if alive is None else squares[rows].take(alive, 1)
+            left = left - gone.sum(axis=0)
+            gain = rest * np.sqrt(np.maximum(left, 0) + slack) * (1 + 1e-6) + margin
+            able = np.flatnonzero(scores + gain >= least)
+            if len(able) < len(scores):
+                scores, left = scores[able], left[able]
+                alive = able if alive is None else alive[able]
+            if not len(able):
+                break
+        alive = slice(None) if alive is None else alive
+        return ids[alive], scores
+
+    def _merge(self, n: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Put candidates among the best of query ``n``; ties go to the smaller id."""
+        scores = scores.astype(np.int64)
+        able = (scores >= self.scores[n, -1]) & (ids != self.ids[n])
+        if able.sum() > self.k:
+            able &= scores >= np.partition(scores[able], -self.k)[-self.k]
+        if able.any():
+            scores = np.concatenate([self.scores[n], scores[able]])
+            names = np.concatenate([self.found[n], ids[able]])
+            best = np.lexsort((names, -scores))[: self.k]
+            self.scores[n], self.found[n] = scores[best], names[best]
 
     def result(self) -> pd.DataFrame:
-        query = np.repeat(self.ids, self.scores.shape[1])
+        query = np.repeat(self.ids, self.k)
         out = pd.DataFrame({"query_id": query, "vec_id": self.found.ravel(), "score": self.scores.ravel()})
         return out[out["score"] != _LEAST]
 
 
-_LEAST = np.iinfo(np.int64).min + 1
-
+def search(batches: Iterator[pd.DataFrame], state: Search) -> Iterator[pd.DataFrame]:
+    """The best of a partition's candidates for each query."""
+    width = state.queries.shape[1]
+    most = max(1, min(CHUNK, CHUNK_BYTES // (8 * width)))
+    size = lambda: most if state.seen >= state.first else min(most, state.first)
+    waiting, held = [], 0
 
-def _best(scores: np.ndarray, names: np.ndarray, keep: int) -> np.ndarray:
-    """Places of the ``keep`` largest scores of each row, ties to the smaller name."""
-    floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, -keep]
-    out = np.empty((len(scores), keep), np.int64)
-    for n, (row, name, least) in enumerate(zip(scores, names, floor)):
-        at = np.flatnonzero(row >= least)
-        out[n] = at[np.lexsort((name[at], -row[at]))[:keep]]
-    return out
-
-
-def search(batches: Iterator[pd.DataFrame], k: int, width: int) -> Iterator[pd.DataFrame]:
-    """Top ``k`` of each ``(part, lane)`` run of a sorted partition: queries come first."""
-    key, state, waiting = None, None, []
-
-    def start():
+    def compare():
         ids = np.concatenate([w["vec_id"].to_numpy(np.int64) for w in waiting])
-        return Search(ids, np.concatenate([_matrix(w["v"], width) for w in waiting]), k)
+        vectors = np.concatenate([_matrix(w["v"], width) for w in waiting])
+        start = 0
+        while start < len(ids):
+            end = start + size()
+            state.offer(ids[start:end], vectors[start:end])
+            start = end
 
     for batch in batches:
-        runs = (batch["part"].to_numpy(np.int64) * LANES + batch["lane"].to_numpy()) * 2 + batch["kind"].to_numpy()
-        edges = np.r_[0, np.flatnonzero(np.diff(runs)) + 1, len(runs)]
-        for lo, hi in zip(edges, edges[1:]):
-            if lo == hi:
-                continue
-            run, piece = int(runs[lo]), batch.iloc[lo:hi]
-            if run >> 1 != key:
-                if state is not None:
-                    yield state.result()
-                key, state, waiting = run >> 1, None, []
-            if run & 1 == 0:
-                waiting.append(piece)
-            elif waiting or state is not None:
-                if state is None:
-                    state, waiting = start(), []
-                state.offer(piece["vec_id"].to_numpy(np.int64), _matrix(piece["v"], width))
-    if state is not None:
-        yield state.result()
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
+        waiting.append(batch)
+        held += len(batch)
+        if held >= size():
+            compare()
+            waiting, held = [], 0
+    if held:
+        compare()
+    yield state.result()
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, first: int = FIRST) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` highest integer inner products.
 
     ``vectors(vec_id, embedding)`` are turned into whole numbers; rows for which
@@ -149,30 +164,39 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     with one id all are candidates and the smallest vector is the query. Scores are
     exact while they fit a long. Fewer candidates than ``k`` give fewer rows.
 
-    Queries, in parts of about ``QUERIES``, meet every lane of the candidates in a task
-    that streams the lane; tasks return ``k`` rows a query.
+    Queries are broadcast in blocks of about ``QUERY_BYTES``, one pass over the stored
+    candidates each. Candidates stay where they are; tasks return ``k`` rows a query.
+    Bounds count after a task's ``first`` candidates.
     """
+    spark = vectors.sparkSession
     usable = stored(
         vectors.filter("vec_id is not null").withColumn("v", whole_numbers(F.col("embedding")))
         .filter("v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v", is_query.alias("asks")),
         "topk-vectors")
-    asking = usable.filter("asks").groupBy("vec_id").agg(F.min("v").alias("v"))
     size = usable.agg(F.max(F.size("v")).alias("width"), F.count_if("asks").alias("asking")).first()
-    parts = max(1, -(-(size["asking"] or 0) // QUERIES))
-    width = max(1, size["width"] or 0)
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane")
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    hashed = F.xxhash64("vec_id")
-    questions = asking.select(
-        F.pmod(hashed, F.lit(parts)).cast("int").alias("part"), lanes, F.lit(0).alias("kind"), "vec_id", "v")
-    answers = usable.select(
-        every, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(LANES)).cast("int").alias("lane"),
-        F.lit(1).alias("kind"), "vec_id", "v")
-    work = questions.union(answers).repartition("part", "lane").sortWithinPartitions("part", "lane", "kind")
-    near = work.mapInPandas(
-        lambda batches: search(batches, k, width), "query_id long, vec_id long, score long")
+    width, asking = max(1, size["width"] or 0), size["asking"] or 0
+    parts = max(1, -(-asking * width * 8 // QUERY_BYTES))
+    asked = usable.filter("asks").groupBy("vec_id").agg(F.min("v").alias("v")).withColumn(
+        "part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+    asked = stored(asked.repartition("part"), "topk-queries")
+    answers = usable.select("vec_id", "v")
+
+    def near(part: int) -> DataFrame:
+        block = asked.filter(F.col("part") == part).toPandas()
+        shared = spark.sparkContext.broadcast((block["vec_id"].to_numpy(np.int64), _matrix(block["v"], width)))
+        return answers.mapInPandas(
+            lambda batches: search(batches, Search(*shared.value, k, first)), "query_id long, vec_id long, score long")
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+    if parts == 1:
+        found = near(0)
+    else:
+        path = work_path(spark, "llm-topk-found")
+        for part in range(parts):
+            near(part).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop(
+                "rank").write.mode("append").parquet(path)
+        found = spark.read.parquet(path)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
 
 

@@ -98,8 +98,8 @@ def test_top_k_odd_rows(llm, odd_vectors):
 
 @pytest.mark.parametrize("scale", [1.0, 2.0**18])
 def test_top_k_prunes_without_loss(llm, monkeypatch, scale):
-    """Few lanes and short batches, so thresholds prune; small and very large numbers; ties."""
-    monkeypatch.setattr(topk, "TILE", 3)
+    """Short batches and several blocks of queries, so bounds prune; small and very large numbers; ties."""
+    monkeypatch.setattr(topk, "QUERY_BYTES", 1000)
     rng = np.random.default_rng(7)
     values = rng.normal(size=(400, 40)) * np.geomspace(1, 0.01, 40) * scale
     values[100:200] = values[:100]
@@ -108,12 +108,40 @@ def test_top_k_prunes_without_loss(llm, monkeypatch, scale):
     before = llm.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     llm.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect()))
+        got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, first=20).collect()))
     finally:
         llm.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == sorted(brute_top(rows))
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e6])
+def test_top_k_bounds_save_work(scale):
+    """On random directions, the worst case, bounds leave out a third of the products and no row."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(4000, 64))
+    vectors = np.floor(vectors / np.linalg.norm(vectors, axis=1)[:, None] * 256 * scale).astype(np.int64)
+    vectors[7] = vectors[2000]
+    vectors[50] = 0
+    ids = rng.permutation(4000).astype(np.int64)
+    state = topk.Search(ids[:60], vectors[:60], 5)
+    for start in range(0, 4000, 500):
+        state.offer(ids[start : start + 500], vectors[start : start + 500])
+    for n, row in enumerate(vectors[:60] @ vectors.T):
+        best = sorted((-int(score), int(i)) for score, i in zip(row, ids) if i != ids[n])[:5]
+        assert [(-s, i) for s, i in zip(state.scores[n].tolist(), state.found[n].tolist())] == best
+    assert state.done < 0.67 * state.full
+
+
+def test_top_k_bounds_save_work_on_given_vectors(llm):
+    given = table(llm, "/root/testdata/sf0.1", "embeddings")
+    rows = given.select("vec_id", topk.whole_numbers(F.col("embedding")).alias("v")).toPandas()
+    ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["v"])
+    state = topk.Search(ids[ids % 50 == 0], vectors[ids % 50 == 0], 5)
+    for start in range(0, len(ids), 500):
+        state.offer(ids[start : start + 500], vectors[start : start + 500])
+    assert state.done < 0.75 * state.full
+
+
 # --- archive -----------------------------------------------------------------------
 
 PAGES = [
