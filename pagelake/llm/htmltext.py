@@ -7,6 +7,12 @@ page has a main element, only that and articles are read. The subtrees of the re
 containers are hashed from the leaves up and counted per host; a subtree that many pages
 of a host share is a template and its blocks are deleted.
 
+Two hashes are counted: that of the whole subtree, text included, and on pages that mark
+an article that of the shape of containers outside of it: names, classes, ids and the
+kinds of blocks below, runs of equal ones as one. A menu whose entries differ from page
+to page has one shape. A shape is a template unless its containers hold more than half of
+the text of the pages they are on, or hold the page's first heading.
+
 Inside a marked article only containers can be templates. Paragraphs, headings and lists'
 items there are the author's own words, also when other articles quote the same ones.
 """
@@ -17,6 +23,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
@@ -47,6 +54,8 @@ BLOCKS = frozenset(
     "pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("center details div dl figure ol section table ul".split())
+# Containers that may be templates by their shape.
+SHAPED = CONTAINERS | frozenset("address aside fieldset footer form header nav".split())
 DROPPED = frozenset(
     "nav footer aside form script style noscript template svg math iframe button select menu dialog textarea "
     "title head object audio video canvas map datalist input label optgroup option xmp noembed noframes".split()
@@ -81,11 +90,11 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def unwanted(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+def unwanted(tag: str, attrs: dict[str, str], in_article: bool, names: bool = True) -> int:
     """Whether an element is no part of the main text by its name, role, state or class.
 
     0 if it may be; 1 if it is none unless it holds an article, 2 unless it holds one or
-    most of the page's text, 3 whatever it holds.
+    most of the page's text, 3 whatever it holds. Without ``names`` only the last is told.
     """
     if tag in DROPPED and tag not in SOFT:
         return 3
@@ -96,6 +105,8 @@ def unwanted(tag: str, attrs: dict[str, str], in_article: bool) -> int:
         return 3
     if re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return 3
+    if not names:
+        return 0
     if tag == "form":  # some sites put the whole page into one
         return 2
     if tag in DROPPED:
@@ -113,23 +124,25 @@ def unwanted(tag: str, attrs: dict[str, str], in_article: bool) -> int:
 
 
 class Page:
-    """One page's blocks, and its containers with the hash of their subtree and their blocks.
+    """One page's blocks, and its containers with the hashes of their subtree and their blocks.
 
-    ``blocks`` holds ``(text, place)``, ``elements`` ``(tag, hash, first, last, place)``; the
-    place is 2 inside an article, 1 inside a main element only, else 0. ``rescued`` holds
+    ``blocks`` holds ``(text, place)``, ``elements`` ``(tag, hash, shape, first, last, place)``;
+    the shape is None where the container holds a main heading. The place is 2 inside an article, 1 inside a main element only, else 0. ``rescued`` holds
     the numbers of unwanted elements, in page order, that hold the main text: a page read
     with them as ``kept`` has it.
     """
 
-    def __init__(self, source: str, kept: frozenset[int] = frozenset()):
+    def __init__(self, source: str, kept: frozenset[int] = frozenset(), names: bool = True):
         self.blocks: list[tuple[str, int]] = []
-        self.elements: list[tuple[str, int, int, int, int]] = []
+        self.elements: list[tuple[str, int, int | None, int, int, int]] = []
         self.articles = self.mains = 0
         self._words: list[str] = []
         # tag, digest of the block it is in, first block, dropped, counts as article, counts as main, what was
-        # known when an unwanted element began, kind
+        # known when an unwanted element began, kind, shape, shape of the last block in it, main headings before,
+        # place here of the innermost element with a shape
         self._open: list[list] = []
-        self._kept = kept
+        self._kept, self._names = kept, names
+        self._headings = 0  # main headings so far
         self._begun = 0  # elements
         self._hard = 0  # open elements that are never read
         self._size = self._marks = 0  # characters and articles so far outside of those
@@ -162,7 +175,7 @@ class Page:
             self._flush()
         elif tag == "br":
             self._words.append(" ")
-        kind = unwanted(tag, attrs, bool(self._at["article"] or self._at["main"]))
+        kind = unwanted(tag, attrs, bool(self._at["article"] or self._at["main"]), self._names)
         named = None
         self._begun += 1
         if kind in (1, 2):
@@ -179,16 +192,20 @@ class Page:
             self.articles += article
             self.mains += main
         if self._open and (tag not in BLOCKS or self._at["dropped"]):
-            digest = self._open[-1][1]  # what is in it counts as the block's around it
+            digest, shape = self._open[-1][1], None  # what is in it counts as the block's around it
         else:
-            digest = xxhash.xxh64(f"{tag}|{attrs.get('class', '')}|{attrs.get('id', '')}".encode("utf-8", "replace"))
+            label = f"{tag}|{attrs.get('class', '')}|{attrs.get('id', '')}".encode("utf-8", "replace")
+            digest, shape = xxhash.xxh64(label), xxhash.xxh64(label, seed=1)
         self._count[tag] += 1
-        self._open.append([tag, digest, len(self.blocks), dropped, article, main, named, kind])
+        shaped = len(self._open) if shape else self._open[-1][11]
+        self._open.append(
+            [tag, digest, len(self.blocks), dropped, article, main, named, kind, shape, None, self._headings, shaped])
+        self._headings += tag == "h1"
         for name, on in (("dropped", dropped), ("article", article), ("main", main)):
             self._at[name] += on
 
     def _end(self) -> None:
-        tag, digest, first, dropped, article, main, named, kind = self._open[-1]
+        tag, digest, first, dropped, article, main, named, kind, shape, _, headings, _ = self._open[-1]
         if tag in BLOCKS:
             self._flush()
         self._open.pop()
@@ -205,12 +222,24 @@ class Page:
             return
         if tag in BLOCKS and self._open:
             self._open[-1][1].update(b"\x02" + digest.digest())
+            self._add_shape(shape)
         if tag in BLOCKS and first < len(self.blocks) and tag not in ("html", "body", "main", "article"):
             place = 2 if self._at["article"] else 1 if self._at["main"] else 0
-            self.elements.append((tag, digest.intdigest(), first, len(self.blocks), place))
+            form = shape.intdigest() if shape and headings == self._headings else None
+            self.elements.append((tag, digest.intdigest(), form, first, len(self.blocks), place))
+
+    def _add_shape(self, shape) -> None:
+        """Tell the innermost open block the shape of a block in it; runs of equal ones count once."""
+        around = self._open[self._open[-1][11]]
+        code = shape.digest() if shape else b""
+        if code != around[9]:
+            around[8].update(code)
+            around[9] = code
 
     def _close_before(self, tag: str) -> None:
         """End what the start of ``tag`` ends by itself."""
+        if not any(self._count[name] for name, begun in ENDED_BY.items() if tag in begun):
+            return
         for n in range(len(self._open) - 1, -1, -1):
             name = self._open[n][0]
             if tag in ENDED_BY.get(name, ()):
@@ -265,41 +294,67 @@ class Page:
             self._end()
 
 
-def read_page(source: str) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """The blocks of a page's main part, and ``(hash, first, last)`` of what may be a template."""
-    page = Page(source)
+class Read(NamedTuple):
+    """The blocks of a page's main part, and what may be a template in it.
+
+    ``elements`` holds ``(hash, shape or None, first, last)``, ``shapes`` the characters
+    in all containers of a shape.
+    """
+
+    blocks: list[str]
+    elements: list[tuple[int, int | None, int, int]]
+    shapes: dict[int, int]
+
+
+def read_page(source: str, names: bool = True) -> Read:
+    """What a page holds by itself, before templates are known."""
+    page = Page(source, names=names)
     if page.rescued:
-        page = Page(source, frozenset(page.rescued))
+        page = Page(source, frozenset(page.rescued), names)
     least = 1 if any(place and page.mains for _, place in page.blocks) else 0
-    number, blocks = [0], []
+    number, written, chosen, blocks = [0], [0], [0], []
     for line, place in page.blocks:
         if place >= least:
             blocks.append(line)
         number.append(len(blocks))
-    elements = []
-    for tag, digest, first, last, place in page.elements:
+        written.append(written[-1] + len(line))
+        chosen.append(chosen[-1] + (place == 2))
+    elements, shapes = [], Counter()
+    for tag, digest, shape, first, last, place in page.elements:
         lo, hi = number[first], number[last]
+        if place < least or lo == hi:
+            continue
+        beside = page.articles and not place and chosen[first] == chosen[last]
+        form = shape - (1 << 63) if beside and tag in SHAPED and shape is not None else None
+        if form is not None:
+            shapes[form] += written[last] - written[first]
         able = CONTAINERS if place == 2 or place and not page.articles else BLOCKS
-        if tag in able and place >= least and lo < hi:
-            elements.append((digest - (1 << 63), lo, hi))
-    return blocks, elements
+        if tag in able:
+            elements.append((digest - (1 << 63), form, lo, hi))
+    return Read(blocks, elements, shapes)
 
 
-_ELEMENT = T.StructType([T.StructField("h", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
+_ELEMENT = T.StructType([
+    T.StructField("h", T.LongType()), T.StructField("s", T.LongType()),
+    T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
+_SHAPE = T.StructType([T.StructField("s", T.LongType()), T.StructField("held", T.LongType())])
 
 
-def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parsed(batches: Iterator[pd.DataFrame], names: bool) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [read_page(t) for t in batch["html"]]
+        found = [read_page(t, names) for t in batch["html"]]
         batch = batch.drop(columns="html")
-        batch["blocks"] = [b for b, _ in found]
-        batch["elements"] = [[{"h": h, "lo": lo, "hi": hi} for h, lo, hi in e] for _, e in found]
-        batch["body"] = [xxhash.xxh64_intdigest("\n".join(b).encode("utf-8", "replace")) - (1 << 63) for b, _ in found]
+        batch["blocks"] = [page.blocks for page in found]
+        batch["elements"] = [[{"h": h, "s": s, "lo": lo, "hi": hi} for h, s, lo, hi in page.elements] for page in found]
+        batch["shapes"] = [[{"s": s, "held": held} for s, held in page.shapes.items()] for page in found]
+        batch["size"] = [sum(map(len, page.blocks)) for page in found]
+        batch["body"] = [xxhash.xxh64_intdigest("\n".join(page.blocks).encode("utf-8", "replace")) - (1 << 63) for page in found]
         yield batch
 
 
 def main_text(
-    pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH
+    pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH,
+    names: bool = True,
 ) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages(page_id, url, html)``.
 
@@ -308,27 +363,34 @@ def main_text(
     null url, or one without a host, shares the empty host. Pages of a host with the same
     text count once when templates are counted. Repeated rows are all returned; extra
     columns are ignored. Only pages that hold containers are joined with the templates;
-    the others' text never moves.
+    the others' text never moves. Without ``names`` templates alone decide, besides
+    scripts, controls and hidden elements.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     source = pages.select("page_id", "url", host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     kinds = [pages.schema["page_id"], pages.schema["url"], T.StructField("host", T.StringType()),
              T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("elements", T.ArrayType(_ELEMENT)),
-             T.StructField("body", T.LongType())]
-    parsed = source.mapInPandas(_parsed, T.StructType(kinds))
+             T.StructField("shapes", T.ArrayType(_SHAPE)), T.StructField("size", T.LongType()), T.StructField("body", T.LongType())]
+    parsed = source.mapInPandas(lambda batches: _parsed(batches, names), T.StructType(kinds))
     parsed = stored(parsed.withColumn("row", F.monotonically_increasing_id()), "html-parsed")
 
     once = parsed.select("host", "body", F.explode(F.array_distinct("elements.h")).alias("h")).distinct()
     counts = once.groupBy("host", "h").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
     sizes = parsed.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
+    shaped = parsed.select("host", "body", "size", F.explode("shapes").alias("e")).groupBy("host", "body", "e.s").agg(
+        F.max("e.held").alias("held"), F.max("size").alias("size"))
+    forms = shaped.groupBy("host", F.col("s").alias("h")).agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("held").alias("held"), F.sum("size").alias("size"))
+    forms = forms.filter((F.col("pages") >= min_pages) & (2 * F.col("held") <= F.col("size")))
     templates = stored(
-        counts.join(sizes, "host")
+        counts.union(forms.select("host", "h", "pages")).join(sizes, "host")
         .filter((F.col("pages") >= enough) | (F.col("pages") >= min_share * F.col("all_pages")))
-        .select("host", "h"),
+        .select("host", "h").distinct(),
         "html-templates")
 
     nested = parsed.filter(F.size("elements") > 0)
-    spans = nested.select("row", "host", F.explode("elements").alias("e")).select("row", "host", "e.h", "e.lo", "e.hi")
+    spans = nested.select("row", "host", F.explode("elements").alias("e")).select(
+        "row", "host", F.explode(F.array_compact(F.array("e.h", "e.s"))).alias("h"), "e.lo", "e.hi")
     cut = spans.join(templates, ["host", "h"]).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))
     rest = F.filter("blocks", lambda b, i: ~F.exists("cut", lambda c: (i >= c["lo"]) & (i < c["hi"])))
     left = nested.join(stored(cut, "html-cuts"), "row", "left").withColumn(

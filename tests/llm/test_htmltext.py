@@ -2,6 +2,8 @@
 
 import html
 import re
+from collections import Counter
+from urllib.parse import urlsplit
 
 import pytest
 
@@ -36,6 +38,7 @@ def test_linear_on_broken_pages():
 
     begun = time.time()
     for source in ("<div>" * 20_000 + "x", '<a href="' * 20_000, "<" * 100_000, "<!--" * 50_000, "<p " * 50_000,
+                   "<b>" * 20_000 + "<p></p>" * 20_000, "<div>" * 20_000 + "<p>x</p>" * 20_000,
                    "<svg>" * 20_000 + ">", "<b>" * 20_000 + "</i>" * 20_000, "</p>" * 50_000):
         read_page(source)
     assert time.time() - begun < 20
@@ -95,6 +98,59 @@ def test_template_on_a_small_share_of_a_large_host(llm):
     assert all(got[5000 + n] == f"story {n}\nFollow us" for n in range(10))
 
 
+def test_templates_by_shape(llm):
+    """Beside an article containers whose words change go by their shape, unless they hold the story or its title."""
+    rows = []
+    for n in range(10):
+        menu = "".join(f"<li><a href=/{n}/{i}>entry {n} {i}</a>" for i in range(2 + n % 3))
+        rows.append((n, f"http://a.example/{n}", f"<ul class=x7>{menu}</ul><div class=x8><h1>title {n}</h1></div>"
+                     f"<div class=x9><a>word {n}</a></div><article><p>story {n}</p><ul class=x7><li>point {n}</ul></article>"))
+        rows.append((20 + n, f"http://b.example/{n}", f"<div class=x1><p>a long story {n}</p></div><article>teaser</article>"))
+        rows.append((40 + n, f"http://c.example/{n}", f"<ul class=x7>{menu}</ul><p>no article {n}"))
+        rows.append((60 + n, f"http://d{n}.example/", f"<ul class=x7>{menu}</ul><article>alone {n}</article>"))
+    pages = llm.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in main_text(pages).collect()}
+    for n in range(10):
+        entries = "\n".join(f"entry {n} {i}" for i in range(2 + n % 3))
+        assert got[n] == f"title {n}\nstory {n}\npoint {n}"
+        assert got[20 + n] == f"a long story {n}\nteaser"
+        assert got[40 + n] == f"{entries}\nno article {n}"
+        assert got[60 + n] == f"{entries}\nalone {n}"
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_counts_against_plain_python(llm, names):
+    """Templates counted by Spark are those counted page by page."""
+    pages = table(llm, "/root/testdata/sf0.01", "pages")
+    rows = [(r["page_id"], urlsplit(r["url"]).hostname, read_page(r["html"], names)) for r in pages.collect()]
+    once = {(host, tuple(page.blocks)): page for _, host, page in rows}
+    sizes = Counter(host for host, _ in once)
+    seen, held, whole = Counter(), Counter(), Counter()
+    for (host, blocks), page in once.items():
+        seen.update((host, h) for h in {e[0] for e in page.elements})
+        for shape, size in page.shapes.items():
+            seen[host, shape] += 1
+            held[host, shape] += size
+            whole[host, shape] += sum(map(len, blocks))
+    templates = {key for key, n in seen.items()
+                 if n >= 5 and (n >= 24 or n >= 0.05 * sizes[key[0]]) and 2 * held[key] <= whole[key]}
+    want = {}
+    for name, host, page in rows:
+        cut = {i for h, s, lo, hi in page.elements if {(host, h), (host, s)} & templates for i in range(lo, hi)}
+        want[name] = "\n".join(b for i, b in enumerate(page.blocks) if i not in cut)
+    assert {r["page_id"]: r["text"] for r in main_text(pages, names=names).collect()} == want
+    if not names:  # on every host with pages enough something was found
+        assert {host for host, n in sizes.items() if n >= 5} <= {host for host, _ in templates}
+
+
+def test_templates_do_without_names(llm):
+    """On the given pages subtrees alone find what the names find."""
+    pages = table(llm, "/root/testdata/sf0.1", "pages")
+    by_names = {r["page_id"]: r["text"] for r in main_text(pages).collect()}
+    alone = {r["page_id"]: r["text"] for r in main_text(pages, names=False).collect()}
+    assert sum(alone[n] == by_names[n] for n in by_names) >= 0.95 * len(by_names)
+
+
 def test_odd_rows(llm):
     rows = [(1, None, None), (1, None, None), (2, "", ""), (None, "no url", "<p>x</p>"), (3, "http://h/", "w " * 200_000)]
     pages = llm.createDataFrame(rows, "page_id long, url string, html string")
